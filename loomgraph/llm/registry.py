@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.language_id import op2_language_id
 from loomgraph.llm.mixing import OP3_SQL, op3_mixing
+from loomgraph.llm.quality_ledger import op6_quality_rules, op6_sql
 from loomgraph.llm.shard_table import op10_shard_table, op10_sql
+from loomgraph.llm.simhash_index import op5_simhash
+from loomgraph.llm.winnowing import op9_winnowing
 
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing, "op10_shard_table": op10_shard_table}
+    return {
+        "op2_language_id": op2_language_id,
+        "op3_mixing": op3_mixing,
+        "op5_simhash": op5_simhash,
+        "op6_quality_rules": op6_quality_rules,
+        "op9_winnowing": op9_winnowing,
+        "op10_shard_table": op10_shard_table,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op10_shard_table": op10_sql()}
+    return {"op3_mixing": OP3_SQL, "op6_quality_rules": op6_sql(), "op10_shard_table": op10_sql()}

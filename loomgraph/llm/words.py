@@ -28,11 +28,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into bytes) of consecutive rows.
 
-    A chunk holds whole rows and at most ``most_bytes`` bytes, or one longer
-    row. Null rows count as empty.
+    A chunk holds at most ``most_rows`` whole rows of at most ``most_bytes``
+    bytes together, or one longer row. Null rows count as empty.
     """
     if column.null_count:
         column = column.fill_null("")
@@ -46,7 +46,7 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[i
     first = 0
     while first < n:
         end = int(np.searchsorted(offsets, offsets[first] + most_bytes, "right")) - 1
-        end = min(max(end, first + 1), n)
+        end = min(max(end, first + 1), first + most_rows, n)
         yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 
