@@ -49,7 +49,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
     label; of repeated labels the lowest counts.
 
     A null source is a source of its own, named ''. A null id is hashed as the
-    empty string. Documents without tokens cost nothing: they come with each
+    empty string and has no label. Documents without tokens cost nothing: they come with each
     epoch and with a prefix that passes them. Ties of keys are broken by id,
     then tokens; rows that repeat an id share its key, and each is taken and
     paid for by itself. Empty tables give empty tables. Columns of ``docs``

@@ -52,12 +52,17 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 1
 
 
 class WordHasher:
-    """Hashes words of byte buffers; one per task, as it keeps tables of powers."""
+    """Hashes words of byte buffers; one per task, as it keeps tables of powers.
 
-    def __init__(self) -> None:
+    ``by_space``: words are the runs between white space instead, as written.
+    """
+
+    def __init__(self, by_space: bool = False) -> None:
         codes = np.arange(256)
         self.is_word = (codes >= 128) | ((codes >= 48) & (codes <= 57)) | ((codes >= 97) & (codes <= 122)) | ((codes >= 65) & (codes <= 90)) | (codes == 95)
         self.fold = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint64) + np.uint64(1)
+        if by_space:
+            self.is_word, self.fold = ~np.isin(codes, [9, 10, 11, 12, 13, 32]), codes.astype(np.uint64) + np.uint64(1)
         self._grow(1 << 21)
 
     def _grow(self, n: int) -> None:

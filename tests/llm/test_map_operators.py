@@ -1,0 +1,230 @@
+"""Operators that judge or rewrite rows one by one: surrogates, language, quality, packing, placement."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import language_id, pii_surrogates, quality_ledger, sequence_packing, shard_table
+
+EDGE = [(1, None), (None, "Some words are here, and that is all of them."), (3, ""), (4, "   "), (5, "a"), (5, "a"), (6, "word " * 50_000)]
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, shard string, kinds string, key string"
+
+
+def frame(spark, rows, schema=DOCS):
+    width = len(schema.split(","))
+    return spark.createDataFrame([(*r, *[None] * (width - len(r))) for r in rows], schema)
+
+
+# ---- surrogates
+
+TEXT = "Mail anna.keller@mail3.example.com or ANNA.KELLER@MAIL3.EXAMPLE.COM, call +1 (243) 555-5526, from 56.187.231.175 or 10.0.0.7; card 4417744280351547, 4539 5787 6362 1486; token = \"ede43f42c939b6405768150e0411590525cf889e\". Frau Keller met Dr. Peter Schmidt and Иван Петров; SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00."
+
+
+def test_surrogates_keep_type_shape_and_coreference():
+    s = pii_surrogates.Surrogates()
+    new, made = pii_surrogates.replace(TEXT, s)
+    kinds = [k for k, _, _ in made]
+    assert {"email", "phone", "ipv4", "card", "secret", "person", "ssn", "iban"} <= set(kinds)
+    assert all(a != b for _, a, b in made)
+    assert len({b for k, _, b in made}) == len({a for k, a, _ in made})
+    shape = lambda x: re.sub(r"\d", "9", re.sub(r"[a-zà-ÿ]", "a", re.sub(r"[A-Z]", "A", x)))
+    for kind, a, b in made:
+        if kind in ("email", "phone", "card", "ssn"):
+            assert shape(a) == shape(b), (a, b)
+        if kind == "iban":
+            assert pii_surrogates.iban_ok(b.replace(" ", "")) == pii_surrogates.iban_ok(a.replace(" ", "")) and b[:2] == "DE"
+        if kind == "card":
+            assert pii_surrogates.luhn(re.sub(r"\D", "", a)) == pii_surrogates.luhn(re.sub(r"\D", "", b))
+    mails = [b for k, _, b in made if k == "email"]
+    assert mails[0].lower() == mails[1].lower() and mails[1].isupper() and mails[0].endswith(".example.com")
+    private = next(b for k, a, b in made if a == "10.0.0.7")
+    assert private.startswith(("10.", "192.168.", "172."))
+    people = {a: b for k, a, b in made if k == "person"}
+    assert people["Frau Keller"].split()[-1].lower() in pii_surrogates.FAMILY["latin"]
+    given, family = people["Иван Петров"].split()
+    assert given.lower() in pii_surrogates.GIVEN["m", "cyrillic"] and family.lower() in pii_surrogates.FAMILY["cyrillic"]
+    assert people["Dr. Peter Schmidt"].split()[1].lower() in pii_surrogates.GIVEN["m", "latin"]
+    assert pii_surrogates.replace(TEXT, pii_surrogates.Surrogates())[0] == new
+    assert pii_surrogates.replace(TEXT, pii_surrogates.Surrogates(b"other key"))[0] != new
+
+
+def test_bijections_have_no_collisions():
+    s = pii_surrogates.Surrogates()
+    assert len({s.text(f"{i:03d}", "t") for i in range(1000)}) == 1000
+    phones = [f"({200 + i // 100}) 555-{i % 100:04d}" for i in range(600)]
+    assert len({s.of("phone", p) for p in phones}) == 600
+    names = ["Frau " + a + b for a in ("Ba", "Ke", "Lu", "Vo") for b in ("la", "mo", "nu", "rte")]
+    assert len({s.of("person", n) for n in names}) == len(names)
+    assert len({s.of("ipv4", f"{a}.1.2.3") for a in range(1, 224)}) == 223
+    for kind, names in pii_surrogates.GIVEN.items():
+        assert sorted(s.lists[kind].values()) == sorted(names)
+
+
+def test_surrogate_rows_and_collision_check(spark, sf_dir):
+    got = {(r["doc_id"], r["text"]): r for r in pii_surrogates.pseudonymize(frame(spark, EDGE)).collect()}
+    assert len(got) == 6 and all(r["n_entities"] == 0 for r in got.values()) and (1, None) in got
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    s, want = pii_surrogates.Surrogates(), {}
+    for r in docs.collect():
+        want[r["doc_id"]] = pii_surrogates.replace(r["text"], s)
+    rows = pii_surrogates.pseudonymize(docs).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r["text"] == want[r["doc_id"]][0] and r["n_entities"] == len(want[r["doc_id"]][1])
+        assert not any(a in r["text"] for _, a, _ in want[r["doc_id"]][1])
+    assert sum(len(m) for _, m in want.values()) > 20
+    assert pii_surrogates.collisions(docs).count() == 0
+    assert pii_surrogates.pseudonymize(frame(spark, [])).count() == 0
+
+
+def test_false_friends_stay():
+    text = "Version 1.2.3.4.5, ratio 12-34, year 2023, id 12345678, time 12:30, @home, 3.14.15"
+    assert pii_surrogates.replace(text, pii_surrogates.Surrogates())[0] == text
+
+
+# ---- language
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return language_id.fit(language_id.sample_windows(docs, sample=60), epochs=4)
+
+
+def test_language_accuracy_on_rows_not_trained_on(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 9000")
+    got = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("accepted").cast("int"))).first()
+    assert got[0] > 0.97 and got[1] > 0.99
+
+
+def test_language_rejects_what_is_no_language(spark, model):
+    rows = [(1, "0123 4567 89.01 2345 6789 " * 10), (2, "#### $$$$ %%%% &&&&" * 10), (3, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08" * 3), (4, None), (5, "")]
+    assert not any(r["accepted"] for r in language_id.identify(frame(spark, rows), model).collect())
+    docs = frame(spark, EDGE)
+    got = language_id.identify(docs, model)
+    assert got.count() == len(EDGE) and got.where("doc_id = 6").first()["n_windows"] == -(-250_000 // language_id.LENGTH)
+    kept = language_id.keep_accepted(docs, model)
+    assert kept.columns == docs.columns and kept.where("text IS NULL OR text = ''").count() == 0
+    blind = language_id.identify(docs, None).collect()
+    assert all(r["lang_pred"] is None for r in blind) and sum(r["accepted"] for r in blind) == 5
+    assert language_id.sample_windows(frame(spark, [])) == {} and language_id.identify(frame(spark, []), model).count() == 0
+
+
+def test_folded_network_is_the_network(model):
+    x = language_id.no_language(20, seed=3)
+    pooled, _ = model._pooled(x)
+    score = np.maximum(pooled, 0) @ model.out + model.out_bias
+    want = score - np.log(np.exp(score - score.max(1, keepdims=True)).sum(1, keepdims=True)) - score.max(1, keepdims=True)
+    assert np.allclose(model.log_probs(x), want, atol=1e-3)
+
+
+# ---- quality
+
+
+def test_ledger_policies_and_ablation(spark):
+    good = "The house of the river and the people in it were quiet that day, as they had been for years."
+    rows = [(1, good), (2, good.upper()), (3, "### $$$ %%% " * 20), (4, None), (5, "line\nline\nline\nline\nline"), (None, good), (1, good)]
+    book = quality_ledger.ledger(frame(spark, rows)).cache()
+    bits = {r["doc_id"]: r["fail_bits"] for r in book.collect()}
+    B = quality_ledger.BIT
+    assert bits[1] == 0 and bits[2] & B["shouting"] and bits[3] & B["many_symbols"] and bits[4] == B["too_few_words"] and bits[5] & B["duplicate_lines"] and bits[None] == 0
+    for version, mask in quality_ledger.POLICIES.items():
+        kept = quality_ledger.apply_policy(book, version)
+        assert {r["doc_id"] for r in kept.where(f"kept_{version}").collect()} == {d for d, b in bits.items() if not b & mask}
+        want = {n: (sum(bool(r["fail_bits"] & b) for r in book.collect()), sum(r["fail_bits"] & mask == b for r in book.collect())) for n, b in B.items() if b & mask}
+        assert {r["rule"]: (r["failed"], r["only_failure"]) for r in quality_ledger.ablation(book, version).collect()} == want
+    assert quality_ledger.ledger(frame(spark, [])).count() == 0 and quality_ledger.ledger(frame(spark, EDGE)).count() == len(EDGE)
+
+
+# ---- packing
+
+
+def unpack(rows):
+    """Ids of each (doc_id, order of appearance) put back from the pieces."""
+    pieces = {}
+    for r in rows:
+        ids = np.frombuffer(r["input_ids"], "<u2")
+        position = np.frombuffer(r["position_ids"], "<i4")
+        bounds = r["cu_seqlens"]
+        assert bounds[0] == 0 and bounds[-1] == r["n_tokens"] and len(bounds) == len(r["doc_ids"]) + 1
+        assert (ids[r["n_tokens"] :] == sequence_packing.END_ID).all() and (position[r["n_tokens"] :] == 0).all()
+        for a, b, d, p in zip(bounds, bounds[1:], r["doc_ids"], r["pieces"]):
+            assert (position[a:b] == np.arange(b - a)).all()
+            pieces.setdefault(d, []).append((p, ids[a:b]))
+    return pieces
+
+
+def test_packing_is_lossless(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sequence_packing.pack(docs, length=256).collect()
+    encoder = sequence_packing.Encoder(sequence_packing.read_vocabulary(sequence_packing.VOCABULARY))
+    pieces = unpack(rows)
+    for r in docs.collect():
+        ids = np.concatenate([x for _, x in sorted(pieces[r["doc_id"]], key=lambda p: p[0])])
+        assert ids[-1] == sequence_packing.END_ID
+        assert ids[:-1].tolist() == encoder.encoding.encode_ordinary(r["text"])
+    used = sum(r["n_tokens"] for r in rows) / (256 * len(rows))
+    assert used > 0.97
+
+
+def test_packing_edges(spark):
+    text = "  two  spaces\n \n here   and  there "
+    rows = sequence_packing.pack(frame(spark, [*EDGE, (8, text)]), length=16).collect()
+    pieces = unpack(rows)
+    assert set(pieces) == {None, 4, 5, 6, 8} and len(pieces[5]) == 2
+    encoder = sequence_packing.Encoder(sequence_packing.read_vocabulary(sequence_packing.VOCABULARY))
+    ids = np.concatenate([x for _, x in sorted(pieces[8], key=lambda p: p[0])])
+    assert encoder.encoding.decode(ids[:-1].tolist()) == text and ids[:-1].tolist() == encoder.encoding.encode_ordinary(text)
+    assert sequence_packing.pack(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        sequence_packing.pack(frame(spark, []), length=0)
+
+
+def test_best_fit_decreasing_against_a_plain_search():
+    rng = np.random.default_rng(1)
+    for length in (1, 7, 64, 100):
+        sizes = rng.integers(1, length + 1, 300)
+        space, want = [], []
+        for i in np.argsort(-sizes, kind="stable"):
+            fits = [(s, b) for b, s in enumerate(space) if s >= sizes[i]]
+            if sizes[i] == length or not fits:
+                space.append(length - sizes[i])
+                want.append(int(sizes[i]))
+            else:
+                least = min(s for s, _ in fits)
+                b = next(b for s, b in fits if s == least)
+                space[b] -= sizes[i]
+                want[b] += int(sizes[i])
+        got = sequence_packing.best_fit_decreasing(sizes, length)
+        assert sorted(i for b in got for i in b) == list(range(300))
+        assert sorted(sum(int(sizes[i]) for i in b) for b in got) == sorted(want)
+
+
+# ---- placement
+
+
+def test_table_is_filled_by_turns():
+    names = shard_table.shard_names(7)
+    owner = shard_table.fill_table(names, 101)
+    counts = np.bincount(owner, minlength=7)
+    assert counts.sum() == 101 and counts.max() - counts.min() <= 1
+    fewer = shard_table.fill_table(names[:-1], 101)
+    moved = (owner != fewer)[owner != 6].mean()
+    assert moved < 0.35
+    for bad in ([], ["a", "a"], [str(i) for i in range(102)]):
+        with pytest.raises(ValueError):
+            shard_table.fill_table(bad, 101)
+    with pytest.raises(ValueError):
+        shard_table.fill_table(names, 100)
+    assert shard_table.fill_table(["only"], 2).tolist() == [0, 0]
+
+
+def test_placement_keeps_rows_and_replaces_clashing_columns(spark):
+    docs = frame(spark, EDGE)
+    got = shard_table.assign_shards(docs, shard_table.shard_names(4), 101)
+    assert got.count() == len(EDGE) and sorted(got.columns) == sorted(docs.columns)
+    assert got.where("shard IS NULL").count() == 0
+    assert got.where("doc_id = 5").select("shard").distinct().count() == 1
+    assert shard_table.assign_shards(frame(spark, [])).count() == 0
