@@ -104,13 +104,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def postings(prints: DataFrame) -> DataFrame:
-    """(key, rep, f0..f3): one row per fingerprint and posting; made in the JVM."""
+    """(key, rep): one row per fingerprint and posting; made in the JVM."""
 
     def byte(p: int) -> str:
         return f"((shiftrightunsigned(f{p // 8}, {8 * (p % 8)}) & 255L) << {{}})"
 
     keys = [" | ".join([f"{t << 24}L", *(byte(p).format(8 * i) for i, p in enumerate(triple))]) for t, triple in enumerate(triples())]
-    return prints.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "rep", *BITS)
+    return prints.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "rep")
 
 
 def near_edges(prints: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -176,7 +176,10 @@ def candidate_edges(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
         if held:
             yield out(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
-    by_key = postings(prints).repartition("key").sortWithinPartitions("key")
+    # most lists hold one entry: they go before fingerprints, four times a posting's size, join the rest
+    size = F.count(F.lit(1)).over(W.partitionBy("key"))
+    met = postings(prints).withColumn("n", size).where("n > 1").drop("n")
+    by_key = met.join(prints, "rep").select("key", "rep", *BITS).repartition("key").sortWithinPartitions("key")
     return by_key.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
