@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,11 +127,14 @@ def _result(ids: list, urls: list, texts: list, kept: list, removed: list) -> pa
 
 
 def _blob(texts: list[str]) -> bytes:
-    return zlib.compress("\0".join(texts).encode(), 1)
+    """Texts as one compressed run, its length in front; shared wording of a host's pages packs well."""
+    raw = "\0".join(texts).encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(raw, asbytes=True)
 
 
 def _unblob(blob: bytes) -> list[str]:
-    return zlib.decompress(blob).decode().split("\0")
+    size = int.from_bytes(blob[:8], "little")
+    return (pa.Codec("zstd").decompress(blob[8:], size, asbytes=True).decode() if size else "").split("\0")
 
 
 def _by_host(batch: pa.RecordBatch, wanted) -> Iterator[tuple[str, list, list, list]]:
