@@ -188,7 +188,7 @@ def sample_windows(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, _, data, offsets in text_chunks(pc.utf8_lower(batch.column("text"))):
+            for begin, _, data, offsets in text_chunks(batch.column("text"), lower=True):
                 x, row, _ = cut_windows(data, offsets)
                 first = np.searchsorted(row, np.arange(len(offsets) - 1))
                 count = np.diff(np.concatenate((first, [len(row)])))
@@ -227,7 +227,7 @@ def _classify(model: ByteCNN, tables: list, column: pa.Array) -> tuple[np.ndarra
     """(label index or -1, confidence, windows) of each row."""
     n = len(column)
     best, sure, count = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n, np.int32)
-    for begin, end, data, offsets in text_chunks(pc.utf8_lower(column), 1 << 20):
+    for begin, end, data, offsets in text_chunks(column, lower=True):
         x, row, filled = cut_windows(data, offsets)
         if not len(x):
             continue

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -66,7 +65,7 @@ def simhash(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin = np.searchsorted(of, rows)
     size = np.diff(np.concatenate((begin, [len(of)])))
     ones = np.empty((len(rows), 256), np.int32)
-    step = 1 << 16  # words at a time, in whole rows where they fit
+    step = 1 << 14  # words at a time, in whole rows where they fit
     i = 0
     while i < len(rows):
         j = max(i + 1, int(np.searchsorted(begin, begin[i] + step, "right")) - 1) if begin[-1] > begin[i] + step else len(rows)
@@ -93,7 +92,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             ids = batch.column(0)
-            for begin, _, data, offsets in text_chunks(pc.utf8_lower(batch.column(1))):
+            for begin, _, data, offsets in text_chunks(batch.column(1), lower=True):
                 hashes, _, _, first = hasher.words(data, offsets)
                 rows, prints = simhash(hashes, first)
                 parts = prints.view(np.int64)

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,10 +131,8 @@ def find_hits(hashes: np.ndarray, first: np.ndarray, items: Items, k: int, windo
 def _load_items(benchmark: DataFrame, k: int, window: int) -> Items:
     table = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL").distinct().orderBy("item_id", "text").toArrow()
     hasher, hashes, firsts, n = WordHasher(), [], [], 0
-    text = pc.utf8_lower(table["text"].combine_chunks()) if table.num_rows else pa.array([], pa.string())
-    if isinstance(text, pa.ChunkedArray):
-        text = text.combine_chunks()
-    for _, _, data, offsets in text_chunks(text):
+    text = pa.concat_arrays(table["text"].chunks) if table.num_rows else pa.array([], pa.string())
+    for _, _, data, offsets in text_chunks(text, lower=True):
         h, _, _, first = hasher.words(data, offsets)
         hashes.append(h)
         firsts.append(first[:-1] + n)
@@ -144,10 +141,6 @@ def _load_items(benchmark: DataFrame, k: int, window: int) -> Items:
     return Items(table["item_id"].to_numpy(), np.concatenate(hashes or [empty.astype(np.uint64)]), np.concatenate([*firsts, [n]]).astype(np.int64), k, window)
 
 
-def _lowered(batch: pa.RecordBatch, column: str) -> pa.Array:
-    return pc.utf8_lower(batch.column(column))
-
-
 def is_small(benchmark: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     """Whether the benchmark's texts may go to every task."""
     return (benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) <= most
@@ -171,7 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDO
         hasher = WordHasher()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for begin, _, data, offsets in text_chunks(_lowered(batch, "text")):
+            for begin, _, data, offsets in text_chunks(batch.column("text"), lower=True):
                 hashes, _, _, first = hasher.words(data, offsets)
                 found = find_hits(hashes, first, items, k, window)
                 if len(found):
@@ -189,7 +182,7 @@ def _postings(texts: DataFrame, id_name: str, k: int, window: int) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             ids = batch.column(0)
-            for begin, _, data, offsets in text_chunks(_lowered(batch, "text")):
+            for begin, _, data, offsets in text_chunks(batch.column("text"), lower=True):
                 hashes, _, _, first = hasher.words(data, offsets)
                 at, grams = fingerprints(hashes, first, k, window)
                 row = np.searchsorted(first, at, "right") - 1
@@ -212,7 +205,7 @@ def _leaks_by_join(docs: DataFrame, benchmark: DataFrame, k: int, window: int) -
         hasher = WordHasher()
 
         def words(text: pa.Array) -> np.ndarray:
-            parts = [hasher.words(data, offsets)[0] for _, _, data, offsets in text_chunks(pc.utf8_lower(text))]
+            parts = [hasher.words(data, offsets)[0] for _, _, data, offsets in text_chunks(text, lower=True)]
             return parts[0] if parts else np.zeros(0, np.uint64)
 
         for batch in batches:
@@ -253,7 +246,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int =
         hasher = WordHasher()
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for begin, _, data, offsets in text_chunks(_lowered(batch, "text")):
+            for begin, _, data, offsets in text_chunks(batch.column("text"), lower=True):
                 hashes, _, _, first = hasher.words(data, offsets)
                 keep[find_hits(hashes, first, items, k, window)[:, 0] + begin] = False
             yield batch.filter(pa.array(keep))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -28,11 +29,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most_bytes: int = 1 << 19, most_rows: int = 1 << 18, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into bytes) of consecutive rows.
 
     A chunk holds at most ``most_rows`` whole rows of at most ``most_bytes``
-    bytes together, or one longer row. Null rows count as empty.
+    bytes together, or one longer row; what is worked out for it stays small
+    however large the column. Null rows count as empty. ``lower``: letters of
+    all scripts are lowered, chunk by chunk.
     """
     if column.null_count:
         column = column.fill_null("")
@@ -40,17 +43,26 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 1
     n = len(column)
     if not n:
         return
-    _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int64, count=column.offset + n + 1)[column.offset :]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    offsets, raw = _buffers(column)
     first = 0
     while first < n:
         end = int(np.searchsorted(offsets, offsets[first] + most_bytes, "right")) - 1
         end = min(max(end, first + 1), first + most_rows, n)
-        yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        if lower:
+            at, data = _buffers(pc.utf8_lower(column.slice(first, end - first)))
+        else:
+            at, data = offsets[first : end + 1], raw
+        yield first, end, data[at[0] : at[-1]], at - at[0]
         first = end
 
 
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a large_string array, without copying."""
+    _, off, data = column.buffers()
+    offsets = np.frombuffer(off, np.int64, count=column.offset + len(column) + 1)[column.offset :]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
 class WordHasher:
     """Hashes words of byte buffers; one per task, as it keeps tables of powers.
 
@@ -63,7 +75,7 @@ class WordHasher:
         self.fold = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint64) + np.uint64(1)
         if by_space:
             self.is_word, self.fold = ~np.isin(codes, [9, 10, 11, 12, 13, 32]), codes.astype(np.uint64) + np.uint64(1)
-        self._grow(1 << 21)
+        self._grow(1 << 19)
 
     def _grow(self, n: int) -> None:
         inverse = pow(_MULT, -1, 1 << 64)
