@@ -32,7 +32,7 @@ def language_of(path: Column) -> Column:
 def camel_split(x: Column) -> Column:
     """The name followed by its camel-case parts, or the name alone if there is but one part."""
     parts = F.regexp_replace(x, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    return F.when(parts == x, x).otherwise(F.concat_ws(" ", x, parts))
+    return F.when(parts == x, x).when(x.isNotNull(), F.concat_ws(" ", x, parts))
 
 
 def same_name(a: Column, b: Column) -> Column:

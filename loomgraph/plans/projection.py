@@ -111,12 +111,17 @@ def refs(t: dict[str, DataFrame]) -> DataFrame:
     return conform(calls, "refs").unionByName(conform(fields, "refs"))
 
 
+def byte_prefix(text: Column, n: int) -> Column:
+    """The longest prefix of whole characters within ``n`` bytes."""
+    return F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string")), "\uFFFD$", "")
+
+
 def content_lines(texts: DataFrame) -> DataFrame:
     """(file_id, line_no, content) of the eligible lines of (file_id, text): three word characters at least, 200 bytes at most."""
     each = texts.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.regexp_replace("line", "\r$", "")
     words = F.length(F.regexp_replace(line, "[^A-Za-z0-9_]", ""))
-    cut = F.when(F.octet_length(line) <= 200, line).otherwise(F.decode(F.substring(F.encode(line, "UTF-8"), 1, 200), "UTF-8"))
+    cut = F.when(F.octet_length(line) <= 200, line).otherwise(byte_prefix(line, 200))
     return each.where((F.length(line) >= 3) & (words >= 3)).select("file_id", (F.col("pos") + 1).cast("int").alias("line_no"), cut.alias("content"))
 
 
