@@ -20,10 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomgraph.scratch import materialize
+
 BUCKETS = 65_536
 WEIGHTS = {1: 1.0, 0: 0.25, None: 0.5}
 SEED = "mix-1"
 NO_SOURCE = ""
+#: Sources up to which their budgets are sent to every task; more meet the rows in a shuffle join.
+MOST_BROADCAST = 100_000
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -39,8 +43,8 @@ def exponential_key(weight: Column, key: str = "doc_id", seed: str = SEED) -> Co
     return -F.log(u) / weight
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, total_tokens: int | None = None) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``weight``, ``epochs`` and ``copies``, rows of no copies dropped.
+def mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, total_tokens: int | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, weight, epochs, taken) of every row of ``docs``; it gets ``epochs + taken`` copies.
 
     ``shares``: relative weight of each source (a source that is not named
     gets nothing); None gives every source the same. ``total_tokens``: the
@@ -49,20 +53,21 @@ def mix_sources(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
     label; of repeated labels the lowest counts.
 
     A null source is a source of its own, named ''. A null id is hashed as the
-    empty string and has no label. Documents without tokens cost nothing: they come with each
-    epoch and with a prefix that passes them. Ties of keys are broken by id,
-    then tokens; rows that repeat an id share its key, and each is taken and
-    paid for by itself. Empty tables give empty tables. Columns of ``docs``
-    named as result columns are replaced.
+    empty string and has no label. Documents without tokens cost nothing: they
+    come with each epoch and with a prefix that passes them. Ties of keys are
+    broken by id, then tokens; rows that repeat an id share its key, and each
+    is taken and paid for by itself. Empty tables give empty tables.
+
+    Texts are read once, for their token counts; all else is over those slim
+    rows, which are written to the shared folder.
     """
-    made = ("n_tokens", "weight", "epochs", "copies")
-    kept = [c for c in docs.columns if c not in made]
     quality = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality"))
     weight = F.when(F.col("__quality") == 1, WEIGHTS[1]).when(F.col("__quality") == 0, WEIGHTS[0]).otherwise(WEIGHTS[None])
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], n_tokens().alias("__tokens"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("__source"))
+    rows = docs.select("doc_id", "source", n_tokens().alias("__tokens"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("__source"))
     rows = rows.join(quality, F.col("doc_id") == F.col("__label_id"), "left").drop("__label_id")
     rows = rows.withColumn("__weight", weight).withColumn("__key", exponential_key(F.col("__weight")))
     rows = rows.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key") / 2)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    rows = materialize(rows.drop("__quality"), "mixture")
 
     sums = rows.groupBy("__source", "__bucket").agg(F.sum("__tokens").alias("__sum"))
     by_bucket = W.partitionBy("__source").orderBy("__bucket")
@@ -85,13 +90,36 @@ def mix_sources(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
         F.col("__source").alias("__cut_source"), "epochs", "__rest",
         F.coalesce(F.col("__at.__bucket"), F.lit(BUCKETS)).alias("__last"), F.coalesce(F.col("__at.__before"), F.lit(0)).alias("__before"),
     )
-    rows = rows.join(cut, F.col("__source") == F.col("__cut_source"))
+    cut = materialize(cut, "cut")  # one row a source
+    rows = rows.join(F.broadcast(cut) if cut.count() <= MOST_BROADCAST else cut, F.col("__source") == F.col("__cut_source"))
     edge = rows.where("__bucket = __last AND __rest > 0")
     in_order = W.partitionBy("__source").orderBy("__key", "doc_id", "__tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("__taken", (F.col("__before") + F.sum("__tokens").over(in_order) <= F.col("__rest")).cast("bigint"))
-    clear = rows.where("NOT (__bucket = __last AND __rest > 0)").withColumn("__taken", ((F.col("__bucket") < F.col("__last")) & (F.col("__rest") > 0)).cast("bigint"))
-    taken = clear.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("__taken")).where("copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in kept], F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), "epochs", "copies")
+    edge = edge.withColumn("taken", (F.col("__before") + F.sum("__tokens").over(in_order) <= F.col("__rest")).cast("bigint"))
+    clear = rows.where("NOT (__bucket = __last AND __rest > 0)").withColumn("taken", ((F.col("__bucket") < F.col("__last")) & (F.col("__rest") > 0)).cast("bigint"))
+    return clear.unionByName(edge).select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), "epochs", "taken")
+
+
+def _row_key(tokens: Column) -> Column:
+    """What rows of equal decisions share: id, tokens and source, as one text."""
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), tokens.cast("string"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+
+
+def mix_sources(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, total_tokens: int | None = None) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``weight``, ``epochs`` and ``copies``, rows of no copies dropped; see ``mixture``.
+
+    Texts move once, to meet their decisions. Rows of equal id, tokens and
+    source are interchangeable there: those of least text hash get the taken
+    copies. Columns of ``docs`` named as result columns are replaced.
+    """
+    made = ("n_tokens", "weight", "epochs", "copies")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    choice = mixture(docs, labels, shares, total_tokens).where("epochs + taken > 0").groupBy(_row_key(F.col("n_tokens")).alias("__choice"))
+    choice = choice.agg(F.first("weight").alias("__weight"), F.first("epochs").alias("__epochs"), F.sum("taken").alias("__taken"))
+    rows = docs.select(*kept, n_tokens().alias("__tokens"))
+    rows = rows.withColumn("__row", _row_key(F.col("__tokens"))).withColumn("__nth", F.row_number().over(W.partitionBy("__row").orderBy(F.xxhash64("text"))))
+    rows = rows.join(choice, F.col("__row") == F.col("__choice"))
+    rows = rows.withColumn("copies", F.col("__epochs") + (F.col("__nth") <= F.col("__taken")).cast("bigint")).where("copies > 0")
+    return rows.select(*kept, F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__epochs").alias("epochs"), "copies")
 
 
 def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,7 +130,8 @@ def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mix_sources(docs, labels).select("doc_id", "source", "n_tokens", "weight", "epochs", "copies")
+    rows = mixture(docs, labels).withColumn("copies", F.col("epochs") + F.col("taken")).where("copies > 0")
+    return rows.select("doc_id", "source", "n_tokens", "weight", "epochs", "copies")
 
 
 OP3_SQL = f"""
