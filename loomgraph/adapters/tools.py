@@ -180,8 +180,9 @@ def serve(g: Graph, source: IO[str], sink: IO[str], log: IO[str] | None = None)
                 log.write(json.dumps({"request": line.strip(), "answer": out}) + "\n")
 
 
-def main(args: list[str], out: IO[str] = sys.stdout) -> int:
+def main(args: list[str], out: IO[str] | None = None) -> int:
     """``query STORE TOOL [PARAMS]``: 0, 1 on an error, 2 for an unknown tool, 3 for a schema that is too new."""
+    out = out or sys.stdout
     if len(args) < 3 or args[0] != "query":
         out.write(main.__doc__ + "\n")
         return 1

@@ -224,7 +224,7 @@ query("F16_confidence_stats", f"SELECT count(*) AS n, round(avg(confidence), 6)
 # ---- G: tools
 query("G2_repo_stats", "SELECT (SELECT count(*) FROM g_files) AS file_count, (SELECT count(*) FROM g_nodes) AS symbol_count, (SELECT count(*) FROM g_edges) AS edge_count, '2024-01-01T00:00:00Z' AS last_index_time")(lambda g: listing.repo_stats(g))
 query("G3_file_search", "SELECT id AS file_id, path, language, size_bytes FROM g_files WHERE (path GLOB 'doc_1*.py' OR split_part(path, '/', 3) GLOB 'doc_1*.py') ORDER BY path LIMIT 50")(lambda g: listing.file_search_page(g, "doc_1*.py"))
-query("G4_dir_list", "SELECT DISTINCT 'dir' AS type, 'src3/' || split_part(path, '/', 2) || '/' AS path, NULL AS language, CAST(NULL AS BIGINT) AS size_bytes FROM g_files WHERE path GLOB 'src3/*'")(lambda g: listing.dir_list(g, "src3"))
+query("G4_dir_list", "SELECT DISTINCT 'dir' AS type, 'src3/' || split_part(path, '/', 2) || '/' AS path, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS BIGINT) AS size_bytes FROM g_files WHERE path GLOB 'src3/*'")(lambda g: listing.dir_list(g, "src3"))
 query("G5_dir_tree", "SELECT p AS path, CAST(d AS INT) AS depth, 'dir' AS type, count(*) AS children_count, d = 2 AS truncated FROM (SELECT split_part(path, '/', 1) AS p, 1 AS d FROM g_files UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), 2 FROM g_files) GROUP BY ALL")(lambda g: listing.dir_tree(g, ".", 2))
 query("G6_symbol_search", "SELECT id AS node_id, kind, name, qualname, file_path, start_line, end_line FROM nf WHERE contains(' ' || lower(name), ' widget') ORDER BY length(name), name, file_path, start_line, id LIMIT 50")(lambda g: listing.symbol_search(g, "Widget"))
 _LCOST = "64 + octet_length(CAST(kind AS BLOB)) + octet_length(CAST(name AS BLOB)) + coalesce(octet_length(CAST(signature AS BLOB)), 0) + coalesce(octet_length(CAST(file_path AS BLOB)), 0)"
