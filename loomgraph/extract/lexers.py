@@ -16,7 +16,7 @@ from loomgraph.functions.signatures import arguments
 _SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?""", re.S)
 _SKIP_HASH = re.compile(r"""\#[^\n]*|"(?:\\.|[^"\\])*"?|'[^'\n]*'?""", re.S)
 _SKIP_RUST = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\\n])'""", re.S)
-_WORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "else", "do", "new", "throw", "typeof", "function", "await", "case", "delete", "in", "of", "using", "lock", "fixed", "match", "func", "fn", "go", "defer", "range", "select", "super", "defined", "constructor", "try", "when", "nameof", "static_assert", "alignof", "decltype", "synchronized", "assert", "void", "class"}
+_WORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "else", "do", "new", "throw", "typeof", "function", "await", "case", "delete", "in", "of", "using", "lock", "fixed", "match", "func", "fn", "defer", "range", "select", "super", "defined", "constructor", "try", "when", "nameof", "static_assert", "alignof", "decltype", "synchronized", "assert", "void", "class"}
 _ID = r"[A-Za-z_$][\w$]*"
 
 
@@ -50,6 +50,7 @@ class Code:
                 if stack:
                     self.match[stack.pop()] = m.start()
         self.holders: list[tuple[int, int, int]] = []  # (start, end, symbol)
+        self.declared: set[int] = set()  # where names of callables are declared
 
     def at(self, pos: int) -> tuple[int, int]:
         line = bisect.bisect_right(self.lines, pos)
@@ -113,8 +114,11 @@ def _calls(c: Code, found: Found, callee: str, last_only: bool = False, hint=Non
     for m in re.finditer(rf"({callee})\s*(?:<[\w\s,.\[\]<>|]*>)?\(", c.code):
         name = re.sub(r"\s+", "", m[1])
         bare = re.split(r"\.|::|->", name)[-1]
-        if bare in _WORDS or not bare or _is_declaration(c, m.start(1)):
+        if bare == name and bare in _WORDS or not bare or m.start(1) in c.declared:
             continue
+        holder = c.holder(m.start(1))
+        if holder >= 0 and found.symbols[holder]["kind"] == "interface":
+            continue  # a method's declaration
         open_paren = m.end() - 1
         close = c.match.get(open_paren)
         if close is None:
@@ -126,16 +130,11 @@ def _calls(c: Code, found: Found, callee: str, last_only: bool = False, hint=Non
 
 
 
-def _is_declaration(c: Code, pos: int) -> bool:
-    return pos in getattr(c, "declared", ())
-
-
 # ---- languages
 
 
 def c_family(text: str, found: Found) -> None:
     c = Code(text, "cpp")
-    c.declared = set()
     for m in re.finditer(r'(?m)^[ \t]*#\s*include\s*(<[^>\n]*>|"[^"\n]*")', text):
         found.ref("include", m[1], c.at(m.start()), c.at(m.end()), -1, "preproc_include")
     for m in re.finditer(rf"(?m)^[ \t]*#\s*define\s+({_ID})", c.code):
@@ -190,7 +189,6 @@ _MODIFIERS = r"(?:(?:public|private|protected|internal|static|async|readonly|abs
 
 def csharp(text: str, found: Found) -> None:
     c = Code(text, "csharp")
-    c.declared = set()
     for m in re.finditer(r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;", c.code):
         found.ref("include", m[1], c.at(m.start(1)), c.at(m.end(1)), -1, "using_directive")
     for m in re.finditer(r"\bnamespace\s+([\w.]+)\s*([{;])", c.code):
@@ -202,6 +200,7 @@ def csharp(text: str, found: Found) -> None:
             for b in re.finditer(r"[\w.]+(?:<[^<>]*(?:<[^<>]*>)?[^<>]*>)?", re.sub(r"\bwhere\b.*", "", m[3], flags=re.S)):
                 found.ref("inherit", b[0], c.at(m.start(3) + b.start()), c.at(m.start(3) + b.end()), i, "base_list")
     for m in re.finditer(rf"{_MODIFIERS}\bdelegate\s+[\w<>\[\],.?]+\s+({_ID})\s*\([^)]*\)\s*;", c.code):
+        c.declared.add(m.start(1))
         _declare(c, found, "delegate", m[1], m.start(), m.end())
     for m in re.finditer(rf"{_MODIFIERS}\bevent\s+[\w<>\[\],.?]+\s+({_ID})\s*[;{{=]", c.code):
         _declare(c, found, "event", m[1], m.start(), m.end())
@@ -255,7 +254,6 @@ def infer_type(c: Code, receiver: str, pos: int) -> str | None:
 
 def javascript(text: str, found: Found) -> None:
     c = Code(text, "javascript")
-    c.declared = set()
     for m in re.finditer(r"(?m)^[ \t]*import\b[^;\n]*(?:\{[^}]*\}[^;\n]*)?;?", c.text):
         if c.code[m.start() :].lstrip().startswith("import"):
             found.ref("include", m[0].strip(), c.at(m.start()), c.at(m.end()), -1, "import_statement")
@@ -313,7 +311,7 @@ def javascript(text: str, found: Found) -> None:
             i = _declare(c, found, "constructor_fn", name, m.start(), c.match.get(head, len(c.code) - 1) + 1, True, head)
             fields(i, name, head)
     _members(c, found, rf"\*?({_ID})", "method")
-    _calls(c, found, rf"(?<![\w$.])(?:{_ID}(?:\([^()]*\))?\s*[?!]?\.\s*)*{_ID}", hint=infer_type)
+    _calls(c, found, rf"(?<![\w$.])(?<!new )(?:{_ID}(?:\([^()]*\))?\s*[?!]?\.\s*)*{_ID}", hint=infer_type)
     for m in re.finditer(rf"\bthis\.({_ID})\b(?!\s*\()", c.code):
         write = re.compile(r"\s*(?:[-+*/|&^%]|\|\||&&|\?\?|<<|>>)?=(?![=>])").match(c.code, m.end())
         found.ref("field_access", m[1], c.at(m.start()), c.at(m.end()), c.holder(m.start()), "this_member_write" if write else "this_member_read")
@@ -321,7 +319,6 @@ def javascript(text: str, found: Found) -> None:
 
 def java(text: str, found: Found) -> None:
     c = Code(text, "java")
-    c.declared = set()
     for m in re.finditer(r"(?m)^\s*import\b[^;]*;", c.code):
         found.ref("include", m[0].strip(), c.at(m.start()), c.at(m.end()), -1, "import_declaration")
     for m in re.finditer(rf"{_MODIFIERS}(@interface|\bclass|\binterface|\benum)\s+({_ID})[^{{;]*\{{", c.code):
@@ -336,7 +333,6 @@ def java(text: str, found: Found) -> None:
 
 def go(text: str, found: Found) -> None:
     c = Code(text, "go")
-    c.declared = set()
     for m in re.finditer(rf"(?m)^package\s+({_ID})", c.code):
         _declare(c, found, "package", m[1], m.start(), m.end())
     for m in re.finditer(r"(?m)^import\s*(?:\((?:[^)]*)\)|[^\n]+)", c.text):
@@ -355,7 +351,6 @@ def go(text: str, found: Found) -> None:
 
 def rust(text: str, found: Found) -> None:
     c = Code(text, "rust")
-    c.declared = set()
     for m in re.finditer(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s[^;]*;", c.code):
         found.ref("include", m[0].strip(), c.at(m.start()), c.at(m.end()), -1, "use_declaration")
     kinds = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "mod": "module", "type": "type_alias", "const": "variable", "static": "variable"}

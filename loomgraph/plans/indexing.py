@@ -65,10 +65,13 @@ def index_texts(spark: SparkSession, texts: DataFrame, g: Graph | None = None, m
     """A graph of (path, language, size_bytes, mtime_ns, content_hash, text) rows, added to one if given."""
     g = g or empty_graph(spark)
     extracted = materialize(extract(texts, max_symbols, max_bytes), "extracted")  # parsed once, read by each table
-    new = tables_from(extracted, texts, g)
+    new = {t: materialize(df, t) for t, df in tables_from(extracted, texts, g).items()}
     merged = merge(g, new, spark.createDataFrame([], g.lines.schema))
     fresh = index_lines(merged.with_tables(files=new["files"]), texts.select("path", "text"))
-    return resolve(merged.with_tables(lines=merged.lines.unionByName(fresh)), normalize_includes)
+    merged = merged.with_tables(lines=merged.lines.unionByName(fresh))
+    merged = merged.with_tables(**{t: materialize(getattr(merged, t), t) for t in ("files", "nodes", "refs", "edges", "lines")})
+    out = resolve(merged, normalize_includes)
+    return out.with_tables(refs=materialize(out.refs, "refs"), edges=materialize(out.edges, "edges"))
 
 
 def index(spark: SparkSession, root: str, g: Graph | None = None, force: bool = False, exclude: list[str] | None = None, no_gitignore: bool = False, max_files: int | None = None, **options) -> Graph:
