@@ -4,26 +4,24 @@ Each text has a 256-bit SimHash of its set of words: 32 positional bytes. Two
 texts whose fingerprints differ in few bits agree in many bytes at the same
 positions, and agreement in bytes is what the index finds.
 
-A posting list for a single (position, byte) would hold 1/256 of the corpus,
-and tallying such lists is quadratic. Tallies are taken within groups of four
-positions instead: two arrangements of the 32 positions into eight groups, and
-per group one posting for each three of its four bytes. A pair shares a
-posting exactly if it reaches a tally of three within some group. Count
-filtering guarantees that for any pair that agrees in 17 of the 32 bytes
-(8 groups x 2 + 1), hence for any pair within 15 bits; beyond that recall is
-high but not certain (tested against brute force at the bound that is used).
-Pairs from a posting list are verified by Hamming distance, at most
-``MAX_BITS``, and groups are the connected components of verified pairs.
+Shared bytes are tallied over all 32 positions: a pair is a candidate exactly
+if it agrees at ``TALLY`` (three) positions or more. Tallying posting lists of
+single bytes pair by pair is quadratic, since each holds 1/256 of the corpus,
+so a list is searched by two more bytes: entries travel once to each list of
+(position, byte), and there those that also agree at two later positions are
+brought together by sorting, for every two such positions. That visits every
+triple of positions, hence every pair with a tally of three: each pair within
+29 bits, and of pairs that differ in 46 random bits 99 % (simulated).
+Candidates are verified by Hamming distance, at most ``MAX_BITS``, and groups
+are the connected components of verified pairs.
 
 Equal fingerprints are one entry of the index, so thousands of exact copies
-cost no pairs. Within a posting list only the edges of a spanning forest are
+cost no pairs. Where more than 24 entries meet only the edges of a spanning forest are
 kept, found by breadth-first search over what is still unreached.
 """
 
 from __future__ import annotations
 
-import itertools
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +33,13 @@ from pyspark.sql.window import Window as W
 from loomgraph.llm.words import WordHasher, mix64, text_chunks
 from loomgraph.scratch import materialize
 
-N_BYTES, GROUP, ARRANGEMENTS, MAX_BITS = 32, 4, 2, 46
+N_BYTES, TALLY, MAX_BITS = 32, 3, 46
+#: Entries that a task sorts at once; a posting list that is longer is one such lot.
+LOT = 1 << 16
 BITS = ["f0", "f1", "f2", "f3"]
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 
 
-def triples(arrangements: int = ARRANGEMENTS) -> list[tuple[int, int, int]]:
-    """The byte positions of each posting of a fingerprint."""
-    rng, found = random.Random(20), []
-    for _ in range(arrangements):
-        order = list(range(N_BYTES))
-        rng.shuffle(order)
-        for g in range(0, N_BYTES, GROUP):
-            found += itertools.combinations(order[g : g + GROUP], GROUP - 1)
-    return found
-
-
 def simhash(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have words, their fingerprints as rows of four uint64); ``first``: rows' first words, then the end."""
     counts = np.diff(first)
@@ -103,13 +92,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def postings(prints: DataFrame) -> DataFrame:
-    """(key, rep): one row per fingerprint and posting; made in the JVM."""
+    """(key, rep, f0..f3): a row per fingerprint and position that TALLY - 1 others follow; the key is position and byte. Made in the JVM."""
 
-    def byte(p: int) -> str:
-        return f"((shiftrightunsigned(f{p // 8}, {8 * (p % 8)}) & 255L) << {{}})"
+    def key(p: int) -> str:
+        return f"CAST({p << 8}L | (shiftrightunsigned(f{p // 8}, {8 * (p % 8)}) & 255L) AS INT)"
 
-    keys = [" | ".join([f"{t << 24}L", *(byte(p).format(8 * i) for i, p in enumerate(triple))]) for t, triple in enumerate(triples())]
-    return prints.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "rep")
+    keys = [key(p) for p in range(N_BYTES - TALLY + 1)]
+    return prints.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "rep", *BITS)
 
 
 def near_edges(prints: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -149,36 +138,62 @@ def _verified(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int)
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
+def _met(tagged: np.ndarray) -> np.ndarray:
+    """Of (key << 32 | row) those whose key is not alone, sorted."""
+    tagged = np.sort(tagged)
+    key = tagged >> np.uint64(32)
+    same = key[1:] == key[:-1]
+    return tagged[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(tagged) else tagged
+
+
+def _tallied(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
+    """Distinct edges among whole posting lists of one position, of pairs that agree at two later positions as well."""
+    found, low, row = [np.zeros((0, 2), np.int64)], np.uint64(0xFFFFFFFF), np.arange(len(ids), dtype=np.uint64)
+    at = [np.ascontiguousarray(c).astype(np.uint64) for c in prints.view(np.uint8).reshape(-1, N_BYTES).T]
+    lists = (keys & 255).astype(np.uint64) << np.uint64(48) | row
+    for q in range(int(keys[0]) // 256 + 1, N_BYTES - 1):
+        two = _met(lists | at[q] << np.uint64(40))
+        if not len(two):
+            continue
+        of, here = (two & low).astype(np.int64), []
+        for r in range(q + 1, N_BYTES):
+            three = _met(two | at[r][of] << np.uint64(32))
+            if len(three):
+                i = (three & low).astype(np.int64)
+                here.append(_verified(three >> np.uint64(32), ids[i], prints[i], most))
+        found.append(np.unique(np.concatenate(here), axis=0) if here else found[0])
+    return np.unique(np.concatenate(found), axis=0)
+
+
 def candidate_edges(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """Distinct verified edges (a, b), a < b, over entries (rep, f0..f3)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def out(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            edges = _verified(keys, ids, fps, most)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], names=["a", "b"])
+        def out(lots: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            keys, ids, fps = (np.concatenate([h[i] for h in lots]) for i in range(3))
+            ends = np.flatnonzero(np.diff(keys >> 8)) + 1
+            for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(keys)]):
+                edges = _tallied(keys[lo:hi], ids[lo:hi], fps[lo:hi], most)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             fps = np.stack([batch.column(i).to_numpy() for i in range(2, 6)], 1).view(np.uint64)
-            held.append((keys, ids, fps))
-            last = int(np.searchsorted(keys, keys[-1], "left"))
-            if last == 0 and held[0][0][0] == keys[-1]:
-                continue  # one list so far, of many batches
-            keys, ids, fps = (np.concatenate([h[i] for h in held]) for i in range(3))
             cut = int(np.searchsorted(keys, keys[-1], "left"))
-            yield out(keys[:cut], ids[:cut], fps[:cut])
-            held = [(keys[cut:], ids[cut:], fps[cut:])]
+            if sum(len(h[0]) for h in held) + cut >= LOT and (cut or held[-1][0][-1] != keys[0]):
+                yield from out([*held, (keys[:cut], ids[:cut], fps[:cut])])
+                held, keys, ids, fps = [], keys[cut:], ids[cut:], fps[cut:]
+            held.append((keys, ids, fps))
         if held:
-            yield out(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+            yield from out(held)
 
-    # most lists hold one entry: they go before fingerprints, four times a posting's size, join the rest
-    size = F.count(F.lit(1)).over(W.partitionBy("key"))
-    met = postings(prints).withColumn("n", size).where("n > 1").drop("n")
-    by_key = met.join(prints, "rep").select("key", "rep", *BITS).repartition("key").sortWithinPartitions("key")
+    # lists of a position go together, as many as make a lot: sorting many small lists at once costs what one does
+    parts = max(1, min(256, round(prints.count() / LOT)))
+    by_key = postings(prints).repartition(F.expr("key DIV 256"), F.expr(f"key % {parts}")).sortWithinPartitions("key")
     return by_key.mapInArrow(search, "a bigint, b bigint").distinct()
 
 

@@ -134,6 +134,23 @@ def test_pairs_against_brute_force(spark, corpus):
     assert got <= want and sure <= got and len(got) >= 0.9 * len(want)
 
 
+def test_recall_in_each_band_of_distance(spark):
+    rng = np.random.default_rng(7)
+    docs = []
+    for k in range(900):  # pairs of texts with 5 to 15 % of words replaced
+        text = random_text(rng, int(rng.integers(100, 400)))
+        docs += [(2 * k, text), (2 * k + 1, edited(rng, text, (0.05, 0.1, 0.15)[k % 3]))]
+    prints = simhash_index.fingerprint(frame(spark, docs)).withColumnRenamed("doc_id", "rep")
+    at = {r["rep"]: np.array([r[c] for c in simhash_index.BITS], np.int64).view(np.uint64) for r in prints.collect()}
+    got = {(r["a"], r["b"]) for r in simhash_index.candidate_edges(prints).collect()}
+    far = np.array([int(np.bitwise_count(at[2 * k] ^ at[2 * k + 1]).sum()) for k in range(900)])
+    hit = np.array([(2 * k, 2 * k + 1) in got for k in range(900)])
+    assert not hit[far > simhash_index.MAX_BITS].any()
+    for low, high in ((0, 29), (30, 35), (36, 40), (41, 43), (44, 46)):
+        band = (far >= low) & (far <= high)
+        assert band.sum() >= 20 and hit[band].mean() >= (1 if high <= 29 else 0.9), (low, high, band.sum(), hit[band].mean())
+
+
 def test_large_group_and_edge_rows(spark):
     rng = np.random.default_rng(5)
     text = random_text(rng, 300)
