@@ -33,11 +33,16 @@ def index_lines(g: Graph, contents: DataFrame, tracked: DataFrame | None = None)
     return conform(content_lines(contents.join(f, "path").select("file_id", text.alias("text"))), "lines")
 
 
+def whole_line() -> Column:
+    """The full line; of graphs stored before it was kept, the prefix."""
+    return F.coalesce("full_line", "content")
+
+
 def code_hits(g: Graph, query: str, file_pattern: str | None = None, case_sensitive: bool = False) -> DataFrame:
-    """(file_id, path, line_no, content) of lines that contain a string."""
+    """(file_id, path, line_no, content, full_line) of lines that contain a string, wherever in the line."""
     if len(query) < 3:
         raise InvalidInput("a query has three characters at least")
-    hit = F.contains(F.col("content"), F.lit(query)) if case_sensitive else F.contains(F.lower("content"), F.lit(query.lower()))
+    hit = F.contains(whole_line(), F.lit(query)) if case_sensitive else F.contains(F.lower(whole_line()), F.lit(query.lower()))
     f = g.files.select(F.col("id").alias("file_id"), "path")
     if file_pattern:
         f = f.where(matches_glob(F.col("path"), file_pattern) | (matches_glob(F.element_at(F.split("path", "/"), -1), file_pattern) if "/" not in file_pattern else F.lit(False)))
@@ -53,9 +58,9 @@ def code_search(g: Graph, query: str, file_pattern: str | None = None, limit: in
     limit, context_lines = clamp(limit, 1, 500, 50), clamp(context_lines, 0, 5, 0)
     hits = code_hits(g, query, file_pattern, case_sensitive).withColumn("match_count", F.count(F.lit(1)).over(W.partitionBy("file_id")))
     rows = first_groups(hits, "file_id", [F.col("line_no")], limit, PER_FILE)
-    rows = rows.select(F.col("path").alias("file"), "file_id", F.col("line_no").alias("line"), F.col("content").alias("text"), "match_count")
+    rows = rows.select(F.col("path").alias("file"), "file_id", F.col("line_no").alias("line"), whole_line().alias("text"), "match_count")
     if context_lines:
-        near = g.lines.select(F.col("file_id").alias("cf"), F.col("line_no").alias("cl"), F.col("content").alias("ct"))
+        near = g.lines.select(F.col("file_id").alias("cf"), F.col("line_no").alias("cl"), whole_line().alias("ct"))
         around = rows.join(near, (F.col("file_id") == F.col("cf")) & F.col("cl").between(F.col("line") - context_lines, F.col("line") + context_lines))
         block = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cl", "ct"))), lambda x: F.concat(x["cl"].cast("string"), F.lit(": "), x["ct"])), "\n")
         rows = around.groupBy("file", "file_id", "line", "match_count").agg(block.alias("text")).select("file", "file_id", "line", "text", "match_count")

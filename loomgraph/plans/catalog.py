@@ -262,7 +262,7 @@ def _source_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.source_at(d, "3", 1, 2)
 
 
-query("G28_code_search", ", h AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS match_count, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rn, dense_rank() OVER (ORDER BY file_id) AS fr FROM g_lines WHERE contains(lower(full_line), 'worthless') AND strlen(full_line) <= 200) SELECT f.path AS file, CAST(line_no AS INT) AS line, full_line AS text, match_count FROM h JOIN g_files f ON f.id = h.file_id WHERE rn <= 20 AND fr <= 50")(lambda g: text.code_search(g.with_tables(lines=g.lines.where("octet_length(content) < 200")), "Worthless"))
+query("G28_code_search", ", h AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS match_count, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rn, dense_rank() OVER (ORDER BY file_id) AS fr FROM g_lines WHERE contains(lower(full_line), 'worthless') AND strlen(full_line) <= 200) SELECT f.path AS file, CAST(line_no AS INT) AS line, full_line AS text, match_count FROM h JOIN g_files f ON f.id = h.file_id WHERE rn <= 20 AND fr <= 50")(lambda g: text.code_search(g.with_tables(lines=g.lines.where("octet_length(full_line) <= 200")), "Worthless"))
 query("G31_workspace_remove", "SELECT id, path FROM g_files WHERE root_id IS NULL OR root_id <> 2")(lambda g: maintain.workspace_remove(g, "/roots/r2").files.select("id", "path"))
 query("G32_workspace_list", "SELECT r AS root_id, '/roots/r' || r AS path, (SELECT count(*) FROM g_files WHERE root_id = r) AS file_count, (SELECT count(*) FROM g_nodes WHERE node_type = 'symbol' AND id // 1000000000 = r) AS symbol_count, (SELECT count(*) FROM g_edges WHERE src_id // 1000000000 = r) AS edge_count FROM (SELECT unnest([1, 2, 3])::BIGINT AS r)")(lambda g: maintain.workspace_list(g))
 query("G33_doctor", "SELECT 'refs.containing_node_id -> nodes' AS \"check\", count(*) AS n FROM g_refs r WHERE NOT EXISTS (SELECT 1 FROM g_nodes n WHERE n.id = r.containing_node_id)")(lambda g: maintain.violations(g))

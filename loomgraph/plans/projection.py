@@ -117,12 +117,12 @@ def byte_prefix(text: Column, n: int) -> Column:
 
 
 def content_lines(texts: DataFrame) -> DataFrame:
-    """(file_id, line_no, content) of the eligible lines of (file_id, text): three word characters at least, 200 bytes at most."""
+    """(file_id, line_no, content, full_line) of the eligible lines of (file_id, text): three word characters at least; content is the prefix of 200 bytes at most."""
     each = texts.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.regexp_replace("line", "\r$", "")
     words = F.length(F.regexp_replace(line, "[^A-Za-z0-9_]", ""))
     cut = F.when(F.octet_length(line) <= 200, line).otherwise(byte_prefix(line, 200))
-    return each.where((F.length(line) >= 3) & (words >= 3)).select("file_id", (F.col("pos") + 1).cast("int").alias("line_no"), cut.alias("content"))
+    return each.where((F.length(line) >= 3) & (words >= 3)).select("file_id", (F.col("pos") + 1).cast("int").alias("line_no"), cut.alias("content"), line.alias("full_line"))
 
 
 def project(spark: SparkSession, sf_dir: str) -> Graph:

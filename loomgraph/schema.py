@@ -16,7 +16,7 @@ TABLES = {
     "nodes": "id bigint, node_type string, file_id bigint, kind string, name string, qualname string, signature string, start_line int, start_col int, end_line int, end_col int, is_definition int, visibility string, doc string, stable_key string",
     "refs": "id bigint, file_id bigint, kind string, name string, start_line int, start_col int, end_line int, end_col int, resolved_node_id bigint, evidence string, containing_node_id bigint, arg_count int, arg_pattern string, receiver_type_hint string",
     "edges": "id bigint, src_id bigint, dst_id bigint, kind string, confidence double, evidence string",
-    "lines": "file_id bigint, line_no int, content string",
+    "lines": "file_id bigint, line_no int, content string, full_line string",
     "kv": "key string, value string",
     "quarantine": "path string, crash_count int, first_crash string, last_crash string, error string",
 }

@@ -182,6 +182,19 @@ def test_text(spark):
     assert set(column(text.index_lines(g, texts, tracked), "file_id")) == {2}
 
 
+def test_search_of_long_lines(spark):
+    g = build(spark, [(1, "a.cpp", "cpp")], [], [])
+    long = "x = 1; " * 40 + "Worthless tail"
+    body = f"{long}\nworthless short\n{'worthless ' * 30}end\nother\n"
+    g = g.with_tables(lines=text.index_lines(g, spark.createDataFrame([("a.cpp", body)], "path string, text string")))
+    assert [(r["line"], r["text"], r["match_count"]) for r in text.code_search(g, "worthless").orderBy("line").collect()] == [(i + 1, body.split("\n")[i], 3) for i in range(3)]
+    assert text.code_search(g, "Worthless", case_sensitive=True, context_lines=1).first()["text"] == f"1: {long}\n2: worthless short"
+    assert text.match_counts(text.code_hits(g, "tail")).first()["match_count"] == 1
+    assert max(len(c) for c in column(g.lines, "content")) == 200
+    old = g.with_tables(lines=g.lines.withColumn("full_line", F.lit(None).cast("string")))
+    assert column(text.code_search(old, "short"), "text") == ["worthless short"]
+
+
 def test_store_and_doctor(zoo, spark, tmp_path):
     where = f"file://{tmp_path}/store"
     assert current_version(spark, where) == 0
