@@ -62,8 +62,8 @@ PATTERNS = [
     ("person", rf"(?<!\w)(?:{_titles})\.? {_name}(?: {_name})?(?!\w)|(?<!\w)(?:{_given}) {_name}(?!\w)"),
 ]
 _ALL = "|".join(f"(?P<{kind}>{p})" if kind != "card" else f"(?P<card>{p.replace(chr(92) + '1', '(?P=sep)').replace('([ -]?)', '(?P<sep>[ -]?)', 1)})" for kind, p in PATTERNS)
-#: Rows without such a character sequence hold no entity: digits, an at sign, long codes, titles, listed names.
-_MAY_HOLD = rf"[0-9@]|(?:{_titles})\.? |(?:{_given}) "
+#: Rows without such a character sequence hold no entity, one for what each pattern cannot do without: digits (of any script, as in the patterns), an at sign, prefixes of keys, hex between colons, titles, listed names.
+_MAY_HOLD = rf"[\p{{Nd}}@]|(?:AKIA|ASIA)[A-Z]|(?:sk|pk|ghp|xox[abp])[-_]|[a-fA-F]:[a-fA-F]{{1,4}}:|(?:{_titles})\.? |(?:{_given}) "
 
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя"}
 _ALPHABETS = {
