@@ -1,17 +1,19 @@
 """Text of web pages without what a host repeats.
 
-The token streams of a host's pages are concatenated and their suffixes sorted
-by their first ``MIN_TOKENS`` tokens (a suffix array to that depth, by prefix
-doubling). Neighbours that agree so far and lie on distinct pages are repeats;
-every token that a repeat covers is removed, and what is left are the page's
-unique runs. A longer repeat is the union of its windows of ``MIN_TOKENS``
-tokens, so that depth finds all.
-
-A host whose pages exceed ``HOT_BYTES`` would make one huge task. Its suffixes
-are dealt to as many tasks as its size asks for, by a hash of their first
-``MIN_TOKENS`` tokens: suffixes that agree so far meet, so each task sorts one
-part of the host's suffix array, and sends back one bit per suffix. Results
-are the same for either way.
+Pages are parsed once, into lots of a bounded size that are written to the
+shared folder. The token streams of a lot's pages are concatenated, host by
+host, and their suffixes sorted by their first ``MIN_TOKENS`` tokens (a suffix
+array to that depth, by prefix doubling). Neighbours that agree so far and lie
+on distinct pages are repeats; every token that a repeat covers is removed,
+and what is left are the page's unique runs. A longer repeat is the union of
+its windows of ``MIN_TOKENS`` tokens, so that depth finds all: the result is
+that of all maximal common substrings (LCP) of at least so many tokens.
+
+A host lies in many lots. Each lot sends every distinct window of its suffix
+array once, as a 64-bit hash with the number of pages it occurs on there; the
+hash deals them to parts of even size, in which the counts of all lots are
+added, and each lot gets one bit per window back. No host is treated apart: a
+window that every page of a hot host carries is one entry a lot.
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import WordHasher, mix64, text_chunks
+from loomgraph.scratch import materialize
 
-MIN_TOKENS, MIN_PAGES, HOT_BYTES, MOST_HOT = 8, 2, 8 << 20, 200_000
+MIN_TOKENS, MIN_PAGES = 8, 2
+#: Bytes of html in a lot (or one longer page); bytes of html for each part of the windows.
+LOT_BYTES, PART_BYTES = 8 << 20, 64 << 20
 RESULT = "page_id bigint, url string, text string, n_tokens int, n_removed int"
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -76,16 +82,15 @@ def window_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def _shared(rank: np.ndarray, page: np.ndarray, least_pages: int) -> np.ndarray:
-    """Whether each entry's rank occurs on at least ``least_pages`` distinct pages."""
+def page_counts(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """On how many distinct pages each rank occurs, at each of its entries."""
     order = np.lexsort((page, rank))  # the suffix array
     r, p = rank[order], page[order]
     new = np.concatenate(([True], r[1:] != r[:-1]))
     fresh = new | np.concatenate(([True], p[1:] != p[:-1]))
     group = np.cumsum(new) - 1
-    many = np.bincount(group, weights=fresh) >= least_pages
-    out = np.empty(len(rank), bool)
-    out[order] = many[group]
+    out = np.empty(len(rank), np.int64)
+    out[order] = np.bincount(group, weights=fresh).astype(np.int64)[group]
     return out
 
 
@@ -137,126 +142,103 @@ def _unblob(blob: bytes) -> list[str]:
     return (pa.Codec("zstd").decompress(blob[8:], size, asbytes=True).decode() if size else "").split("\0")
 
 
-def _by_host(batch: pa.RecordBatch, wanted) -> Iterator[tuple[str, list, list, list]]:
-    """(host, ids, urls, texts) of the batch's pages, host by host."""
-    hosts = np.array(batch.column("__host").to_pylist(), object)
-    order = np.argsort(hosts, kind="stable")
-    for part in np.split(order, np.flatnonzero(hosts[order][1:] != hosts[order][:-1]) + 1) if len(order) else ():
-        host = hosts[part[0]]
-        if wanted(host):
-            rows = batch.take(pa.array(part))
-            texts = [visible_text(h).replace("\0", " ") if h else "" for h in rows.column("html").to_pylist()]
-            yield host, rows.column("page_id").to_pylist(), rows.column("url").to_pylist(), texts
+def _windows(hosts: list[str], texts: list[str], depth: int) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens' start, end and pages' first token), and of each window its token, hash and distinct number, and pages by number.
 
-
-def hot_hosts(pages: DataFrame, hot_bytes: int = HOT_BYTES) -> dict[str, int]:
-    """Parts of each host above the bound; of more than ``MOST_HOT`` such hosts the largest, so the driver's share is bounded."""
-    size = pages.groupBy("__host").agg(F.sum(F.octet_length("html")).alias("n")).where(F.col("n") > hot_bytes)
-    return {r["__host"]: -(-r["n"] // hot_bytes) for r in size.orderBy(F.desc("n"), "__host").limit(MOST_HOT).collect()}
-
-
-def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    Windows are equal if their tokens and hosts are; the hash stands for both.
+    """
+    tokens, starts, ends, first = _tokens(pa.array(texts, pa.string()), WordHasher(by_space=True))
+    at, page = _starts(first, depth)
+    seeds = np.array([xxhash.xxh3_64_intdigest(h.encode()) for h in hosts], np.uint64)
+    grams = seeds[page] if len(at) else np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(depth):
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + tokens[at + j]
+    if not len(at):
+        return (starts, ends, first), at, mix64(grams), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams, number = np.unique(mix64(grams), return_inverse=True)
+    host = np.unique(seeds, return_inverse=True)[1].astype(np.uint64)[page]
+    rank = np.unique(window_ranks(tokens, depth)[at].astype(np.uint64) << np.uint64(24) | host, return_inverse=True)[1] if len(host) else host
+    pages = np.zeros(len(grams), np.int64)
+    pages[number] = page_counts(rank, page)
+    return (starts, ends, first), at, grams, number, pages
+
+
+def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, lot_bytes: int = LOT_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(page_id, url, text, n_tokens kept, n_removed), one row per row of ``pages``.
 
     Rows count as pages of their own, so a page that is repeated, with its id
     or under another, is all repeat and left empty. A null url has the host
-    ''; null or empty html gives an empty text. Ids may be null. Tokens are
-    runs between white space, compared as written. Empty tables give none;
-    other columns are not read.
+    ''; null or empty html gives an empty text; a page of any length is one
+    text. Ids may be null. Tokens are runs between white space, compared as
+    written. Empty tables give none; other columns are not read.
     """
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("__host"))
-    hot = hot_hosts(rows, hot_bytes)
+    if not 1 <= min_pages <= 255:
+        raise ValueError("min_pages must be from 1 to 255")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            size = np.array([len(h) if h else 0 for h in batch.column("html").to_pylist()], np.int64)
+            lot = np.cumsum(size) // lot_bytes
+            for i in np.unique(lot).tolist():
+                part = batch.filter(pa.array(lot == i))
+                texts = [visible_text(h).replace("\0", " ") if h else "" for h in part.column("html").to_pylist()]
+                cols = ([number], pa.int64()), ([part.column("host").to_pylist()], pa.list_(pa.string())), ([part.column("page_id").to_pylist()], pa.list_(pa.int64())), ([part.column("url").to_pylist()], pa.list_(pa.string())), ([_blob(texts)], pa.binary()), ([int(size[lot == i].sum())], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(*c) for c in cols], names=["lot", "hosts", "ids", "urls", "blob", "size"])
+                number += 1
+
+    lots = materialize(rows.mapInArrow(parse, "lot bigint, hosts array<string>, ids array<bigint>, urls array<string>, blob binary, size bigint"), "lots")
+    total = lots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(-(-total // part_bytes), pages.sparkSession.sparkContext.defaultParallelism)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each lot and part: the distinct windows' hashes, in order, and pages (at most 255 count)."""
         for batch in batches:
-            found = list(_by_host(batch, lambda h: h not in hot))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string())), pa.array([_blob(f[3]) for f in found], pa.binary())], names=["host", "ids", "urls", "blob"])
-
-    def one_host(table: pa.Table) -> pa.Table:
-        ids, urls = ([x for row in table[c].to_pylist() for x in row] for c in ("ids", "urls"))
-        texts = [t for blob in table["blob"].to_pylist() for t in _unblob(blob)]
-        tokens, starts, ends, first = _tokens(pa.array(texts, pa.string()), WordHasher(by_space=True))
-        at, page = _starts(first, min_tokens)
-        gone = np.zeros(len(tokens), bool)
-        if len(at):
-            rank = window_ranks(tokens, min_tokens)[at]
-            gone = covered(first, at[_shared(rank, page, min_pages)], min_tokens)
-        return pa.Table.from_batches([_result(ids, urls, *_unique_runs(texts, starts, ends, first, gone))])
-
-    done = rows.mapInArrow(plain, "host string, ids array<bigint>, urls array<string>, blob binary").groupBy("host").applyInArrow(one_host, RESULT)
-    if not hot:
-        return done
-
-    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list, list, list]]:
-        """Pages of a hot host from one batch; named alike whenever the split is read."""
-        split = TaskContext.get().partitionId()
-        for n, batch in enumerate(batches):
-            for host, ids, urls, texts in _by_host(batch, lambda h: h in hot):
-                yield f"{split}-{n}-{host}", host, ids, urls, texts
-
-    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot, _, ids, urls, texts in lots(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([lot], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([urls], pa.list_(pa.string())), pa.array([_blob(texts)], pa.binary())], names=["lot", "ids", "urls", "blob"])
-
-    def part_of(grams: np.ndarray, host: str) -> np.ndarray:
-        return (grams % np.uint64(hot[host])).astype(np.int64)
-
-    def window_hashes(texts: list[str], hasher: WordHasher) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
-        found = _tokens(pa.array(texts, pa.string()), hasher)
-        tokens, first = found[0], found[3]
-        at, page = _starts(first, min_tokens)
-        grams = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(min_tokens):
-                grams = grams * np.uint64(0x9E3779B97F4A7C15) + tokens[at + j]
-        return found, at, page, mix64(grams)
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per lot and part: pages' suffix counts, and 48 bits of each suffix's hash besides the part."""
-        hasher = WordHasher(by_space=True)
-        for lot, host, _, _, texts in lots(batches):
-            _, _, page, grams = window_hashes(texts, hasher)
-            part = part_of(grams, host)
-            cols: list[list] = [[] for _ in range(5)]
-            for k in np.unique(part).tolist():
-                mine = part == k
-                bits = grams[mine] >> np.uint64(16)
-                packed = np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                for col, v in zip(cols, (lot, host, k, np.bincount(page[mine], minlength=len(texts)).astype(np.int32), packed)):
-                    col.append(v)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["lot", "host", "part", "counts", "suffixes"])
-
-    def sort_part(table: pa.Table) -> pa.Table:
-        counts = [np.array(c, np.int64) for c in table["counts"].to_pylist()]
-        pages_before = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
-        page = np.concatenate([np.repeat(np.arange(len(c)) + b, c) for c, b in zip(counts, pages_before)])
-        raw = np.frombuffer(b"".join(table["suffixes"].to_pylist()), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        flags = _shared(wide.view(np.uint64)[:, 0], page, min_pages)
-        ends = np.cumsum([int(c.sum()) for c in counts])
-        bits = [np.packbits(flags[e - int(c.sum()) : e]).tobytes() for c, e in zip(counts, ends)]
-        return pa.table({"lot": table["lot"].cast(pa.string()), "part": table["part"], "bits": pa.array(bits, pa.binary())})
+            for lot, hosts, blob in zip(*(batch.column(c).to_pylist() for c in ("lot", "hosts", "blob"))):
+                _, _, grams, _, count = _windows(hosts, _unblob(blob), min_tokens)
+                part = grams % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                which, begin = np.unique(part[order], return_index=True)
+                grams, count = grams[order], np.minimum(count[order], 255).astype(np.uint8)
+                ends = [*begin[1:].tolist(), len(grams)]
+                pieces = [(grams[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(begin.tolist(), ends)]
+                cols = ([lot] * len(which), pa.int64()), (which.astype(np.int64), pa.int64()), ([p[0] for p in pieces], pa.binary()), ([p[1] for p in pieces], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(*c) for c in cols], names=["lot", "part", "grams", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        """Of one part: which windows of each lot occur on enough pages of all lots together."""
+        raw = table["grams"].to_pylist()
+        grams = np.frombuffer(b"".join(raw), np.uint64)
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
+        number = np.unique(grams, return_inverse=True)[1]
+        flags = (np.bincount(number, weights=counts) >= min_pages)[number] if len(grams) else np.zeros(0, bool)
+        ends = np.cumsum([len(r) // 8 for r in raw]).tolist()
+        bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip([0, *ends], ends)]
+        return pa.table({"lot": table["lot"], "part": table["part"], "bits": pa.array(bits, pa.binary())})
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        hasher, batches = WordHasher(by_space=True), []
         bits = dict(zip(right["part"].to_pylist(), right["bits"].to_pylist()))
-        for lot, ids, urls, blob in zip(*(left[c].to_pylist() for c in ("lot", "ids", "urls", "blob"))):
+        batches = []
+        for hosts, ids, urls, blob in zip(*(left[c].to_pylist() for c in ("hosts", "ids", "urls", "blob"))):
             texts = _unblob(blob)
-            (_, starts, ends, first), at, _, grams = window_hashes(texts, hasher)
-            part = part_of(grams, lot.split("-", 2)[2])
-            flags = np.zeros(len(at), bool)
-            for k, packed in bits.items():
-                mine = part == k
-                flags[mine] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(mine.sum())).astype(bool)
-            batches.append(_result(ids, urls, *_unique_runs(texts, starts, ends, first, covered(first, at[flags], min_tokens))))
+            (starts, ends, first), at, grams, number, _ = _windows(hosts, texts, min_tokens)
+            part = (grams % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            which, begin = np.unique(part[order], return_index=True)
+            size = np.diff([*begin.tolist(), len(grams)])
+            flags = np.zeros(len(grams), bool)
+            if len(which):
+                flags[order] = np.concatenate([np.unpackbits(np.frombuffer(bits[k], np.uint8), count=n) for k, n in zip(which.tolist(), size.tolist())]).astype(bool)
+            gone = covered(first, at[flags[number]], min_tokens)
+            batches.append(_result(ids, urls, *_unique_runs(texts, starts, ends, first, gone)))
         return pa.Table.from_batches(batches or [_result([], [], [], [], [])])
 
-    masks = rows.mapInArrow(suffixes, "lot string, host string, part int, counts array<int>, suffixes binary").groupBy("host", "part").applyInArrow(sort_part, "lot string, part int, bits binary")
-    lot_texts = rows.mapInArrow(texts_of, "lot string, ids array<bigint>, urls array<string>, blob binary")
-    return done.unionByName(lot_texts.groupBy("lot").cogroup(masks.groupBy("lot")).applyInArrow(clean, RESULT))
+    found = lots.select("lot", "hosts", "blob").mapInArrow(windows, "lot bigint, part bigint, grams binary, counts binary")
+    masks = found.repartition(parts, "part").groupBy("part").applyInArrow(add, "lot bigint, part bigint, bits binary")
+    texts = lots.drop("size").repartition(parts, "lot").groupBy("lot")
+    return texts.cogroup(masks.repartition(parts, "lot").groupBy("lot")).applyInArrow(clean, RESULT)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

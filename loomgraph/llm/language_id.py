@@ -16,6 +16,7 @@ folds neighbouring positions into tables over pairs of classes.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,12 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     """(window x length classes, row of each window, bytes in each window); empty rows have none."""
     size = np.diff(offsets)
     per_row = -(-size // length)
+    if len(size) == 1:  # a long row: no index per byte
+        out = np.zeros(int(per_row[0]) * length, np.uint8)
+        out[: len(data)] = CLASSES[data]
+        filled = np.full(int(per_row[0]), length)
+        filled[-1:] = len(data) - (len(filled) - 1) * length
+        return out.reshape(-1, length), np.zeros(len(filled), np.int64), filled
     first = np.concatenate(([0], np.cumsum(per_row)))
     n = int(first[-1])
     out = np.zeros(n * length, np.uint8)
@@ -173,18 +180,35 @@ def no_language(n: int, seed: int = SEED, length: int = LENGTH) -> np.ndarray:
 
 
 def sample_windows(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> dict[str, np.ndarray]:
-    """Training windows by label: of each label the ``sample`` rows of least id hash, evenly spread windows of each.
-
-    The count of rows by label reads no text; one scan then keeps the rows
-    whose hash is below the bound that leaves about one and a half samples.
+    """Training windows by label: of each label the ``sample`` different texts of least hash, evenly spread windows of each.
+
+    The count of rows by label reads no text; one scan then keeps the texts
+    whose hash is below the bound that leaves about one and a half samples. A
+    text counts once however often it is repeated and whatever its id; where
+    repeats leave a label short, the bound is raised for it and the scan
+    repeated. So the driver gets less than 8 * (1.5 * sample + 50) texts'
+    windows of a label; labels are languages, of which there are few. Rows
+    without a label or text are not used.
     """
-    labelled = docs.where("lang IS NOT NULL AND trim(lang) <> '' AND text IS NOT NULL AND text <> ''")
+    labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND trim(lang) <> '' AND text IS NOT NULL AND text <> ''")
     counts = {r["lang"]: r["n"] for r in docs.where("lang IS NOT NULL AND trim(lang) <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    u = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("double") + 2.0**63) / 2.0**64
-    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, (1.5 * sample + 50) / n))) for k, n in sorted(counts.items())])
-    picked = labelled.select(F.col("lang"), F.col("text").cast("string").alias("text"), u.alias("u")).where(F.col("u") <= bound)
+    bounds = {k: min(1.0, (1.5 * sample + 50) / n) for k, n in counts.items()}
+    found: dict[str, np.ndarray] = {}
+    while bounds:
+        kept = _sampled(labelled, bounds, windows)
+        for lang, part in kept.groupby("lang", sort=True):
+            least = np.unique(part["u"])[:sample]
+            found[lang] = np.stack([np.frombuffer(w, np.uint8) for w in part[part["u"].isin(least)].sort_values(["u", "window"])["window"]])
+        texts = kept.groupby("lang")["u"].nunique().to_dict()
+        bounds = {k: min(1.0, 8 * b) for k, b in bounds.items() if b < 1 and texts.get(k, 0) < sample}
+    return found
+
+
+def _sampled(labelled: DataFrame, bounds: dict[str, float], windows: int):
+    """(lang, u, window) of the texts below their labels' bounds, each once."""
+    u = (F.xxhash64("text").cast("double") + 2.0**63) / 2.0**64
+    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(b)) for k, b in sorted(bounds.items())])
+    picked = labelled.select("lang", "text", u.alias("u")).where(F.col("u") <= bound).dropDuplicates(["lang", "u"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,18 +220,13 @@ def sample_windows(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS
                 at = at[at < len(row)]
                 yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row[at] + begin)), batch.column("u").take(pa.array(row[at] + begin)), pa.array([w.tobytes() for w in x[at]], pa.binary())], names=["lang", "u", "window"])
 
-    rows = picked.mapInArrow(cut, "lang string, u double, window binary").toPandas()
-    found = {}
-    for lang, part in rows.groupby("lang", sort=True):
-        part = part.sort_values(["u", "window"])
-        least = part["u"].drop_duplicates().head(sample)
-        found[lang] = np.stack([np.frombuffer(w, np.uint8) for w in part[part["u"].isin(least)]["window"]])
-    return found
+    return picked.mapInArrow(cut, "lang string, u double, window binary").toPandas()
 
 
 def fit(windows: dict[str, np.ndarray], seed: int = SEED, epochs: int = EPOCHS) -> ByteCNN | None:
-    """A network for the labels, and ``und``; None without any labelled window."""
+    """A network for the labels, and ``und``; None, and a warning, without any labelled window."""
     if not windows:
+        warnings.warn("no labelled text: languages can't be told, and every text that isn't empty is accepted", stacklevel=2)
         return None
     labels = sorted(windows) + [UND]
     rng = np.random.default_rng(seed)

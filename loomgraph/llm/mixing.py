@@ -8,10 +8,15 @@ taken; what remains is filled by the longest prefix, in key order, whose
 tokens fit.
 
 A sort of a whole source would put the hot source in one task. Keys are
-radix-partitioned instead: tokens are summed by (source, key bucket), the
-prefix sum over these sums finds the one bucket of each source in which the
-budget ends, and only that bucket's rows are sorted and summed one by one.
-The result is that of the full sort.
+radix-partitioned instead, by their logarithm, so that a bucket holds less
+than 1/10,000 of a source whatever the weights: tokens are summed by (source,
+bucket), the prefix sum over these sums finds the one bucket of each source in
+which the budget ends, and only that bucket's rows are sorted and summed one
+by one. The result is that of the full sort.
+
+Rows are numbered and their tokens counted once, in a table in the shared
+folder; decisions are made over its slim columns and meet the texts by row
+number, which no source or repeated document can make uneven.
 """
 
 from __future__ import annotations
@@ -20,14 +25,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomgraph.llm.columns import all_of, unused, with_row_ids
 from loomgraph.scratch import materialize
 
-BUCKETS = 65_536
+#: Key buckets for each step of e in the key.
+BUCKETS = 6_000
+NO_BUCKET = 1 << 30
 WEIGHTS = {1: 1.0, 0: 0.25, None: 0.5}
 SEED = "mix-1"
 NO_SOURCE = ""
 #: Sources up to which their budgets are sent to every task; more meet the rows in a shuffle join.
 MOST_BROADCAST = 100_000
+#: Copies of a row that one task makes at once.
+RUN = 4096
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -43,6 +53,40 @@ def exponential_key(weight: Column, key: str = "doc_id", seed: str = SEED) -> Co
     return -F.log(u) / weight
 
 
+def _decide(rows: DataFrame, labels: DataFrame, shares: dict[str, float] | None, total_tokens: int | None) -> DataFrame:
+    """(row, doc_id, source, tokens, weight, epochs, taken) of rows (row, doc_id, source, tokens)."""
+    quality = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("quality")).groupBy("label_id").agg(F.min("quality").alias("quality"))
+    weight = F.when(F.col("quality") == 1, WEIGHTS[1]).when(F.col("quality") == 0, WEIGHTS[0]).otherwise(WEIGHTS[None])
+    rows = rows.withColumn("name", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+    rows = rows.join(quality, F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
+    rows = rows.withColumn("weight", weight).drop("quality").withColumn("key", exponential_key(F.col("weight")))
+    rows = materialize(rows.withColumn("bucket", F.floor(F.log("key") * BUCKETS).cast("int")), "mixture")
+
+    sums = rows.groupBy("name", "bucket").agg(F.sum("tokens").alias("tokens"))
+    held = sums.groupBy("name").agg(F.sum("tokens").alias("held"))
+    if shares is None:
+        target = held.withColumn("share", F.lit(1.0))
+    else:
+        named = rows.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "name string, share double")
+        target = held.join(named, "name", "left").fillna(0.0, ["share"])
+    whole = target.agg(F.sum("held").alias("all"), F.sum("share").alias("shares"))
+    total = F.col("all") if total_tokens is None else F.lit(int(total_tokens))
+    budget = F.when(F.col("shares") > 0, F.floor(total * (F.col("share") / F.col("shares")))).otherwise(F.lit(0)).cast("bigint")
+    target = target.crossJoin(F.broadcast(whole)).withColumn("budget", budget)  # one row on the broadcast side
+    target = target.withColumn("epochs", F.when(F.col("held") > 0, F.expr("budget div held")).otherwise(F.lit(0))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("held"))
+    before = F.sum("tokens").over(W.partitionBy("name").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens")
+    last = sums.withColumn("before", before).join(target.select("name", "rest"), "name").where("before + tokens > rest")
+    last = last.groupBy("name").agg(F.min(F.struct("bucket", "before")).alias("at"))
+    cut = target.join(last, "name", "left").select("name", "epochs", "rest", F.coalesce(F.col("at.bucket"), F.lit(NO_BUCKET)).alias("last"), F.coalesce(F.col("at.before"), F.lit(0)).alias("before"))
+    cut = materialize(cut, "cut")  # one row a source
+    rows = rows.join(F.broadcast(cut) if cut.count() <= MOST_BROADCAST else cut, "name")
+    edge = rows.where("bucket = last AND rest > 0")
+    in_order = W.partitionBy("name").orderBy("key", "doc_id", "tokens", "row").rowsBetween(W.unboundedPreceding, 0)
+    edge = edge.withColumn("taken", (F.col("before") + F.sum("tokens").over(in_order) <= F.col("rest")).cast("bigint"))
+    clear = rows.where("NOT (bucket = last AND rest > 0)").withColumn("taken", ((F.col("bucket") < F.col("last")) & (F.col("rest") > 0)).cast("bigint"))
+    return clear.unionByName(edge).select("row", "doc_id", "source", "tokens", "weight", "epochs", "taken")
+
+
 def mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, total_tokens: int | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, weight, epochs, taken) of every row of ``docs``; it gets ``epochs + taken`` copies.
 
@@ -53,78 +97,57 @@ def mixture(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None
     label; of repeated labels the lowest counts.
 
     A null source is a source of its own, named ''. A null id is hashed as the
-    empty string and has no label. Documents without tokens cost nothing: they
-    come with each epoch and with a prefix that passes them. Ties of keys are
-    broken by id, then tokens; rows that repeat an id share its key, and each
-    is taken and paid for by itself. Empty tables give empty tables.
-
-    Texts are read once, for their token counts; all else is over those slim
-    rows, which are written to the shared folder.
+    empty string and has no label. Documents without tokens (null, empty and
+    blank texts) cost nothing: they come with each epoch and with a prefix
+    that passes them; texts of any length are counted whole. Ties of keys are
+    broken by id, then tokens, then row; rows that repeat an id share its key,
+    and each is taken and paid for by itself. Empty tables give empty tables;
+    other columns are not read.
     """
-    quality = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality"))
-    weight = F.when(F.col("__quality") == 1, WEIGHTS[1]).when(F.col("__quality") == 0, WEIGHTS[0]).otherwise(WEIGHTS[None])
-    rows = docs.select("doc_id", "source", n_tokens().alias("__tokens"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("__source"))
-    rows = rows.join(quality, F.col("doc_id") == F.col("__label_id"), "left").drop("__label_id")
-    rows = rows.withColumn("__weight", weight).withColumn("__key", exponential_key(F.col("__weight")))
-    rows = rows.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key") / 2)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    rows = materialize(rows.drop("__quality"), "mixture")
-
-    sums = rows.groupBy("__source", "__bucket").agg(F.sum("__tokens").alias("__sum"))
-    by_bucket = W.partitionBy("__source").orderBy("__bucket")
-    held = sums.groupBy("__source").agg(F.sum("__sum").alias("__held"))
-    if shares is None:
-        target = held.withColumn("__share", F.lit(1.0))
-    else:
-        named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "__name string, __share double")
-        target = held.join(named, F.col("__source") == F.col("__name"), "left").drop("__name").fillna(0.0, ["__share"])
-    whole = target.agg(F.sum("__held").alias("__all"), F.sum("__share").alias("__shares"))
-    total = F.col("__all") if total_tokens is None else F.lit(int(total_tokens))
-    budget = F.when(F.col("__shares") > 0, F.floor(total * (F.col("__share") / F.col("__shares")))).otherwise(F.lit(0)).cast("bigint")
-    target = target.crossJoin(F.broadcast(whole)).withColumn("__budget", budget)  # one row on the broadcast side
-    epochs = F.when(F.col("__held") > 0, F.expr("__budget div __held")).otherwise(F.lit(0))
-    target = target.withColumn("epochs", epochs).withColumn("__rest", F.col("__budget") - F.col("epochs") * F.col("__held"))
-    run = sums.withColumn("__before", F.sum("__sum").over(by_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum"))
-    last = run.join(target.select(F.col("__source").alias("__s"), "__rest"), F.col("__source") == F.col("__s")).where("__before + __sum > __rest")
-    last = last.groupBy("__s").agg(F.min(F.struct("__bucket", "__before")).alias("__at"))
-    cut = target.join(last, F.col("__source") == F.col("__s"), "left").select(
-        F.col("__source").alias("__cut_source"), "epochs", "__rest",
-        F.coalesce(F.col("__at.__bucket"), F.lit(BUCKETS)).alias("__last"), F.coalesce(F.col("__at.__before"), F.lit(0)).alias("__before"),
-    )
-    cut = materialize(cut, "cut")  # one row a source
-    rows = rows.join(F.broadcast(cut) if cut.count() <= MOST_BROADCAST else cut, F.col("__source") == F.col("__cut_source"))
-    edge = rows.where("__bucket = __last AND __rest > 0")
-    in_order = W.partitionBy("__source").orderBy("__key", "doc_id", "__tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("taken", (F.col("__before") + F.sum("__tokens").over(in_order) <= F.col("__rest")).cast("bigint"))
-    clear = rows.where("NOT (__bucket = __last AND __rest > 0)").withColumn("taken", ((F.col("__bucket") < F.col("__last")) & (F.col("__rest") > 0)).cast("bigint"))
-    return clear.unionByName(edge).select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), "epochs", "taken")
+    slim = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_tokens().alias("tokens"))
+    return _decide(with_row_ids(slim, "row", "counted"), labels, shares, total_tokens).select("doc_id", "source", F.col("tokens").alias("n_tokens"), "weight", "epochs", "taken")
 
 
-def _row_key(tokens: Column) -> Column:
-    """What rows of equal decisions share: id, tokens and source, as one text."""
-    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), tokens.cast("string"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+def _mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None, total_tokens: int | None) -> tuple[DataFrame, list[str]]:
+    """``docs`` with tokens, weight, epochs and copies in columns of names that it returns; rows of no copies are gone."""
+    names = unused(docs.columns, "row_number", "n_tokens", "weight", "epochs", "copies")
+    row, tokens, weight, epochs, copies = names
+    numbered = with_row_ids(docs, row, "numbered", **{tokens: n_tokens()})
+    slim = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col(tokens).alias("tokens"))
+    choice = _decide(slim, labels, shares, total_tokens).where("epochs + taken > 0")
+    choice = choice.select(F.col("row").alias(row), F.col("weight").alias(weight), F.col("epochs").alias(epochs), (F.col("epochs") + F.col("taken")).alias(copies))
+    return numbered.join(choice, row).drop(row), names[1:]
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, total_tokens: int | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``, ``weight``, ``epochs`` and ``copies``, rows of no copies dropped; see ``mixture``.
 
-    Texts move once, to meet their decisions. Rows of equal id, tokens and
-    source are interchangeable there: those of least text hash get the taken
-    copies. Columns of ``docs`` named as result columns are replaced.
+    Columns of ``docs`` named as result columns are replaced.
     """
     made = ("n_tokens", "weight", "epochs", "copies")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    choice = mixture(docs, labels, shares, total_tokens).where("epochs + taken > 0").groupBy(_row_key(F.col("n_tokens")).alias("__choice"))
-    choice = choice.agg(F.first("weight").alias("__weight"), F.first("epochs").alias("__epochs"), F.sum("taken").alias("__taken"))
-    rows = docs.select(*kept, n_tokens().alias("__tokens"))
-    rows = rows.withColumn("__row", _row_key(F.col("__tokens"))).withColumn("__nth", F.row_number().over(W.partitionBy("__row").orderBy(F.xxhash64("text"))))
-    rows = rows.join(choice, F.col("__row") == F.col("__choice"))
-    rows = rows.withColumn("copies", F.col("__epochs") + (F.col("__nth") <= F.col("__taken")).cast("bigint")).where("copies > 0")
-    return rows.select(*kept, F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__epochs").alias("epochs"), "copies")
-
-
-def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as ``copies`` says, with ``columns`` only."""
-    return mixed.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    kept = [c for c in docs.columns if c.lower() not in made]
+    rows, names = _mixed(docs, labels, shares, total_tokens)
+    return rows.select(*all_of(kept), *[F.col(n).alias(m) for n, m in zip(names, made)])
+
+
+def mixed_copies(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, total_tokens: int | None = None) -> DataFrame:
+    """``docs`` with each row as often as the mixture takes it, all its columns as they are, whatever their names."""
+    rows, names = _mixed(docs, labels, shares, total_tokens)
+    return repeat_copies(rows, docs.columns, names[-1])
+
+
+def repeat_copies(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
+    """Each row as often as ``copies`` says (none if it is null or below 1), with ``columns`` only.
+
+    A row of a tiny source may be due a great many copies: above ``RUN`` they
+    are made by as many tasks as there are runs of that length.
+    """
+    run, nth = unused(mixed.columns, "run", "nth")
+    few = mixed.where(F.col(copies).between(1, RUN)).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    many = mixed.where(F.col(copies) > RUN).withColumn(run, F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(`{copies}` - 1) div {RUN}"))))
+    many = many.repartition(F.xxhash64(run, *all_of(columns[:1])))
+    many = many.withColumn(nth, F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col(copies) - F.col(run) * RUN).cast("int"))))
+    return few.select(*all_of(columns)).unionByName(many.select(*all_of(columns)))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

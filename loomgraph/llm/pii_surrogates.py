@@ -4,19 +4,26 @@ A surrogate is the image of the entity under a keyed bijection on the entities
 of its type and shape, so equal entities get equal surrogates in every
 document and on every machine (coreference), and distinct ones get distinct
 surrogates (no collisions), without a table that grows with the corpus. The
-bijection is an alternating Feistel network over mixed-radix numbers: each
+order of an alternating Feistel network over mixed-radix numbers (each
 character is a digit in the alphabet of its class and script, so lengths,
-punctuation, letter case and scripts stay. Where only some strings are valid
-(check digits, address ranges, names outside the lists), the network is walked
-along its cycle until the result is of the same kind as the entity, which is
-again a bijection; that walk is the collision check, and ``collisions``
-verifies its outcome over a corpus.
-
-Names keep gender and script: listed given names and surnames are permuted
-within their list, other names are rewritten vowel by vowel and consonant by
-consonant and never land on a listed one.
+punctuation, letter case and scripts stay) puts all strings of a shape on one
+cycle; the image is the next string of the same kind on it: of valid check
+digits, of the same address range, outside the lists of names. A step along a
+cycle is a bijection without fixed points, so nothing stands for itself.
+
+Collision check: each new image is walked back, and must lead to its entity;
+besides, entities and surrogates of a document are counted against each other
+(``n_collisions``), and ``collisions`` does so for a whole corpus.
+
+Names are found by a title or an introducing phrase before them, or by a
+listed given name, in any script with letter case. They keep gender and
+script: listed given names and surnames are permuted within their list, other
+names are rewritten vowel by vowel and consonant by consonant and never land
+on a listed one. A name that nothing announces, of no listed given name, is
+not found, nor are names in scripts without case.
 """
 
+
 from __future__ import annotations
 
 import hashlib
@@ -32,7 +39,9 @@ from pyspark.sql import functions as F
 
 KEY = b"surrogate key of the test tables"
 ROUNDS = 8
-RESULT = "doc_id bigint, text string, n_entities int, kinds string"
+#: Characters that one network rewrites at once.
+LONGEST = 128
+RESULT = "doc_id bigint, text string, n_entities int, kinds string, n_collisions int"
 
 GIVEN = {
     ("f", "latin"): "anna maria laura julia sofia clara emma lucia elena carmen isabel camille chloe juliette manon helene claire sophie katharina greta ingrid monika ursula mary emily sarah jessica hannah olivia margaret".split(),
@@ -44,26 +53,43 @@ FAMILY = {
     "latin": "smith johnson brown taylor wilson walker mueller schmidt schneider fischer weber wagner becker hoffmann keller bauer martin bernard dubois durand moreau laurent lefebvre garcia fernandez lopez martinez sanchez perez gomez".split(),
     "cyrillic": "иванов петров сидоров смирнов кузнецов попов васильев соколов михайлов новиков федоров морозов".split(),
 }
-TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "sr": "m", "señor": "m", "don": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "mlle": "f", "sra": "f", "señora": "f", "doña": "f", "dr": "", "prof": "", "г-н": "m", "г-жа": "f"}
+TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "sr": "m", "señor": "m", "don": "m", "pan": "m", "signor": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "mlle": "f", "sra": "f", "señora": "f", "doña": "f", "pani": "f", "signora": "f", "dr": "", "prof": "", "г-н": "m", "г-жа": "f", "κος": "m", "κύριος": "m", "κυρία": "f", "δρ": ""}
+#: Phrases behind which a name of two words stands.
+INTRODUCED = ("my name is", "i am called", "signed by", "written by", "contact person:", "ich heiße", "mein name ist", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "mi chiamo", "nazywam się", "меня зовут", "με λένε")
+
+
+def _letters(upper: bool) -> str:
+    """Ranges of a regular expression's class: letters of scripts with case, up to Armenian."""
+    codes = [c for c in range(0x41, 0x588) if chr(c).isalpha() and (chr(c).isupper() if upper else chr(c).islower())] + list(range(0x1E00 + (not upper), 0x1F00, 2))
+    out, start = "", codes[0]
+    for at, after in zip(codes, [*codes[1:], 0]):
+        if after != at + 1:
+            out += chr(start) if start == at else f"{chr(start)}-{chr(at)}"
+            start = after
+    return out
 
-_name = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
-_titles = "|".join(re.escape(t) for t in sorted({t[0].upper() + t[1:] for t in TITLES}, key=len, reverse=True))
+
+_up, _low = _letters(True), _letters(False)
+_name = rf"[{_up}](?:['’][{_up}])?[{_low}]+(?:[-'’][{_up}][{_low}]+)?"
+_titles = "|".join(re.escape(t) for t in sorted({t[0].upper() + t[1:] for t in TITLES} | {t for t in TITLES if ord(t[0]) > 0x24F}, key=len, reverse=True))
 _given = "|".join(re.escape(n[0].upper() + n[1:]) for names in GIVEN.values() for n in names)
-#: In order: where several match at a place the first counts.
+_phrases = "|".join(f"[{p[0]}{p[0].upper()}]" + re.escape(p[1:]).replace("\\ ", " ") for p in INTRODUCED)
+_hex = "[0-9a-fA-F]{1,4}"
+#: In order: where several match at a place the first counts. No pattern walks over a character more than a few times.
 PATTERNS = [
-    ("email", r"[\w.+-]*[^\W_]@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}"),
-    ("ipv6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"),
-    ("ipv4", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
+    ("email", r"(?<![\w.+-])[\w.+-]*[^\W_]@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}"),
+    ("ipv6", rf"(?<![\w:])(?:(?:{_hex}:){{7}}{_hex}|(?=[0-9a-fA-F:]*\d)(?:{_hex}(?::{_hex}){{0,5}})?::(?:{_hex}(?::{_hex}){{0,5}}))(?![\w:])"),
+    ("ipv4", r"(?<![\w.])(?<!ersion )(?<!elease )(?<!uild )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("secret", r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:sk|pk|ghp|xox[abp])[-_][A-Za-z0-9_-]{16,}"),
     ("card", r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\w|-\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)"),
     ("phone", r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?!\w|-\d)"),
-    ("person", rf"(?<!\w)(?:{_titles})\.? {_name}(?: {_name})?(?!\w)|(?<!\w)(?:{_given}) {_name}(?!\w)"),
+    ("person", rf"(?<!\w)(?:{_titles})\.? {_name}(?: {_name})?(?!\w)|(?<!\w)(?:{_given}) {_name}(?!\w)|(?:(?<=\W)|^)(?:{_phrases}) (?P<introduced>{_name} {_name})(?!\w)"),
 ]
 _ALL = "|".join(f"(?P<{kind}>{p})" if kind != "card" else f"(?P<card>{p.replace(chr(92) + '1', '(?P=sep)').replace('([ -]?)', '(?P<sep>[ -]?)', 1)})" for kind, p in PATTERNS)
-#: Rows without such a character sequence hold no entity, one for what each pattern cannot do without: digits (of any script, as in the patterns), an at sign, prefixes of keys, hex between colons, titles, listed names.
-_MAY_HOLD = rf"[\p{{Nd}}@]|(?:AKIA|ASIA)[A-Z]|(?:sk|pk|ghp|xox[abp])[-_]|[a-fA-F]:[a-fA-F]{{1,4}}:|(?:{_titles})\.? |(?:{_given}) "
+#: Rows without such a character sequence hold no entity, one for what each pattern cannot do without: digits (of any script, as in the patterns), an at sign, prefixes of keys, hex between colons, titles, listed names, introducing phrases.
+_MAY_HOLD = rf"[\p{{Nd}}@]|(?:AKIA|ASIA)[A-Z]|(?:sk|pk|ghp|xox[abp])[-_]|[a-fA-F]:[a-fA-F]{{1,4}}:|(?:{_titles})\.? |(?:{_given}) |(?:{_phrases}) "
 
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя"}
 _ALPHABETS = {
@@ -102,40 +128,62 @@ class Surrogates:
             return int.from_bytes(hashlib.shake_256(self.key + data).digest(size), "big")
         return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=size).digest(), "big")
 
-    def _network(self, a: int, b: int, m: int, n: int, tweak: bytes) -> tuple[int, int]:
+    def _network(self, a: int, b: int, m: int, n: int, tweak: bytes, sign: int = 1) -> tuple[int, int]:
         size = max(16, (max(m, n).bit_length() + 7) // 8 + 8)
-        for r in range(ROUNDS):
+        for r in range(ROUNDS) if sign > 0 else reversed(range(ROUNDS)):
             if r % 2:
-                b = (b + self._hash(b"%s|%d|%x" % (tweak, r, a), size)) % n
+                b = (b + sign * self._hash(b"%s|%d|%x" % (tweak, r, a), size)) % n
             else:
-                a = (a + self._hash(b"%s|%d|%x" % (tweak, r, b), size)) % m
+                a = (a + sign * self._hash(b"%s|%d|%x" % (tweak, r, b), size)) % m
         return a, b
 
+    def _neighbour(self, a: int, b: int, m: int, n: int, tweak: bytes, ok: Callable[[int, int], bool], step: int = 1) -> tuple[int, int]:
+        """The next (or last) value that is ``ok`` on the cycle on which the network puts all (a, b)."""
+        x, y = self._network(a, b, m, n, tweak)
+        at = x * n + y
+        while True:
+            at = (at + step) % (m * n)
+            found = self._network(*divmod(at, n), m, n, tweak, -1)
+            if ok(*found):
+                return found
+
+    def _image(self, a: int, b: int, m: int, n: int, tweak: bytes, ok: Callable[[int, int], bool]) -> tuple[int, int]:
+        found = self._neighbour(a, b, m, n, tweak, ok)
+        if self._neighbour(*found, m, n, tweak, ok, -1) != (a, b):
+            raise ArithmeticError("two entities with one surrogate")
+        return found
+
     def text(self, s: str, tweak: str, named: bool = False, alphabet: str | None = None, ok: Callable[[str], bool] | None = None) -> str:
-        """The image of a lowered string among those of its shape for which ``ok`` is as for it."""
+        """The image of a lowered string among those of its shape for which ``ok`` is as for it; itself only if it is alone."""
         classes = [alphabet if alphabet and c in _ALPHABETS[alphabet] else None if alphabet else _class_of(c, named) for c in s]
         at = [i for i, k in enumerate(classes) if k]
         if not at:
             return s
+        if len(at) > LONGEST:  # piece by piece, each under what came before it: still a bijection, in linear time
+            out, seen = [], 0
+            for i in range(0, len(s), LONGEST):
+                piece = s[i : i + LONGEST]
+                out.append(self.text(piece, f"{tweak}|{len(at)}|{seen}", named, alphabet))
+                seen = self._hash(b"%x|%s" % (seen, piece.encode()), 16)
+            return "".join(out)
         shape = f"{tweak}|{','.join(k or s[i] for i, k in enumerate(classes))}".encode()
         half = (len(at) + 1) // 2
-        want, now = (ok(s) if ok else None), s
-        while True:
-            value = [0, 0]
-            base = [1, 1]
-            for j, i in enumerate(at):
-                letters = _ALPHABETS[classes[i]]
-                value[j >= half] = value[j >= half] * len(letters) + letters.index(now[i])
-                base[j >= half] *= len(letters)
-            value = list(self._network(*value, *base, shape))
-            out = list(now)
+        value, base = [0, 0], [1, 1]
+        for j, i in enumerate(at):
+            letters = _ALPHABETS[classes[i]]
+            value[j >= half] = value[j >= half] * len(letters) + letters.index(s[i])
+            base[j >= half] *= len(letters)
+
+        def written(*value: int) -> str:
+            out, value = list(s), list(value)
             for j in range(len(at) - 1, -1, -1):
                 letters = _ALPHABETS[classes[at[j]]]
                 value[j >= half], digit = divmod(value[j >= half], len(letters))
                 out[at[j]] = letters[digit]
-            now = "".join(out)
-            if ok is None or ok(now) == want:
-                return now
+            return "".join(out)
+
+        want = ok(s) if ok else None
+        return written(*self._image(*value, *base, shape, lambda *v: ok is None or ok(written(*v)) == want))
 
     def of(self, kind: str, entity: str) -> str:
         """The surrogate: computed for the entity's canonical form, then given its punctuation and case."""
@@ -161,17 +209,22 @@ class Surrogates:
         return f"{image}{rest}.{top}"
 
     def _ipv4(self, s: str) -> str:
-        parts = [int(x) for x in s.split(".")]
-        value = int.from_bytes(bytes(parts), "big")
-        scope, now = _scope(value), value
-        while True:
-            a, b = self._network(now >> 16, now & 0xFFFF, 1 << 16, 1 << 16, b"ipv4")
-            now = a << 16 | b
-            if _scope(now) == scope:
-                return ".".join(map(str, now.to_bytes(4, "big")))
+        value = int.from_bytes(bytes(int(x) for x in s.split(".")), "big")
+        scope = _scope(value)
+        a, b = self._image(value >> 16, value & 0xFFFF, 1 << 16, 1 << 16, b"ipv4", lambda a, b: _scope(a << 16 | b) == scope)
+        return ".".join(map(str, (a << 16 | b).to_bytes(4, "big")))
 
     def _ipv6(self, s: str) -> str:
-        return self.text(s, "ipv6", alphabet="hex")
+        """Groups keep their lengths without leading zeros, and zero groups stay, so short and long forms of an address agree."""
+        left, gap, right = s.partition("::")
+        groups = [left.split(":") if left else [], right.split(":") if right else []]
+        full = [*groups[0], *["0"] * (8 - len(groups[0]) - len(groups[1])), *groups[1]] if gap else groups[0]
+        bare = [g.lstrip("0") for g in full]
+        body = ":".join(bare)
+        image = iter([g for g in self.text(body, "ipv6", alphabet="hex", ok=lambda x: not any(g.startswith("0") for g in x.split(":"))).split(":") if g])
+        put = lambda g: g if not g.strip("0") else "0" * (len(g) - len(g.lstrip("0"))) + next(image)
+        out = [":".join(put(g) for g in part) for part in groups]
+        return out[0] + gap + out[1]
 
     def _digits(self, s: str, tweak: str, ok: Callable[[str], bool] | None = None, head: int = 0) -> str:
         """Bijection on the digits behind the first ``head``, which stay; separators are put back."""
@@ -181,12 +234,8 @@ class Surrogates:
 
     def _card(self, s: str) -> str:
         bare = re.sub(r"\D", "", s)
-        if luhn(bare):
-            body = self.text(bare[:-1], "card")
-            bare = body + next(d for d in "0123456789" if luhn(body + d))
-        else:
-            bare = self.text(bare, "card-unchecked", ok=luhn)
-        image = iter(bare)
+        body = self.text(bare[:-1], "card")
+        image = iter(body + next(d for d in "0123456789" if luhn(body + d)))
         return "".join(next(image) if c.isdigit() else c for c in s)
 
     def _ssn(self, s: str) -> str:
@@ -198,7 +247,11 @@ class Surrogates:
         bare = re.sub(r"\D", "", s)
         if len(bare) - head < 4:
             head = 0
-        return self._digits(s, "phone", ok=lambda d: d[0] not in "01", head=head)
+        ok = lambda d: d[0] not in "01"
+        if len(bare) - head == 10 and bare[:head] in ("", "1"):  # one number with and without its country
+            image = iter(bare[:head] + self.text(bare[head:], "phone|ten digits", ok=ok))
+            return "".join(next(image) if c.isdigit() else c for c in s)
+        return self._digits(s, "phone", ok=ok, head=head)
 
     def _iban(self, s: str) -> str:
         bare = s.replace(" ", "")
@@ -265,8 +318,14 @@ def iban_ok(bare: str) -> bool:
 
 
 def find(text: str, pattern: re.Pattern | None = None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each entity, in order, without overlaps."""
-    return [(m.lastgroup if m.lastgroup != "sep" else "card", m.start(), m.end()) for m in (pattern or re.compile(_ALL)).finditer(text)]
+    """(kind, start, end) of each entity, in order, without overlaps; numbers of cards must have the right check digit."""
+    found = []
+    for m in (pattern or re.compile(_ALL)).finditer(text):
+        kind = m.lastgroup if m.lastgroup not in ("sep", "introduced") else {"sep": "card", "introduced": "person"}[m.lastgroup]
+        if kind == "card" and not luhn(re.sub(r"\D", "", m[0])):
+            continue
+        found.append((kind, m.start("introduced") if m["introduced"] else m.start(), m.end()))
+    return found
 
 
 def replace(text: str, surrogates: Surrogates, pattern: re.Pattern | None = None) -> tuple[str, list[tuple[str, str, str]]]:
@@ -280,13 +339,34 @@ def replace(text: str, surrogates: Surrogates, pattern: re.Pattern | None = None
     return "".join(out) + text[at:], made
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(doc_id, text, n_entities, kinds) of every row, in which entities are replaced.
+def canonical(kind: str, entity: str) -> str:
+    """What all ways to write an entity share: lower case, digits without separators, phones without +1."""
+    s = unicodedata.normalize("NFC", entity.lower())
+    if kind == "phone":
+        bare = re.sub(r"\D", "", s)
+        return bare[1:] if len(bare) == 11 and s.startswith("+1") else bare
+    if kind == "ipv6":
+        left, gap, right = s.partition("::")
+        a, b = (x.split(":") if x else [] for x in (left, right))
+        return ":".join(g.lstrip("0") for g in ([*a, *["0"] * (8 - len(a) - len(b)), *b] if gap else a))
+    return re.sub(r"\D", "", s) if kind in ("card", "ssn") else s.replace(" ", "") if kind == "iban" else s
+
 
-    ``kinds``: the kinds found, sorted, joined by commas. A null text stays
-    null; a text without entities stays as it is, byte for byte. Rows are
-    rewritten one by one, so repeated rows give equal results and null ids
-    make no difference; other columns are not read. A map: nothing is shuffled.
+def _collisions(made: list[tuple[str, str, str]]) -> int:
+    """Entities of a document that share a surrogate, and such as have several."""
+    pairs = {(k, canonical(k, a), canonical(k, b)) for k, a, b in made}
+    return 2 * len(pairs) - len({(k, a) for k, a, _ in pairs}) - len({(k, b) for k, _, b in pairs})
+
+
+def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(doc_id, text, n_entities, kinds, n_collisions) of every row, in which entities are replaced.
+
+    ``kinds``: the kinds found, sorted, joined by commas. ``n_collisions``:
+    0, or how many of the row's entities lost distinctness or coreference. A
+    null text stays null; a text without entities stays as it is, byte for
+    byte. Rows are rewritten one by one, whole, so repeated rows give equal
+    results and null ids make no difference; other columns are not read. A
+    map: nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,30 +374,25 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         for batch in batches:
             texts = batch.column(1)
             may = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _MAY_HOLD), False).to_numpy(zero_copy_only=False))
-            count, kinds, changed, where = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, "", object), [], np.zeros(batch.num_rows, bool)
+            count, clash, kinds, changed, where = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, "", object), [], np.zeros(batch.num_rows, bool)
             for i, text in zip(may.tolist(), texts.take(pa.array(may)).to_pylist()):
                 new, made = replace(text, surrogates, pattern)
                 if made:
-                    count[i], kinds[i], where[i] = len(made), ",".join(sorted({k for k, _, _ in made})), True
+                    count[i], clash[i], kinds[i], where[i] = len(made), _collisions(made), ",".join(sorted({k for k, _, _ in made})), True
                     changed.append(new)
             out = pc.replace_with_mask(texts, pa.array(where), pa.array(changed, texts.type)) if changed else texts
-            yield pa.RecordBatch.from_arrays([batch.column(0), out, pa.array(count), pa.array(kinds, pa.string())], names=["doc_id", "text", "n_entities", "kinds"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), out, pa.array(count), pa.array(kinds, pa.string()), pa.array(clash)], names=["doc_id", "text", "n_entities", "kinds", "n_collisions"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
 def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Distinct (kind, entity, surrogate), entities in canonical form: lower case, digits without separators."""
+    """Distinct (kind, entity, surrogate) in canonical form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates, pattern = Surrogates(key), re.compile(_ALL)
-
-        def plain(kind: str, s: str) -> str:
-            s = unicodedata.normalize("NFC", s.lower())
-            return re.sub(r"\D", "", s) if kind in ("card", "phone", "ssn") else s.replace(" ", "") if kind == "iban" else s
-
         for batch in batches:
-            found = {(k, plain(k, a), plain(k, b)) for text in batch.column(0).to_pylist() if text for k, a, b in replace(text, surrogates, pattern)[1]}
+            found = {(k, canonical(k, a), canonical(k, b)) for text in batch.column(0).to_pylist() if text for k, a, b in replace(text, surrogates, pattern)[1]}
             cols = list(zip(*sorted(found))) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "entity", "surrogate"])
 

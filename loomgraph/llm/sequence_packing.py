@@ -8,21 +8,32 @@ has room. The open sequences are counted by free space in a segment tree, in
 which the least sufficient space is found in log2(length) steps.
 
 Packing runs inside the input splits, so ids are never shuffled; a block holds
-thousands of sequences, which leaves little room unused.
+thousands of sequences, which leaves little room unused (a split smaller than
+a block ends with a few part-filled sequences of its own).
+
+``write_packed`` stores sequences as matrices of ids and of positions, each a
+plain binary file of fixed-length rows, with an Arrow file of what else a
+trainer needs of each row; ``read_packed`` reads them back, and ``rows_of``
+maps one file's matrices into memory.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.scratch import fresh_path
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH, END_ID, BLOCK, CACHE = 2048, 50256, 1 << 22, 1 << 19
@@ -48,7 +59,8 @@ class Encoder:
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.wide = max(ranks.values()) >= 1 << 16
+        self.ids = set(ranks.values())
+        self.wide = max(self.ids) >= 1 << 16
         self.known: dict[str, list[int]] = {}
 
     def _word(self, word: str) -> list[int]:
@@ -157,6 +169,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, en
     if length < 1 or length > 1 << 20:
         raise ValueError("length must be from 1 to 2**20")
     raw = read_vocabulary(vocabulary)
+    if end_id < 0 or any(int(line.split()[1]) == end_id for line in raw.splitlines() if line):
+        raise ValueError(f"id {end_id} stands for text in this vocabulary: it can't end documents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(raw)
@@ -210,5 +224,103 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, en
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
 
 
+INDEX = pa.schema([("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
+
+
+def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[str]:
+    """Write sequences to a shared folder; the names of the parts that belong to the data set.
+
+    A part is three files: ``.ids.bin`` and ``.pos.bin``, rows of ``length``
+    little-endian numbers without any header, and ``.arrow``, an Arrow file
+    whose row i (pack_id, n_tokens, cu_seqlens, doc_ids, pieces) describes
+    their row i. A task writes under a name of its own attempt and reports it
+    when its files are whole, and the driver lists the reported parts in
+    ``manifest.json``; what a lost attempt left is in no list. An empty table
+    has a manifest without parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root)
+        name, rows, width, files = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, 0, []
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if not files:
+                    files = [fs.open_output_stream(f"{root}/{name}.{kind}", compression=None) for kind in ("ids.bin", "pos.bin", "arrow")]
+                    index = pa.ipc.new_file(files[2], INDEX)
+                for f, column in zip(files, ("input_ids", "position_ids")):
+                    for value in batch.column(column):
+                        f.write(value.as_buffer())
+                width = len(batch.column("input_ids")[0].as_buffer()) // length
+                index.write_batch(pa.RecordBatch.from_arrays([batch.column(c).cast(INDEX.field(c).type) for c in INDEX.names], schema=INDEX))
+                rows += batch.num_rows
+            if files:
+                index.close()
+        finally:
+            for f in files:
+                f.close()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64()), pa.array([width], pa.int32())], names=["part", "n", "width"])
+
+    parts = sorted((r["part"], r["n"], r["width"]) for r in packed.select("input_ids", "position_ids", *INDEX.names).mapInArrow(run, "part string, n bigint, width int").collect())
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root)
+    with fs.open_output_stream(f"{root}/manifest.json", compression=None) as f:
+        f.write(json.dumps({"length": length, "parts": [{"name": p, "rows": n, "id_bytes": w, "position_bytes": 4} for p, n, w in parts]}).encode())
+    return [p[0] for p in parts]
+
+
+def manifest(folder: str) -> dict:
+    fs, root = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{root}/manifest.json", compression=None) as f:
+        return json.loads(f.read())
+
+
+def rows_of(folder: str, part: dict, length: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """(ids, positions, index) of one part of a manifest: matrices of a row a sequence."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    found = []
+    for kind, size, dtype in (("ids", part["id_bytes"], {2: "<u2", 4: "<i4"}[part["id_bytes"]]), ("pos", part["position_bytes"], "<i4")):
+        with fs.open_input_file(f"{root}/{part['name']}.{kind}.bin") as f:
+            raw = f.read()
+        if len(raw) != part["rows"] * length * size:
+            raise ValueError(f"{part['name']}.{kind}.bin has {len(raw)} bytes")
+        found.append(np.frombuffer(raw, dtype).reshape(-1, length))
+    with fs.open_input_file(f"{root}/{part['name']}.arrow") as f:
+        return *found, pa.ipc.open_file(f).read_all()
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequences of a data set, as ``pack`` returned them; parts are read by the tasks, some rows at a time."""
+    found = manifest(folder)
+    length = found["length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for part in map(json.loads, batch.column(0).to_pylist()):
+                with fs.open_input_file(f"{root}/{part['name']}.ids.bin") as ids, fs.open_input_file(f"{root}/{part['name']}.pos.bin") as pos, fs.open_input_file(f"{root}/{part['name']}.arrow") as f:
+                    index = pa.ipc.open_file(f)
+                    for i in range(index.num_record_batches):
+                        rows = index.get_batch(i)
+                        matrices = []
+                        for source, size in ((ids, part["id_bytes"] * length), (pos, part["position_bytes"] * length)):
+                            raw = source.read(size * rows.num_rows)
+                            if len(raw) < size * rows.num_rows:
+                                raise ValueError(f"{part['name']} is cut short")
+                            matrices.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), rows.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary()))
+                        cols = {"input_ids": matrices[0], "position_ids": matrices[1], **{c: rows.column(c) for c in INDEX.names}}
+                        names = [c.strip().split(" ")[0] for c in PACKED.split(", ")]
+                        yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+
+    parts = spark.createDataFrame([(json.dumps(p),) for p in found["parts"]], "part string")
+    return parts.repartition(max(1, len(found["parts"]))).mapInArrow(run, PACKED)
+
+
 def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents packed, written as binary matrices to the shared folder and read back."""
+    folder = fresh_path(spark, "packed")
+    write_packed(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")), folder)
+    return read_packed(spark, folder)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.columns import all_of, unused
+
 SIZE, SHARDS, MOST = 65_537, 64, 1 << 20
 
 
@@ -60,10 +62,10 @@ def slot_of(key: str, size: int = SIZE):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % size
 
 
-def lookup(spark: SparkSession, shards: list[str], size: int = SIZE) -> DataFrame:
-    """The table as (__slot, __shard) rows; ``size`` rows however large the corpus."""
+def lookup(spark: SparkSession, shards: list[str], size: int = SIZE, slot: str = "slot", shard: str = "shard") -> DataFrame:
+    """The table as (slot, shard) rows; ``size`` rows however large the corpus."""
     owner = fill_table(shards, size)
-    return spark.createDataFrame(pd.DataFrame({"__slot": np.arange(size, dtype=np.int64), "__shard": owner}))
+    return spark.createDataFrame(pd.DataFrame({slot: np.arange(size, dtype=np.int64), shard: owner}))
 
 
 def assign_shards(docs: DataFrame, shards: list[str] | None = None, size: int = SIZE, key: str = "doc_id") -> DataFrame:
@@ -72,12 +74,13 @@ def assign_shards(docs: DataFrame, shards: list[str] | None = None, size: int =
     A map over rows: nothing is shuffled, and the broadcast side always has
     ``size`` rows of 12 bytes. Every row is placed, a null key too; rows that
     repeat a key go to one shard; an empty table gives an empty table. Columns
-    of ``docs`` named ``slot`` or ``shard`` are replaced.
+    of ``docs`` named ``slot`` or ``shard`` are replaced; any others stay.
     """
-    table = lookup(docs.sparkSession, shards if shards is not None else shard_names(), size)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("slot", "shard")]
-    placed = docs.withColumn("__slot", slot_of(key, size)).join(F.broadcast(table), "__slot")
-    return placed.select(*kept, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    slot, shard = unused(docs.columns, "slot_number", "shard_number")
+    table = lookup(docs.sparkSession, shards if shards is not None else shard_names(), size, slot, shard)
+    kept = all_of([c for c in docs.columns if c.lower() not in ("slot", "shard")])
+    placed = docs.withColumn(slot, slot_of(key, size)).join(F.broadcast(table), slot)
+    return placed.select(*kept, F.col(slot).alias("slot"), F.col(shard).alias("shard"))
 
 
 def op10_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:

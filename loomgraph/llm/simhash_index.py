@@ -18,6 +18,12 @@ are the connected components of verified pairs.
 Equal fingerprints are one entry of the index, so thousands of exact copies
 cost no pairs. Where more than 24 entries meet only the edges of a spanning forest are
 kept, found by breadth-first search over what is still unreached.
+
+What is reported: each document's class, and how many different texts are
+within the bound of its own. Those are counted inside the classes, in blocks
+of entries, so no pair is written, and links that the index did not need to
+connect a class count too. Decisions are made over fingerprints and row
+numbers; a text is never judged by its id.
 """
 
 from __future__ import annotations
@@ -30,12 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomgraph.llm.columns import unused, with_row_ids
 from loomgraph.llm.words import WordHasher, mix64, text_chunks
-from loomgraph.scratch import materialize
+from loomgraph.scratch import drop_table, materialize
 
 N_BYTES, TALLY, MAX_BITS = 32, 3, 46
 #: Entries that a task sorts at once; a posting list that is longer is one such lot.
 LOT = 1 << 16
+#: Entries of a class that are compared with each other, or with as many others, at once.
+BLOCK = 1 << 11
+#: Fingerprints of more than this share of the rows meet their rows by broadcast: there are no more of them than its inverse.
+HOT = 4096
 BITS = ["f0", "f1", "f2", "f3"]
 _SALTS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 
@@ -74,21 +85,21 @@ def _bits(word: np.ndarray) -> np.ndarray:
     return np.unpackbits(mixed.view(np.uint8), axis=1)
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0..f3) of every row with an id and at least one word."""
+def fingerprint(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with f0..f3 in place of ``text``; those without a word are left out."""
+    kept = [c for c in rows.columns if c != text]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            ids = batch.column(0)
-            for begin, _, data, offsets in text_chunks(batch.column(1), lower=True):
+            for begin, _, data, offsets in text_chunks(batch.column(text), lower=True):
                 hashes, _, _, first = hasher.words(data, offsets)
-                rows, prints = simhash(hashes, first)
-                parts = prints.view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows + begin)), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4))], names=["doc_id", *BITS])
+                at, prints = simhash(hashes, first)
+                parts, where = prints.view(np.int64), pa.array(at + begin)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in kept), *(pa.array(np.ascontiguousarray(parts[:, i])) for i in range(4))], names=[*kept, *BITS])
 
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return docs.mapInArrow(emit, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in BITS))
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} bigint" for c in BITS]
+    return rows.mapInArrow(emit, ", ".join(kinds))
 
 
 def postings(prints: DataFrame) -> DataFrame:
@@ -191,6 +202,7 @@ def candidate_edges(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
         if held:
             yield from out(held)
 
+    prints = prints.select("rep", *BITS)
     # lists of a position go together, as many as make a lot: sorting many small lists at once costs what one does
     parts = max(1, min(256, round(prints.count() / LOT)))
     by_key = postings(prints).repartition(F.expr("key DIV 256"), F.expr(f"key % {parts}")).sortWithinPartitions("key")
@@ -201,7 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least id of its component.
 
     Alternates large-star and small-star steps until no edge changes; each
-    round is written to the shared folder.
+    round is written to the shared folder, and the one before is deleted.
     """
     edges = materialize(edges, "edges")
     mark = None
@@ -212,39 +224,135 @@ def components(edges: DataFrame) -> DataFrame:
         low = big.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         tagged = low.withColumn("m", F.min("b").over(W.partitionBy("a")))
         small = tagged.select(F.col("b").alias("a"), F.col("m").alias("b")).union(tagged.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        drop_table(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
 
 
-def duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """(doc_id, duplicate_of): every document but the one of least id of each near-duplicate group.
+def classes(entries: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """``entries`` (rep, f0..f3, ...) with ``root``, the least rep of the class."""
+    roots = components(candidate_edges(entries.select("rep", *BITS), most))
+    return entries.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+
+
+def links(entries: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """(rep, n): of each entry (rep, root, f0..f3, weight) the weights of the other entries of its class within ``most`` bits.
 
-    Rows without an id, and texts without a word (null, empty, symbols only),
-    are in no group. Rows that repeat an id are one document; if their texts
-    differ, it belongs with the copies of each. Ties do not arise: the least
-    id stays. Empty tables give no rows; other columns are not read.
+    A class is dealt to blocks by a hash; each two blocks of a class (and each
+    with itself) meet in one lot, whatever the size of the class, and a lot
+    sends one partial sum an entry.
+    """
+    size = entries.groupBy("root").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("root").alias("__root"), F.ceil(F.col("__n") / block).cast("int").alias("blocks"))
+    rows = entries.join(size, F.col("root") == F.col("__root")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.select("rep", "root", *BITS, F.col("weight").cast("bigint").alias("weight"), "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("mine").cast("bigint").alias("mine"), "rep", "weight", *BITS)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out(t: np.ndarray) -> pa.RecordBatch:
+            key = t[:, :3]
+            begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+            size, sums = np.diff(np.concatenate((begin, [len(t)]))), np.zeros(len(t), np.int64)
+            prints, weight, mine = np.ascontiguousarray(t[:, 6:]).view(np.uint64), t[:, 5], t[:, 3]
+            for n in np.unique(size[size <= 24]).tolist():
+                at = begin[size == n]
+                a, b = np.triu_indices(n, 1)
+                left, right = (at[:, None] + a).ravel(), (at[:, None] + b).ravel()
+                two = (t[left, 1] == t[left, 2]) | (mine[left] != mine[right])  # within a block that meets another, pairs count elsewhere
+                near = two & (np.bitwise_count(prints[left] ^ prints[right]).sum(1) <= most)
+                np.add.at(sums, left[near], weight[right[near]])
+                np.add.at(sums, right[near], weight[left[near]])
+            for at, n in zip(begin[size > 24].tolist(), size[size > 24].tolist()):
+                p, w, m = prints[at : at + n], weight[at : at + n], mine[at : at + n]
+                one = t[at, 1] == t[at, 2]
+                for i in range(0, n, 128):
+                    near = np.bitwise_count(p[i : i + 128, None] ^ p[None]).sum(2) <= most
+                    near &= np.arange(i, min(i + 128, n))[:, None] != np.arange(n)[None] if one else m[i : i + 128, None] != m[None]
+                    sums[at + i : at + min(i + 128, n)] = near @ w
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t[:, 4])), pa.array(sums)], names=["rep", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = np.stack([c.to_numpy() for c in batch.columns], 1)
+            last = np.flatnonzero((t[:, :3] != t[-1, :3]).any(1))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last lot may go on in the next batch
+            if held and (cut or (held[-1][-1, :3] != t[0, :3]).any()):
+                yield out(np.concatenate([*held, t[:cut]]))
+                held, t = [], t[cut:]
+            elif cut:
+                yield out(t[:cut])
+                t = t[cut:]
+            held.append(t)
+        if held:
+            yield out(np.concatenate(held))
+
+    rows = rows.select("root", F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), "mine", "rep", "weight", *BITS)
+    found = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(tally, "rep bigint, n bigint")
+    return found.groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """(doc_id, class_id, n_links): a row for each document that has a copy or a near-duplicate.
+
+    ``class_id`` is the least doc_id of the class, ``n_links`` counts the
+    other different texts of the class whose fingerprints are within ``most``
+    bits (copies of a text are one). Documents that stand alone have no row:
+    they are classes of one without links.
+
+    Rows without an id can't be named and are left out, as are texts without
+    a word (null, empty, symbols only). Rows that repeat an id and its text
+    are one document; an id with several texts is a document for each, and so
+    may have a row for each of their classes. Empty tables give no rows; other
+    columns are not read.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    members = materialize(fingerprint(rows).distinct(), "prints")
+    texts = members.groupBy(*BITS, "text_hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    entries = texts.groupBy(*BITS).agg(F.min("least").alias("least"), F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("weight"))
+    entries = materialize(entries.withColumn("rep", F.monotonically_increasing_id()), "entries")
+    labelled = materialize(classes(entries, most), "classes")
+    whole = labelled.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n_docs").alias("docs")).where("docs > 1")
+    counted = labelled.join(whole, "root").join(links(labelled, most), "rep", "left")
+    counted = counted.select(*BITS, "n_docs", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return _labels_of(members, materialize(counted, "labels")).select("doc_id", "class_id", "n_links").distinct()
+
+
+def _labels_of(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the labels of their fingerprints (f0..f3, n_docs, ...).
+
+    A fingerprint of many rows would make one large task of a join; those of
+    more than 1/HOT of all rows, hence fewer than HOT, are broadcast instead.
     """
-    same = W.partitionBy(*BITS)
-    members = materialize(fingerprint(docs).distinct().withColumn("rep", F.min("doc_id").over(same)), "prints")
-    entries = members.where("doc_id = rep").select("rep", *BITS)
-    roots = components(candidate_edges(entries, most))
-    grouped = members.select("doc_id", "rep").join(roots, F.col("rep") == F.col("node"), "left")
-    return grouped.select("doc_id", F.coalesce("root", "rep").alias("duplicate_of")).where("doc_id <> duplicate_of").distinct()
+    total = labels.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    hot, rest = labels.where(F.col("n_docs") * HOT > total), labels.where(F.col("n_docs") * HOT <= total)
+    keys = hot.select(*BITS)
+    cold = members.join(F.broadcast(keys), BITS, "left_anti").join(rest, BITS)
+    return members.join(F.broadcast(hot), BITS).unionByName(cold)
 
 
 def drop_duplicates(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each group, all columns as they are.
+    """``docs`` with one row of each class, all columns as they are.
 
-    Of rows that repeat an id one stays (that of the least text hash); rows
-    without an id all stay.
+    Rows are judged by their own text, with or without an id: of a class the
+    row of the least id stays (rows without one come last; of equal ids any
+    one). So an id that stands for several texts keeps one row for each class
+    of them, and rows that repeat id and text become one. Texts without a word
+    all stay. Empty tables give empty tables.
     """
-    gone = duplicates(docs, most).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__nth", nth).where("__nth = 1 OR doc_id IS NULL").drop("__nth")
+    (row,) = unused(docs.columns, "row_number")
+    numbered = with_row_ids(docs, row, "numbered")
+    slim = numbered.select(F.col(row).alias("row_number"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = materialize(fingerprint(slim), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_number")).alias("first")
+    entries = prints.groupBy(*BITS).agg(first).withColumn("rep", F.monotonically_increasing_id())
+    kept = classes(materialize(entries, "entries"), most).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_number").alias("row_number"))
+    gone = materialize(prints.select("row_number").join(kept, "row_number", "left_anti"), "gone")
+    return numbered.join(gone.withColumnRenamed("row_number", row), row, "left_anti").drop(row)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,17 @@ at least ``k + w - 1`` words share a whole window and so a kept hash, whatever
 surrounds the run. Matching fingerprints are extended word by word to the
 maximal shared span, and spans of at least ``k + w - 1`` words are hits.
 
+Every diagonal of a document and an item is walked once: seeds inside a span
+that was found are dropped, and where a text repeats itself (a k-gram at equal
+steps of at most k words) only the seeds at the edge of the repetition are
+made, since the walk passes through the others.
+
 The benchmark's fingerprints go to every task while they are small (their size
 is checked); a larger benchmark is joined by shuffling the fingerprints of
 both sides. Both ways give the same hits.
+
+Limits: an item, or a shared passage, of fewer than ``k + w - 1`` words is no
+hit. Scripts without spaces count a character as a word.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.columns import unused, with_row_ids
 from loomgraph.llm.words import WordHasher, mix64, text_chunks
 
 K, WINDOW = 6, 8
@@ -70,15 +79,31 @@ def fingerprints(hashes: np.ndarray, first: np.ndarray, k: int = K, window: int
     return at[kept], grams[kept]
 
 
+def _runs(text: np.ndarray, grams: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry, entries, step) of runs of one k-gram of one text at equal steps of at most ``k`` words; sorted by (gram, text, at)."""
+    n = len(at)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    step = np.diff(at)
+    near = (text[1:] == text[:-1]) & (grams[1:] == grams[:-1]) & (step <= k)
+    joins = near.copy()
+    joins[1:] &= ~near[:-1] | (step[1:] == step[:-1])
+    begin = np.flatnonzero(np.concatenate(([True], ~joins)))
+    size = np.diff(np.concatenate((begin, [n])))
+    return begin, size, np.where(size > 1, np.concatenate((step, [0]))[begin], 0)
+
+
 class Items:
-    """Words of all benchmark items and their fingerprints, sorted by hash."""
+    """Words of all benchmark items and their fingerprints, as runs sorted by hash."""
 
     def __init__(self, ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> None:
         self.ids, self.hashes, self.first = ids, hashes, first
         at, grams = fingerprints(hashes, first, k, window)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.at = grams[order], at[order]
-        self.item = np.searchsorted(first, self.at, "right") - 1
+        item = np.searchsorted(first, at, "right") - 1
+        order = np.lexsort((at, item, grams))
+        self.at = at[order]
+        begin, self.size, self.step = _runs(item[order], grams[order], self.at, k)
+        self.begin, self.grams, self.item = begin, grams[order][begin], item[order][begin]
 
 
 def extend(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, item: np.ndarray, ilo: np.ndarray, ihi: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,23 +134,50 @@ def extend(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, item:
     return p - left, q - left, np.where(same, left + right, 0)
 
 
+def spans(doc: np.ndarray, first: np.ndarray, row: np.ndarray, p: np.ndarray, items: Items, item: np.ndarray, q: np.ndarray, k: int, least: int) -> np.ndarray:
+    """Rows (row, item index, doc word, item word, words) of the maximal spans through seeds; each diagonal's spans once."""
+    order = np.lexsort((p, p - q, item, row))
+    row, p, item, q = row[order], p[order], item[order], q[order]
+    found = [np.zeros((0, 5), np.int64)]
+    while len(p):
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1])))
+        head, of = np.flatnonzero(new), np.cumsum(new) - 1
+        lo, ilo = first[row[head]], items.first[item[head]]
+        a, c, n = extend(doc, lo, first[row[head] + 1], p[head], items.hashes, ilo, items.first[item[head] + 1], q[head], k)
+        found.append(np.stack([row[head], item[head], a - lo, c - ilo, n], 1)[n >= least])
+        left = ~new & (p + k > (a + n)[of])  # seeds within a span that was found lead to it again
+        row, p, item, q = row[left], p[left], item[left], q[left]
+    return np.unique(np.concatenate(found), axis=0)
+
+
 def find_hits(hashes: np.ndarray, first: np.ndarray, items: Items, k: int, window: int) -> np.ndarray:
     """Rows (row, item index, doc word, item word, words) of all maximal spans, in order."""
     at, grams = fingerprints(hashes, first, k, window)
     left = np.searchsorted(items.grams, grams, "left")
     hit = left < len(items.grams)
     hit[hit] = items.grams[left[hit]] == grams[hit]
-    at, left, grams = at[hit], left[hit], grams[hit]
+    at, grams = at[hit], grams[hit]
     if not len(at):
         return np.zeros((0, 5), np.int64)
-    times = np.searchsorted(items.grams, grams, "right") - left
-    p = np.repeat(at, times)
-    b = np.repeat(left - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    row, item, q = np.searchsorted(first, p, "right") - 1, items.item[b], items.at[b]
-    lo, ilo = first[row], items.first[item]
-    a, c, n = extend(hashes, lo, first[row + 1], p, items.hashes, ilo, items.first[item + 1], q, k)
-    found = np.stack([row, item, a - lo, c - ilo, n], 1)[n >= k + window - 1]
-    return np.unique(found, axis=0)
+    row = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((at, row, grams))
+    at, grams, row = at[order], grams[order], row[order]
+    begin, size, step = _runs(row, grams, at, k)
+    left, right = np.searchsorted(items.grams, grams[begin], "left"), np.searchsorted(items.grams, grams[begin], "right")
+    d = np.repeat(np.arange(len(begin)), right - left)  # runs of documents that meet runs of items
+    e = np.repeat(left - np.concatenate(([0], np.cumsum(right - left)[:-1])), right - left) + np.arange(len(d))
+    edge = (size[d] == 1) | (items.size[e] == 1) | (step[d] == items.step[e])
+    # along equal steps the seeds at the edges reach all others; else every entry meets every entry
+    n, m = size[d], items.size[e]
+    count = np.where(edge, n + m - 1, n * m)
+    pair = np.repeat(np.arange(len(d)), count)
+    i = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+    n, m = n[pair], m[pair]
+    x = np.where(edge[pair], np.minimum(i, n - 1), i // m)
+    y = np.where(edge[pair], np.maximum(i - n + 1, 0), i % m)
+    x = np.where(edge[pair] & (i >= n), 0, x)
+    p, q = at[begin[d][pair] + x], items.at[items.begin[e][pair] + y]
+    return spans(hashes, first, row[begin[d]][pair], p, items, items.item[e][pair], q, k, k + window - 1)
 
 
 def _load_items(benchmark: DataFrame, k: int, window: int) -> Items:
@@ -193,53 +245,63 @@ def _postings(texts: DataFrame, id_name: str, k: int, window: int) -> DataFrame:
 
 
 def _leaks_by_join(docs: DataFrame, benchmark: DataFrame, k: int, window: int) -> DataFrame:
-    """The hits for a benchmark that is too large to send: fingerprints meet in a shuffle join."""
+    """The hits for a benchmark that is too large to send.
+
+    Distinct fingerprints of both sides meet in a shuffle join, which names
+    the pairs of texts; those are then searched as by the other way, one item
+    against the documents that met it in a batch.
+    """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL").distinct()
-    d = _postings(docs, "doc_id", k, window)
-    b = _postings(items, "item_id", k, window).withColumnRenamed("word", "item_at")
-    met = d.join(b, "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("word", "item_at")).alias("at"))
-    # a repeated id may have another text: positions that don't match there extend to nothing
+    d, b = (_postings(t, c, k, window).select(c, "gram").distinct() for t, c in ((docs, "doc_id"), (items, "item_id")))
+    met = d.join(b, "gram").select("doc_id", "item_id").distinct()
+    # a repeated id may have another text: what does not match there gives no span
     pairs = met.join(docs.distinct(), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, held = WordHasher(), {}
 
-        def words(text: pa.Array) -> np.ndarray:
-            parts = [hasher.words(data, offsets)[0] for _, _, data, offsets in text_chunks(text, lower=True)]
-            return parts[0] if parts else np.zeros(0, np.uint64)
+        def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            parts, firsts, n = [np.zeros(0, np.uint64)], [], 0
+            for _, _, data, offsets in text_chunks(text, lower=True):
+                h, _, _, first = hasher.words(data, offsets)
+                parts.append(h)
+                firsts.append(first[:-1] + n)
+                n += len(h)
+            return np.concatenate(parts), np.concatenate([*firsts, [n]]).astype(np.int64)
 
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                doc, item = words(one.column("text")), words(one.column("item_text"))
-                at = one.column("at").to_pylist()[0]
-                p, q = (np.array([x[c] for x in at], np.int64) for c in ("word", "item_at"))
-                fits = (p + k <= len(doc)) & (q + k <= len(item))
-                p, q = p[fits], q[fits]
-                zero = np.zeros(len(p), np.int64)
-                a, c, n = extend(doc, zero, zero + len(doc), p, item, zero, zero + len(item), q, k)
-                ids = one.column("doc_id").to_pylist()[0], one.column("item_id").to_pylist()[0]
-                rows += [(*ids, *map(int, x)) for x in set(zip(a, c, n)) if x[2] >= k + window - 1]
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
-
-    return pairs.select("doc_id", "item_id", "text", "item_text", "at").mapInArrow(verify, HIT).distinct()
+            ids, texts = np.array(batch.column("item_id").to_pylist()), batch.column("item_text")
+            keys = np.array([hash((i, t)) for i, t in zip(ids.tolist(), texts.to_pylist())], np.int64)
+            for key in np.unique(keys):
+                at = np.flatnonzero(keys == key)
+                one = held.get(key)
+                if one is None:
+                    h, first = words(texts.slice(int(at[0]), 1))
+                    held.clear()  # pairs of an item tend to come together
+                    one = held[key] = Items(ids[at[:1]], h, first, k, window)
+                part = batch.take(pa.array(at))
+                h, first = words(part.column("text"))
+                row, _, a, c, n = find_hits(h, first, one, k, window).T
+                names = part.column("doc_id").take(pa.array(row)), pa.array(np.full(len(row), ids[at[0]], np.int64))
+                yield pa.RecordBatch.from_arrays([*names, *(pa.array(x.astype(np.int32)) for x in (a, c, n))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+
+    return pairs.select("doc_id", "item_id", "text", "item_text").repartition("item_id", F.expr("pmod(xxhash64(doc_id), 64)")).sortWithinPartitions("item_id").mapInArrow(verify, HIT).distinct()
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` without the rows that share a span with an item; all columns as they are.
+    """``docs`` without the rows that share a span with an item; all columns as they are, whatever their names.
 
     Rows are judged by their own text, so those without an id are too, and
-    clean rows stay as often as they were. With a small benchmark nothing is
-    shuffled.
+    clean rows stay as often as they were; null and empty texts are clean.
+    With a small benchmark nothing is shuffled; with a large one rows are
+    numbered and found ones leave by number.
     """
     if not is_small(benchmark, broadcast_bytes):
-        key = F.coalesce(F.xxhash64("text"), F.lit(0))
-        texts = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-        bad = _leaks_by_join(texts, benchmark, k, window).select(F.col("doc_id").alias("__leak")).distinct()
-        return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+        (row,) = unused(docs.columns, "row_number")
+        numbered = with_row_ids(docs, row, "numbered")
+        texts = numbered.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))
+        bad = _leaks_by_join(texts, benchmark, k, window).select(F.col("doc_id").alias(row)).distinct()
+        return numbered.join(bad, row, "left_anti").drop(row)
     items = _load_items(benchmark, k, window)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,10 @@
 
 A word is a maximal run of ASCII letters, digits, underscores and bytes above
 0x7f, so every accented letter is a word character; ASCII letters are folded
-to lower case here, other letters are expected to be lowered by the caller
-(``F.lower``). No Python string is made: the Arrow buffers are read in place.
+to lower case here, other letters are lowered by ``text_chunks(lower=True)``.
+Scripts that are written without spaces (Chinese, Japanese, Thai, Lao) have a
+word per character. No Python string is made: the Arrow buffers are read in
+place, and a long row is hashed a piece at a time.
 """
 
 from __future__ import annotations
@@ -69,35 +71,60 @@ class WordHasher:
     ``by_space``: words are the runs between white space instead, as written.
     """
 
+    PIECE = 1 << 19
+
     def __init__(self, by_space: bool = False) -> None:
         codes = np.arange(256)
         self.is_word = (codes >= 128) | ((codes >= 48) & (codes <= 57)) | ((codes >= 97) & (codes <= 122)) | ((codes >= 65) & (codes <= 90)) | (codes == 95)
         self.fold = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint64) + np.uint64(1)
         if by_space:
             self.is_word, self.fold = ~np.isin(codes, [9, 10, 11, 12, 13, 32]), codes.astype(np.uint64) + np.uint64(1)
-        self._grow(1 << 19)
-
-    def _grow(self, n: int) -> None:
-        inverse = pow(_MULT, -1, 1 << 64)
-        up, down = np.full(n + 1, _MULT, np.uint64), np.full(n + 1, inverse, np.uint64)
+        self.by_space = by_space
+        up, down = np.full(self.PIECE + 1, _MULT, np.uint64), np.full(self.PIECE + 1, pow(_MULT, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         with np.errstate(over="ignore"):
             self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
+    def _single(self, data: np.ndarray, edge: np.ndarray) -> None:
+        """Mark both ends of each character (of three bytes) of scripts without spaces."""
+        lead = np.flatnonzero((data >= 0xE0) & (data <= 0xE9))
+        if not len(lead):
+            return
+        after = data[np.minimum(lead + 1, len(data) - 1)]
+        lead = lead[(data[lead] >= 0xE3) | ((data[lead] == 0xE0) & (after >= 0xB8) & (after <= 0xBB))]
+        edge[lead] = True
+        edge[np.minimum(lead + 3, len(data))] = True
+
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start byte, end byte) of each word, and each row's first word (rows + 1 entries)."""
         n = len(data)
-        if n + 1 > len(self.up):
-            self._grow(n)
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = self.is_word[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
-        start = inside[1:] & (~inside[:-1] | edge)
-        end = inside[:-1] & (~inside[1:] | edge)
-        starts, ends = np.flatnonzero(start[:n]), np.flatnonzero(end)
-        with np.errstate(over="ignore"):
-            run = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.fold[data] * self.down[:n], out=run[1:])
-            hashes = mix64((run[ends] - run[starts]) * self.up[starts] + (ends - starts).astype(np.uint64))
+        if not self.by_space:
+            self._single(data, edge)
+        starts = np.flatnonzero((inside[1:] & (~inside[:-1] | edge))[:n])
+        ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+        hashes, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + self.PIECE, "right")))
+            hashes[i:j] = self._hashes(data, starts[i:j], ends[i:j])
+            i = j
         return hashes, starts, ends, np.searchsorted(starts, offsets)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        base, n = int(starts[0]), int(ends[-1] - starts[0])
+        with np.errstate(over="ignore"):
+            if n > self.PIECE:  # one word of more than a piece
+                total, scale = np.uint64(0), np.uint64(1)
+                for at in range(base, base + n, self.PIECE):
+                    part = self.fold[data[at : min(at + self.PIECE, base + n)]]
+                    total += scale * np.sum(part * self.down[: len(part)], dtype=np.uint64)
+                    scale *= self.down[self.PIECE]
+                sums = np.array([total], np.uint64)
+            else:
+                run = np.zeros(n + 1, np.uint64)
+                np.cumsum(self.fold[data[base : base + n]] * self.down[:n], out=run[1:])
+                sums = (run[ends - base] - run[starts - base]) * self.up[starts - base]
+            return mix64(sums + (ends - starts).astype(np.uint64))
