@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.language_id import fit, keep_accepted, sample_windows
-from loomgraph.llm.mixing import mix_sources, repeat_copies
+from loomgraph.llm.mixing import mixed_copies
 from loomgraph.llm.shard_table import assign_shards
 from loomgraph.llm.simhash_index import drop_duplicates
 from loomgraph.llm.winnowing import drop_leaks
@@ -40,8 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them: equal token shares of the sources."""
-    mixed = mix_sources(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return repeat_copies(mixed, docs.columns)
+    return mixed_copies(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
