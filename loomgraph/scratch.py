@@ -2,26 +2,39 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; every
 executor can read it, so a lost executor loses nothing that was written there.
-Only where that setting is absent (tests, laptops) a folder of our own is used.
+Where that setting is absent, a folder of our own is used in local mode (tests,
+laptops) and deleted at exit; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths of written tables by the DataFrame that reads them.
+_PATH = "_scratch_path"
+
+
+class NoSharedFolder(RuntimeError):
+    """A cluster without ``spark.checkpoint.dir``: executors could not read what others wrote."""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a private one where none is configured."""
+    """The folder that the session names, or one of our own in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that every executor can read")
     if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own["dir"] = "file://" + folder
     return _own["dir"]
 
 
@@ -39,7 +52,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    setattr(written, _PATH, path)
+    return written
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for a DataFrame that nothing reads any more."""
+    path = getattr(df, _PATH, None)
+    if path:
+        drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
