@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,16 @@ def with_row_ids(df: DataFrame, name: str, tag: str, **more) -> DataFrame:
     partition sees the same ones.
     """
     return materialize(df.withColumns(more).withColumn(name, F.monotonically_increasing_id()), tag)
+
+
+def filter_by_text(docs: DataFrame, judge: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """The rows whose ``text`` a task's judge keeps, all columns as they are, whatever their names hold."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = judge()
+        for batch in batches:
+            yield batch.filter(kept(batch.column(at)))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

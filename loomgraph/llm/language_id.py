@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.columns import filter_by_text
 from loomgraph.llm.words import text_chunks
 
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4, 5), 16
@@ -293,12 +294,11 @@ def _judged(model: ByteCNN | None, tables: list | None, column: pa.Array) -> tup
 def keep_accepted(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """The rows of ``docs`` that ``identify`` accepts, all columns as they are."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         tables = model.folded() if model else None
-        for batch in batches:
-            yield batch.filter(pa.array(_judged(model, tables, batch.column("text"))[0]))
+        return lambda texts: pa.array(_judged(model, tables, texts)[0])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filter_by_text(docs, judge)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ that digest; a record without a digest in a gzip member needs the member's
 checksum too. After a failed check the reader searches for the next place that
 holds a valid record (a gzip member, or a version line of a plain record; in
 the inflated bytes of a member, the next version line), goes on from there,
-and logs the bytes it passed over as a quarantined gap.
+and logs the bytes it passed over as a quarantined gap. Of a member that is
+torn, or damaged with several records in it, the records whose digests hold
+are kept and carry the member's fault as their reason, as digests don't cover
+headers.
 
 Archives are read by position, a piece at a time, and members are inflated a
 piece at a time, so memory is bounded by the longest record (and the records
@@ -189,8 +192,8 @@ def member_rows(source: Source, at: int) -> Iterator[Row]:
     """Rows of the gzip member at a place, with its bytes on the first; ends with the member's length, or None and the reason.
 
     Inside, whatever is no valid record is a gap up to the next version line
-    that begins one. Of a broken member the records with good digests are
-    kept, and its file bytes are left to the caller's gap.
+    that begins one. Of a broken member only records with good digests come,
+    and its file bytes are left to the caller's gap.
     """
     z, pos, buffer, base, eof, failed = zlib.decompressobj(-15), at, bytearray(), 0, False, ""
     unsure: list[Row] = []  # records that wait for the member's checksum
@@ -318,7 +321,12 @@ def salvage(f: BinaryIO) -> Iterator[Row]:
                 why, length, kept = next((r[5] for r in kept), "no record"), 0, []
             if why == "empty member":
                 length = 0
-            rows = kept if length else [r for r in kept if r[0] == "record"]
+            if not length:
+                kept = [r for r in kept if r[0] == "record"]
+                # a digest vouches for a block only: damage in a lone record's member may be in its header
+                kept = kept if why == "torn member" or len(kept) > 1 else []
+                kept = [(*r[:5], why, *r[6:]) for r in kept]
+            rows = kept
         elif here == VERSION:
             try:
                 fields, block, length = plain_record(source, at)
@@ -352,7 +360,8 @@ def _body_at(block: bytes) -> int:
 def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
     """Records and gaps of archives, one row each: kind, file, at, size, inner_at, inner_size, reason, warc_type, record_id, url, block, body_at.
 
-    Gaps have a reason and null record columns; ``inner_at`` and
+    Gaps have a reason and null record columns, records that were saved from a
+    broken member have its fault as reason; ``inner_at`` and
     ``inner_size`` are the place in a gzip member's inflated bytes, null
     elsewhere; ``body_at`` is where an HTTP message's body begins in the block.
     Blocks are bytes of any kind. An empty archive has no rows, nor has an
@@ -369,7 +378,7 @@ def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
                     for kind, at, size, inner_at, inner_size, reason, fields, block in salvage(f):
                         ok = kind == "record"
                         record = (fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), block if ok else None, _body_at(block) if ok else None)
-                        rows.append((kind, path, at, size, inner_at, inner_size, None if ok else reason, *record))
+                        rows.append((kind, path, at, size, inner_at, inner_size, reason or None, *record))
                         held += len(block)
                         if held > 8 << 20 or len(rows) >= 5000:
                             yield _entries(rows)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.columns import unused, with_row_ids
+from loomgraph.llm.columns import filter_by_text, unused, with_row_ids
 from loomgraph.llm.words import WordHasher, mix64, text_chunks
 
 K, WINDOW = 6, 8
@@ -304,16 +304,19 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int =
         return numbered.join(bad, row, "left_anti").drop(row)
     items = _load_items(benchmark, k, window)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         hasher = WordHasher()
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for begin, _, data, offsets in text_chunks(batch.column("text"), lower=True):
+
+        def kept(texts: pa.Array) -> pa.Array:
+            keep = np.ones(len(texts), bool)
+            for begin, _, data, offsets in text_chunks(texts, lower=True):
                 hashes, _, _, first = hasher.words(data, offsets)
                 keep[find_hits(hashes, first, items, k, window)[:, 0] + begin] = False
-            yield batch.filter(pa.array(keep))
+            return pa.array(keep)
+
+        return kept
 
-    return docs.mapInArrow(clean, docs.schema)
+    return filter_by_text(docs, judge)
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
