@@ -9,11 +9,16 @@ and what is left are the page's unique runs. A longer repeat is the union of
 its windows of ``MIN_TOKENS`` tokens, so that depth finds all: the result is
 that of all maximal common substrings (LCP) of at least so many tokens.
 
-A host lies in many lots. Each lot sends every distinct window of its suffix
-array once, as a 64-bit hash with the number of pages it occurs on there; the
-hash deals them to parts of even size, in which the counts of all lots are
-added, and each lot gets one bit per window back. No host is treated apart: a
-window that every page of a hot host carries is one entry a lot.
+A host lies in many lots, whose suffix arrays meet in two steps. Equal windows
+have equal minimizers (the least hash of their runs of ``MINI`` tokens), of
+which a text has few: each lot sends its distinct ones, and learns which of
+them other lots have too. Then it sends the windows of those, each distinct
+one once, as a 64-bit hash with the number of pages it occurs on there; the
+counts of all lots are added, and the lot learns which windows reach the
+bound. Hashes deal both to parts of even size, and answers are bits, stored
+where the tasks that hold the lots read them, so texts are never shuffled. No
+host is treated apart: a window that every page of a hot host carries is one
+entry a lot.
 """
 
 from __future__ import annotations
@@ -24,15 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import WordHasher, mix64, text_chunks
-from loomgraph.scratch import materialize
+from loomgraph.scratch import fresh_path, materialize
 
-MIN_TOKENS, MIN_PAGES = 8, 2
+MIN_TOKENS, MIN_PAGES, MINI = 8, 2, 4
+#: Tasks whose lots' answers are stored together.
+GROUP = 8
 #: Bytes of html in a lot (or one longer page); bytes of html for each part of the windows.
 LOT_BYTES, PART_BYTES = 8 << 20, 64 << 20
 RESULT = "page_id bigint, url string, text string, n_tokens int, n_removed int"
@@ -82,18 +91,6 @@ def window_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def page_counts(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """On how many distinct pages each rank occurs, at each of its entries."""
-    order = np.lexsort((page, rank))  # the suffix array
-    r, p = rank[order], page[order]
-    new = np.concatenate(([True], r[1:] != r[:-1]))
-    fresh = new | np.concatenate(([True], p[1:] != p[:-1]))
-    group = np.cumsum(new) - 1
-    out = np.empty(len(rank), np.int64)
-    out[order] = np.bincount(group, weights=fresh).astype(np.int64)[group]
-    return out
-
-
 def _starts(first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(token index, page) of each window of ``depth`` tokens that lies on one page."""
     count = np.maximum(np.diff(first) - depth + 1, 0)
@@ -142,26 +139,128 @@ def _unblob(blob: bytes) -> list[str]:
     return (pa.Codec("zstd").decompress(blob[8:], size, asbytes=True).decode() if size else "").split("\0")
 
 
-def _windows(hosts: list[str], texts: list[str], depth: int) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens' start, end and pages' first token), and of each window its token, hash and distinct number, and pages by number.
-
-    Windows are equal if their tokens and hosts are; the hash stands for both.
-    """
-    tokens, starts, ends, first = _tokens(pa.array(texts, pa.string()), WordHasher(by_space=True))
-    at, page = _starts(first, depth)
-    seeds = np.array([xxhash.xxh3_64_intdigest(h.encode()) for h in hosts], np.uint64)
-    grams = seeds[page] if len(at) else np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(depth):
-            grams = grams * np.uint64(0x9E3779B97F4A7C15) + tokens[at + j]
-    if not len(at):
-        return (starts, ends, first), at, mix64(grams), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, number = np.unique(mix64(grams), return_inverse=True)
-    host = np.unique(seeds, return_inverse=True)[1].astype(np.uint64)[page]
-    rank = np.unique(window_ranks(tokens, depth)[at].astype(np.uint64) << np.uint64(24) | host, return_inverse=True)[1] if len(host) else host
-    pages = np.zeros(len(grams), np.int64)
-    pages[number] = page_counts(rank, page)
-    return (starts, ends, first), at, grams, number, pages
+class Lot:
+    """The token streams of a lot's pages; windows are equal if their tokens and hosts are."""
+
+    def __init__(self, hosts: list[str], texts: list[str], depth: int) -> None:
+        self.depth = depth
+        self.tokens, self.starts, self.ends, self.first = _tokens(pa.array(texts, pa.string()), WordHasher(by_space=True))
+        self.at, self.page = _starts(self.first, depth)
+        self.seeds = np.array([xxhash.xxh3_64_intdigest(h.encode()) for h in hosts], np.uint64)
+
+    def _hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        hashes = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + self.tokens[at + j]
+        return mix64(hashes)
+
+    def minimizers(self) -> np.ndarray:
+        """The minimizer of each window."""
+        n = min(MINI, self.depth)
+        if not len(self.at):
+            return np.zeros(0, np.uint64)
+        each = self._hashes(np.arange(len(self.tokens) - n + 1), n)
+        least = each[self.at].copy()
+        for j in range(1, self.depth - n + 1):
+            np.minimum(least, each[self.at + j], out=least)
+        return mix64(least ^ self.seeds[self.page])
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows' hashes, the number of each window among them, and the pages each occurs on."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rank = window_ranks(self.tokens, self.depth)[self.at]
+        host = np.unique(self.seeds, return_inverse=True)[1].astype(np.uint64)[self.page]
+        if len(np.unique(self.seeds)) > 1:
+            rank = np.unique(rank.astype(np.uint64) << np.uint64(24) | host, return_inverse=True)[1]
+        order = np.argsort(rank, kind="stable")  # the suffix array: pages of a window follow each other
+        r, p = rank[order], self.page[order]
+        new = np.concatenate(([True], r[1:] != r[:-1]))
+        fresh = new | np.concatenate(([True], p[1:] != p[:-1]))
+        group = np.cumsum(new) - 1
+        number = np.empty(len(r), np.int64)
+        number[order] = group
+        some = order[new]
+        with np.errstate(over="ignore"):
+            grams = mix64(self._hashes(self.at[some], self.depth) + self.seeds[self.page[some]])
+        return grams, number, np.bincount(group, weights=fresh).astype(np.int64)
+
+
+def _dealt(values: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[int], list[int]]:
+    """(order of distinct values by part, the parts, and each one's begin and end in that order)."""
+    part = (values % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((values, part))
+    which, begin = np.unique(part[order], return_index=True)
+    return order, which.tolist(), begin.tolist(), [*begin[1:].tolist(), len(values)]
+
+
+def _answers(values: np.ndarray, parts: int, bits: dict[int, bytes]) -> np.ndarray:
+    """The flags that came back for distinct values."""
+    order, which, begin, end = _dealt(values, parts)
+    flags = np.zeros(len(values), bool)
+    for k, a, b in zip(which, begin, end):
+        if k in bits:
+            flags[order[a:b]] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a).astype(bool)
+    return flags
+
+
+def _count(table: pa.Table, least: int) -> pa.Table:
+    """Of one part: which values of each lot reach a count in all lots together."""
+    raw, width = table["entries"].to_pylist(), int(table["width"][0].as_py())
+    wide = np.zeros((sum(len(r) for r in raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8) if table["counts"].null_count == 0 else None
+    number = np.unique(wide.view(np.uint64)[:, 0], return_inverse=True)[1]
+    flags = (np.bincount(number, weights=counts) >= least)[number] if len(number) else np.zeros(0, bool)
+    ends = np.cumsum([len(r) // width for r in raw]).tolist()
+    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip([0, *ends], ends)]
+    return pa.table({"lot": table["lot"], "part": table["part"], "bits": pa.array(bits, pa.binary())})
+
+
+ENTRY = "lot bigint, part bigint, width int, entries binary, counts binary"
+
+
+def _entries(lot: int, values: np.ndarray, parts: int, width: int, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """A lot's distinct values, ``width`` bytes of each besides the part, and counts up to 255."""
+    order, which, begin, end = _dealt(values, parts)
+    kept = np.ascontiguousarray((values if width == 8 else values // np.uint64(parts))[order]).view(np.uint8).reshape(-1, 8)[:, :width]
+    some = None if counts is None else np.minimum(counts, 255).astype(np.uint8)[order]
+    cols = ([lot] * len(which), pa.int64()), (which, pa.int64()), ([width] * len(which), pa.int32()), ([kept[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()), ([None if some is None else some[a:b].tobytes() for a, b in zip(begin, end)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(*c) for c in cols], names=["lot", "part", "width", "entries", "counts"])
+
+
+def _meet(entries: DataFrame, parts: int, least: int, tag: str) -> str:
+    """Count the entries of all lots, and store the answers, by the tasks that hold the lots; the folder."""
+
+    def count(table: pa.Table) -> pa.Table:
+        return _count(table, least)
+
+    found = entries.repartition(parts, "part").groupBy("part").applyInArrow(count, "lot bigint, part bigint, bits binary")
+    path = fresh_path(entries.sparkSession, tag)
+    grouped = found.withColumn("grp", F.expr(f"shiftright(lot, 32) div {GROUP}"))
+    grouped.repartition(max(1, -(-parts // 4)), "grp").sortWithinPartitions("grp", "lot").write.partitionBy("grp").parquet(path)
+    return path
+
+
+class Answers:
+    """The stored answers, lot by lot; those of one group of tasks are kept."""
+
+    def __init__(self, path: str) -> None:
+        self.fs, self.root = pafs.FileSystem.from_uri(path)
+        self.group, self.table = -1, None
+
+    def of(self, lot: int) -> dict[int, bytes]:
+        group = (lot >> 32) // GROUP
+        if group != self.group:
+            where = f"{self.root}/grp={group}"
+            there = self.fs.get_file_info(where).type == pafs.FileType.Directory
+            self.group, self.table = group, pads.dataset(where, format="parquet", filesystem=self.fs).to_table(["lot", "part", "bits"]) if there else None
+        if self.table is None:
+            return {}
+        lots = self.table["lot"].to_numpy()
+        mine = self.table.take(pa.array(np.flatnonzero(lots == lot)))
+        return dict(zip(mine["part"].to_pylist(), mine["bits"].to_pylist()))
 
 
 def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, lot_bytes: int = LOT_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -193,52 +292,43 @@ def extract(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN
     total = lots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(-(-total // part_bytes), pages.sparkSession.sparkContext.defaultParallelism)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each lot and part: the distinct windows' hashes, in order, and pages (at most 255 count)."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, Lot, list[str]]]:
         for batch in batches:
-            for lot, hosts, blob in zip(*(batch.column(c).to_pylist() for c in ("lot", "hosts", "blob"))):
-                _, _, grams, _, count = _windows(hosts, _unblob(blob), min_tokens)
-                part = grams % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                which, begin = np.unique(part[order], return_index=True)
-                grams, count = grams[order], np.minimum(count[order], 255).astype(np.uint8)
-                ends = [*begin[1:].tolist(), len(grams)]
-                pieces = [(grams[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(begin.tolist(), ends)]
-                cols = ([lot] * len(which), pa.int64()), (which.astype(np.int64), pa.int64()), ([p[0] for p in pieces], pa.binary()), ([p[1] for p in pieces], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(*c) for c in cols], names=["lot", "part", "grams", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        """Of one part: which windows of each lot occur on enough pages of all lots together."""
-        raw = table["grams"].to_pylist()
-        grams = np.frombuffer(b"".join(raw), np.uint64)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
-        number = np.unique(grams, return_inverse=True)[1]
-        flags = (np.bincount(number, weights=counts) >= min_pages)[number] if len(grams) else np.zeros(0, bool)
-        ends = np.cumsum([len(r) // 8 for r in raw]).tolist()
-        bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip([0, *ends], ends)]
-        return pa.table({"lot": table["lot"], "part": table["part"], "bits": pa.array(bits, pa.binary())})
-
-    def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        bits = dict(zip(right["part"].to_pylist(), right["bits"].to_pylist()))
-        batches = []
-        for hosts, ids, urls, blob in zip(*(left[c].to_pylist() for c in ("hosts", "ids", "urls", "blob"))):
-            texts = _unblob(blob)
-            (starts, ends, first), at, grams, number, _ = _windows(hosts, texts, min_tokens)
-            part = (grams % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            which, begin = np.unique(part[order], return_index=True)
-            size = np.diff([*begin.tolist(), len(grams)])
-            flags = np.zeros(len(grams), bool)
-            if len(which):
-                flags[order] = np.concatenate([np.unpackbits(np.frombuffer(bits[k], np.uint8), count=n) for k, n in zip(which.tolist(), size.tolist())]).astype(bool)
-            gone = covered(first, at[flags[number]], min_tokens)
-            batches.append(_result(ids, urls, *_unique_runs(texts, starts, ends, first, gone)))
-        return pa.Table.from_batches(batches or [_result([], [], [], [], [])])
-
-    found = lots.select("lot", "hosts", "blob").mapInArrow(windows, "lot bigint, part bigint, grams binary, counts binary")
-    masks = found.repartition(parts, "part").groupBy("part").applyInArrow(add, "lot bigint, part bigint, bits binary")
-    texts = lots.drop("size").repartition(parts, "lot").groupBy("lot")
-    return texts.cogroup(masks.repartition(parts, "lot").groupBy("lot")).applyInArrow(clean, RESULT)
+            for lot, hosts, ids, urls, blob in zip(*(batch.column(c).to_pylist() for c in ("lot", "hosts", "ids", "urls", "blob"))):
+                texts = _unblob(blob)
+                yield lot, ids, urls, Lot(hosts, texts, min_tokens), texts
+
+    def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, _, lot, _ in read(batches):
+            yield _entries(number, np.unique(lot.minimizers()), parts, 5)  # an accidental match costs a window, no more
+
+    def shared_windows(lot: Lot, answers: Answers, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lot's windows, and which distinct ones have a minimizer that other lots have too."""
+        grams, of, pages = lot.windows()
+        minis, mini_of = np.unique(lot.minimizers(), return_inverse=True)
+        shared = np.zeros(len(grams), bool)
+        shared[of] = _answers(minis, parts, answers.of(number))[mini_of]
+        return grams, of, pages, shared
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = Answers(met)
+        for number, _, _, lot, _ in read(batches):
+            grams, _, pages, shared = shared_windows(lot, answers, number)
+            yield _entries(number, grams[shared], parts, 8, pages[shared])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = Answers(met), Answers(counted)
+        for number, ids, urls, lot, texts in read(batches):
+            grams, of, pages, shared = shared_windows(lot, first, number)
+            many = pages >= min_pages
+            many[shared] = _answers(grams[shared], parts, second.of(number))
+            gone = covered(lot.first, lot.at[many[of]], min_tokens)
+            yield _result(ids, urls, *_unique_runs(texts, lot.starts, lot.ends, lot.first, gone))
+
+    rows = lots.drop("size")
+    met = _meet(rows.mapInArrow(minimizers, ENTRY), parts, 2, "minimizers")
+    counted = _meet(rows.mapInArrow(windows, ENTRY), parts, min_pages, "windows")
+    return rows.mapInArrow(clean, RESULT)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
