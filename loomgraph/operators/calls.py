@@ -108,7 +108,16 @@ def _sites(g: Graph, t: Target, query_limit: int) -> DataFrame:
     return r.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth").withColumn("receiver_hint", F.coalesce(clean_receiver(receiver_of(F.col("name"), F.lit(t.name))), F.lit("")))
 
 
-def _resolved_types(g: Graph, sites: DataFrame, t: Target) -> DataFrame:
+def included_files(g: Graph) -> DataFrame:
+    """(from_file, to_file): ids of files and of those that they include."""
+    f, n = g.files.select("id", "path"), g.nodes.where("node_type = 'file'").select("id", F.col("name").alias("path"))
+    at = n.join(f.select(F.col("id").alias("file"), "path"), "path").select("id", "file")
+    inc = g.edges.where("kind = 'includes'").select("src_id", "dst_id")
+    inc = inc.join(at.select(F.col("id").alias("src_id"), F.col("file").alias("from_file")), "src_id").join(at.select(F.col("id").alias("dst_id"), F.col("file").alias("to_file")), "dst_id")
+    return inc.select("from_file", "to_file").distinct()
+
+
+def resolved_types(g: Graph, sites: DataFrame) -> DataFrame:
     """Sites with the type that their hint names: in the same file, in files it includes, or anywhere if it is the only one."""
     hinted = sites.withColumn("__hint", plain_type(F.coalesce("receiver_type_hint", F.lit(""))))
     wanted = hinted.where("__hint <> ''").select("file_id", "__hint").distinct()
@@ -116,10 +125,7 @@ def _resolved_types(g: Graph, sites: DataFrame, t: Target) -> DataFrame:
     last = F.lower(F.regexp_extract("__hint", r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1))
     pairs = wanted.withColumn("__last", last).join(types, F.lower("tname") == F.col("__last"))
     quality = F.when(same_name(F.col("tqual"), F.col("__hint")) | same_name(F.col("tname"), F.col("__hint")), 3).when(ends_in_part(F.col("tqual"), F.col("__hint")) | ends_in_part(F.col("__hint"), F.col("tqual")), 2).otherwise(1)
-    f = g.files.select("id", "path")
-    inc = g.edges.where("kind = 'includes'").join(g.nodes.where("node_type = 'file'").select(F.col("id").alias("a"), F.col("name").alias("apath")), F.col("src_id") == F.col("a"))
-    inc = inc.join(g.nodes.where("node_type = 'file'").select(F.col("id").alias("b"), F.col("name").alias("bpath")), F.col("dst_id") == F.col("b"))
-    inc = inc.join(f.select(F.col("id").alias("from_file"), F.col("path").alias("apath")), "apath").join(f.select(F.col("id").alias("to_file"), F.col("path").alias("bpath")), "bpath").select("from_file", "to_file").distinct()
+    inc = included_files(g)
     scoped = pairs.join(inc, (F.col("file_id") == F.col("from_file")) & (F.col("tfile") == F.col("to_file")), "left")
     scope = F.when(F.col("tfile") == F.col("file_id"), 0).when(F.col("to_file").isNotNull(), 1).otherwise(2)
     ranked = scoped.withColumn("scope", scope).withColumn("quality", quality)
@@ -183,7 +189,7 @@ def callsite_scores(g: Graph, node_id: int, limit: int = 20, receiver: str | Non
     t = target_of(g, node_id)
     cap = 5000 if receiver else min(5000, max(4 * limit, limit, 200))
     sites = _sites(g, t, cap if limit > 0 else 0)
-    scored = score_sites(_resolved_types(g, sites, t), t)
+    scored = score_sites(resolved_types(g, sites), t)
     if receiver:
         scored = scored.where(receiver_passes(F.col("receiver_hint"), F.coalesce("resolved_receiver_type", "receiver_type_hint", F.lit("")), receiver))
     return scored

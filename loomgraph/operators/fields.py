@@ -52,18 +52,26 @@ def weighted_fields(g: Graph) -> DataFrame:
     return field_use(g).select("node_id", "name", F.when(both, WEIGHT_BOTH).when(F.col("writes") > 0, WEIGHT_WRITE).otherwise(WEIGHT_READ).alias("weight"))
 
 
-def similarity(g: Graph, methods: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity), a < b: weighted Jaccard of the fields of methods that share one.
+def containers(g: Graph) -> DataFrame:
+    """(node_id, container): the least symbol that contains a node, else its file (as a negative id)."""
+    up = g.edges.where("kind = 'contains'").join(g.nodes.where("node_type = 'symbol'").select(F.col("id").alias("src_id")), "src_id", "left_semi").groupBy(F.col("dst_id").alias("node_id")).agg(F.min("src_id").alias("up"))
+    rows = g.nodes.where("node_type = 'symbol'").select(F.col("id").alias("node_id"), "file_id").join(up, "node_id", "left")
+    return rows.select("node_id", F.coalesce("up", -F.col("file_id") - 1).alias("container")).where("container IS NOT NULL")
 
-    The sum of maxima is the sum of both weights less the sum of minima, so
-    only shared fields are joined.
+
+def similarity(g: Graph, scope: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: weighted Jaccard of the fields of methods of one container that share a field.
+
+    ``scope`` (node_id, container) says which methods are compared; by default
+    those of one class, or of one file. Fields of equal names in other
+    containers are other fields, so a common name makes no large group. The
+    sum of maxima is the sum of both weights less the sum of minima, so only
+    shared fields are joined.
     """
-    f = weighted_fields(g)
-    if methods is not None:
-        f = f.join(methods.select("node_id"), "node_id", "left_semi")
+    f = weighted_fields(g).join(containers(g) if scope is None else scope, "node_id")
     whole = f.groupBy("node_id").agg(F.sum("weight").alias("w"))
-    x, y = f.select(F.col("node_id").alias("a"), "name", F.col("weight").alias("wa")), f.select(F.col("node_id").alias("b"), "name", F.col("weight").alias("wb"))
-    shared = x.join(y, "name").where("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("low"))
+    x, y = f.select(F.col("node_id").alias("a"), "container", "name", F.col("weight").alias("wa")), f.select(F.col("node_id").alias("b"), "container", "name", F.col("weight").alias("wb"))
+    shared = x.join(y, ["container", "name"]).where("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("low"))
     out = shared.join(whole.select(F.col("node_id").alias("a"), F.col("w").alias("wa")), "a").join(whole.select(F.col("node_id").alias("b"), F.col("w").alias("wb")), "b")
     return out.select("a", "b", (F.col("low") / (F.col("wa") + F.col("wb") - F.col("low"))).alias("similarity"))
 

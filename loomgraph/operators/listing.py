@@ -192,12 +192,17 @@ def file_summary(g: Graph, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("node_id"), "kind", "name", "qualname", "visibility", "signature", "start_line", "end_line")
 
 
-def file_overview(g: Graph, path: str) -> DataFrame:
-    """Structural symbols of a file: duplicates merged, those inside a kept function or method left out."""
-    rows = g.located().where((F.col("file_path") == path) & F.col("kind").isin(*STRUCTURAL))
+def merge_duplicates(rows: DataFrame) -> DataFrame:
+    """Located structural symbols, those of one file, name and start line as one that ends with the last of them."""
     kind = F.when(F.col("kind").isin("typedef", "type_alias"), "type").otherwise(F.col("kind"))
     some = lambda c: F.min(F.when(F.col(c) != "", F.col(c))).alias(c)
-    merged = rows.withColumn("kind", kind).groupBy("name", "qualname", "kind", "start_line").agg(F.max("end_line").alias("end_line"), some("signature"), some("visibility"), some("doc"))
+    rows = rows.where(F.col("kind").isin(*STRUCTURAL)).withColumn("kind", kind)
+    return rows.groupBy("file_path", "name", "qualname", "kind", "start_line").agg(F.max("end_line").alias("end_line"), some("signature"), some("visibility"), some("doc"))
+
+
+def file_overview(g: Graph, path: str) -> DataFrame:
+    """Structural symbols of a file: duplicates merged, those inside a kept function or method left out."""
+    merged = merge_duplicates(g.located().where(F.col("file_path") == path))
     hosts = merged.where(F.col("kind").isin(*CALLABLE, "constructor_fn")).select(F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("name").alias("host"))
     inside = (F.col("s") < F.col("start_line")) & (F.col("e") >= F.col("end_line"))
     kept = merged.join(hosts, inside, "left_anti")  # one file's symbols: small on both sides

@@ -80,16 +80,34 @@ def cross_root(g: Graph, root_id: int) -> DataFrame:
 
     A pair needs the language or the receiver to agree; of a reference's
     candidates definitions, then languages, receivers and least ids win.
+
+    Names are ranked before they meet references, by two keys: the best of a
+    name, language and root, where languages must agree; and the best of a
+    name, language, root and receiver, where receivers must. A reference meets one row of each key and root, however common its
+    name is.
     """
     root = lambda c: F.expr(f"{c} div {ROOT_STRIDE}")
     n = g.located().where(F.col("kind").isin(*CALLABLE)).select(F.col("id").alias("target"), F.col("name").alias("target_name"), F.coalesce("qualname", "name").alias("target_qual"), F.col("is_definition").alias("is_def"), F.col("language").alias("target_language"), root("id").alias("target_root"))
     f = g.files.select(F.col("id").alias("fid"), F.col("language").alias("ref_language"))
     r = g.refs.where("kind = 'call' AND resolved_node_id IS NULL").join(f, F.col("file_id") == F.col("fid"), "left")
     r = r.select(F.col("id").alias("ref_id"), "name", "containing_node_id", "ref_language", root("id").alias("ref_root"), F.explode(F.array_distinct(F.array(bare_name(F.col("name")), F.col("name")))).alias("target_name")).where("target_name IS NOT NULL")
-    pairs = r.join(n, "target_name").where("ref_root <> target_root").where((F.col("ref_root") == root_id) | (F.col("target_root") == root_id))
-    receiver = F.coalesce(receiver_of(F.col("name"), F.col("target_name")), F.lit(""))
-    agrees = (receiver != "") & F.contains(F.lower("target_qual"), F.lower(receiver))
+    r = r.withColumn("receiver", F.lower(F.coalesce(receiver_of(F.col("name"), F.col("target_name")), F.lit(""))))
+    order = [F.desc("is_def"), F.col("target")]
+    # a qualified name counts for the receiver as a whole: equal (root, name, language, qualname) differ by rank alone
+    n = best_per(n, ["target_root", "target_name", "target_language", "target_qual"], order)
+    by_language = best_per(n, ["target_root", "target_name", "target_language"], order)
+    pairs = r.where("ref_language IS NOT NULL").join(by_language, (F.col("ref_language") == F.col("target_language")) & (r["target_name"] == by_language["target_name"])).drop(by_language["target_name"])
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.array(*[F.substring(F.col("low"), i, F.lit(k)) for k in (1, 2, 3)]))))
+    quals = n.select(F.lower("target_qual").alias("low"), "target_name").distinct().where("low <> ''").withColumn("gram", F.explode(grams))
+    wanted = r.where("receiver <> ''").select("target_name", "receiver", F.substring("receiver", 1, 3).alias("gram")).distinct()
+    # a receiver meets the names that hold its first three characters, not all of the name's
+    agreed = wanted.join(quals, ["target_name", "gram"]).where(F.contains("low", F.col("receiver"))).select("target_name", "receiver", "low")
+    named = n.withColumn("low", F.lower("target_qual")).join(agreed, ["target_name", "low"])
+    named = best_per(named, ["target_root", "target_name", "target_language", "receiver"], order).drop("low")
+    pairs = pairs.unionByName(r.join(named, ["target_name", "receiver"]).select(*pairs.columns))
+    pairs = pairs.where("ref_root <> target_root").where((F.col("ref_root") == root_id) | (F.col("target_root") == root_id))
+    agrees = (F.col("receiver") != "") & F.contains(F.lower("target_qual"), F.col("receiver"))
     same = F.coalesce(F.col("ref_language") == F.col("target_language"), F.lit(False))
-    pairs = pairs.withColumn("same", same).withColumn("agrees", agrees).where("same OR agrees")
+    pairs = pairs.withColumn("same", same).withColumn("agrees", agrees)
     best = best_per(pairs, ["ref_id"], [F.desc("is_def"), F.desc("same"), F.desc("agrees"), F.col("target")])
     return best.select("ref_id", "target", F.col("containing_node_id").alias("src_id"), cross_root_confidence(F.col("is_def") == 1, F.col("same"), F.col("agrees")).alias("confidence"))

@@ -14,6 +14,8 @@ from loomgraph.plans.projection import byte_prefix, content_lines
 from loomgraph.schema import InvalidInput, NotFound, clamp
 
 PER_FILE = 20
+#: Bytes of a file's text that the content index holds.
+MOST_BYTES = 1 << 20
 
 
 def node_tokens(g: Graph) -> DataFrame:
@@ -24,12 +26,12 @@ def node_tokens(g: Graph) -> DataFrame:
     return each.select("node_id", "x.field", F.posexplode(fold_tokens(F.col("x.text"))).alias("pos", "token"))
 
 
-def index_lines(g: Graph, contents: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
-    """Content lines of (path, text) rows whose file is not tracked (file_id) yet; skipped files have none, texts count up to 1 MB."""
+def index_lines(g: Graph, contents: DataFrame, tracked: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Content lines of (path, text) rows whose file is not tracked (file_id) yet; skipped files have none, texts count up to ``most_bytes`` (0: whole)."""
     f = g.files.where("parse_status IS NULL OR parse_status <> 'skipped'").select(F.col("id").alias("file_id"), "path")
     if tracked is not None:
         f = f.join(tracked.select("file_id").distinct(), "file_id", "left_anti")
-    text = F.when(F.octet_length("text") <= 1 << 20, F.col("text")).otherwise(byte_prefix(F.col("text"), 1 << 20))
+    text = F.when(F.octet_length("text") <= most_bytes, F.col("text")).otherwise(byte_prefix(F.col("text"), most_bytes)) if most_bytes else F.col("text")
     return conform(content_lines(contents.join(f, "path").select("file_id", text.alias("text"))), "lines")
 
 

@@ -7,6 +7,8 @@ driver holds counts, and ids only where a caller's limit bounds them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,17 +28,27 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = Non
     edges of that level the most confident, then the least kind and source. With
     ``most`` the walk stops at the end of the level that reaches so many.
     """
-    seen = materialize(seeds.select(F.col("node_id").cast("bigint").alias("node_id")).distinct().select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("bigint").alias("via")), "reach")
+    start = seeds.select(F.col("node_id").cast("bigint").alias("node_id")).distinct().select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("bigint").alias("via"))
+    levels = [materialize(start, "reach")]
+    total = levels[0].count() if most is not None else 0
     for level in range(1, depth + 1):
-        front = seen.where(F.col("distance") == level - 1).select(F.col("node_id").alias("a"))
-        step = edges.join(front, "a").join(seen.select(F.col("node_id").alias("b")), "b", "left_anti")
-        first = step.groupBy("b").agg(F.max_by(F.struct("kind", "confidence", "a"), F.struct(F.col("confidence"), -F.col("a"))).alias("e"))
-        new = first.select(F.col("b").alias("node_id"), F.lit(level).alias("distance"), "e.kind", "e.confidence", F.col("e.a").alias("via"))
-        seen = materialize(seen.unionByName(new), "reach")
-        n, grew = seen.agg(F.count(F.lit(1)), F.max("distance")).first()
-        if grew != level or most is not None and n > most:
+        new = materialize(_next_level(edges, levels, level), "reach")
+        n = new.count()  # of a stored table: its footers
+        total += n
+        if n:
+            levels.append(new)
+        if not n or most is not None and total > most:
             break
-    return seen
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _next_level(edges: DataFrame, levels: list[DataFrame], level: int) -> DataFrame:
+    """What the last level's nodes lead to, but for nodes of any level so far."""
+    front = levels[-1].select(F.col("node_id").alias("a"))
+    seen = reduce(DataFrame.unionByName, [x.select(F.col("node_id").alias("b")) for x in levels])
+    step = edges.join(front, "a").join(seen, "b", "left_anti")
+    first = step.groupBy("b").agg(F.max_by(F.struct("kind", "confidence", "a"), F.struct(F.col("confidence"), -F.col("a"))).alias("e"))
+    return first.select(F.col("b").alias("node_id"), F.lit(level).alias("distance"), "e.kind", "e.confidence", F.col("e.a").alias("via"))
 
 
 def one(g: Graph, *ids: int) -> DataFrame:
@@ -135,52 +147,48 @@ def shortest_path(g: Graph, src: int, dst: int, max_depth: int = 10, max_paths:
 
 
 def _steps(g: Graph, both: DataFrame, src: int, dst: int, depth: int) -> list[tuple[int, str | None, float | None]]:
-    """Nodes of one shortest path with the edge to the next, or nothing; searched from both ends."""
-    ends = [reach_start(g, src), reach_start(g, dst)]
-    for level in range(1, depth + 1):
-        side = level % 2 == 0
-        sizes = [e.where(F.col("distance") == F.lit(int(e.agg(F.max("distance")).first()[0]))).count() for e in ends]
+    """Nodes of one shortest path with the edge to the next, or nothing; searched from both ends, the smaller frontier first."""
+    ends = [[materialize(reach_start(g, n), "path")] for n in (src, dst)]
+    sizes = [1, 1]
+    for _ in range(depth):
         side = int(sizes[1] < sizes[0])
-        seen = ends[side]
-        last = int(seen.agg(F.max("distance")).first()[0])
-        front = seen.where(F.col("distance") == last).select(F.col("node_id").alias("a"))
-        step = both.join(front, "a").join(seen.select(F.col("node_id").alias("b")), "b", "left_anti")
-        first = step.groupBy("b").agg(F.max_by(F.struct("kind", "confidence", "a"), F.struct("confidence", -F.col("a"))).alias("e"))
-        new = first.select(F.col("b").alias("node_id"), F.lit(last + 1).alias("distance"), "e.kind", "e.confidence", F.col("e.a").alias("via"))
-        ends[side] = materialize(seen.unionByName(new), "path")
-        if ends[side].where(F.col("distance") == last + 1).isEmpty():
+        mine, others = ends[side], ends[1 - side]
+        new = materialize(_next_level(both, mine, len(mine)), "path")
+        sizes[side] = new.count()
+        if not sizes[side]:
             return []
-        met = ends[0].select("node_id", F.col("distance").alias("d0")).join(ends[1].select("node_id", F.col("distance").alias("d1")), "node_id").orderBy(F.col("d0") + F.col("d1"), "node_id").first()
-        if met:
-            back, at = [], met["node_id"]
-            head = _trace(ends[0], at)
-            for node, kind, confidence, via in head:
-                back.append((node, kind, confidence, via))
-            nodes: list[tuple] = []
-            for node, kind, confidence, via in reversed(back):
-                if via is not None:
-                    nodes[-1] = (nodes[-1][0], kind, confidence)
-                nodes.append((node, None, None))
-            for node, kind, confidence, via in _trace(ends[1], at):
-                if via is not None:
-                    nodes[-1] = (nodes[-1][0], kind, confidence)
-                    nodes.append((via, None, None))
-            return nodes
+        mine.append(new)
+        # a meeting was not possible before this level, so only its nodes are looked for, nearest to the other end first
+        for at in others:
+            met = new.select("node_id").join(at.select("node_id"), "node_id", "left_semi").agg(F.min("node_id").alias("n")).first()["n"]
+            if met is not None:
+                return _joined(_trace(ends[0], met), _trace(ends[1], met))
     return []
 
 
+def _joined(head: list[tuple], tail: list[tuple]) -> list[tuple]:
+    """(node, edge kind, confidence to the next) from the traces of a meeting point to both ends."""
+    back = list(reversed(head))
+    nodes = [(node, *back[i + 1][1:3]) if i + 1 < len(back) else (node, None, None) for i, (node, *_) in enumerate(back)]
+    for node, kind, confidence, via in tail:
+        if via is not None:
+            nodes[-1] = (nodes[-1][0], kind, confidence)
+            nodes.append((via, None, None))
+    return nodes
+
+
 def reach_start(g: Graph, node: int) -> DataFrame:
     return g.spark.createDataFrame([(node, 0, None, None, None)], "node_id bigint, distance int, kind string, confidence double, via bigint")
 
 
-def _trace(seen: DataFrame, node: int) -> list[tuple]:
-    """(node, edge kind, confidence, node before) from a node to its start; one lookup a step, 20 at most."""
-    out = []
-    while node is not None:
-        r = seen.where(F.col("node_id") == node).first()
-        out.append((node, r["kind"], r["confidence"], r["via"]))
-        node = r["via"]
-    return out
+def _trace(levels: list[DataFrame], node: int) -> list[tuple]:
+    """(node, edge kind, confidence, node before) from a node to its start, in one query: each level's row is joined to the one before."""
+    found = next(i for i in reversed(range(len(levels))) if not levels[i].where(F.col("node_id") == node).isEmpty())
+    rows = levels[found].where(F.col("node_id") == node).select(F.array(F.struct("node_id", "kind", "confidence", "via")).alias("steps"), F.col("via").alias("at"))
+    for level in reversed(levels[:found]):
+        before = level.select(F.col("node_id").alias("at"), F.struct("node_id", "kind", "confidence", "via").alias("step"), F.col("via").alias("next"))
+        rows = rows.join(before, "at").select(F.array_append("steps", F.col("step")).alias("steps"), F.col("next").alias("at"))
+    return [tuple(s) for s in rows.first()["steps"]]
 
 
 def file_deps(g: Graph, path: str) -> DataFrame:

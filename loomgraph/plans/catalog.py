@@ -81,13 +81,6 @@ def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.truncated(F.col("text"), 3).alias("source"))
 
 
-@raw("A10_delete_then_insert", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE lang END AS language FROM documents")
-def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("language"))
-    new = d.where("doc_id % 10 = 0").withColumn("language", F.lit("new"))
-    return d.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-
-
 @query("A11_kv_upsert", "SELECT * FROM (VALUES ('schema_version', '8'), ('last_index_time', '2024-01-01T00:00:00Z'), ('git_head', 'def'), ('git_branch', 'main'), ('repo_root', '/r')) t(key, value)")
 def _kv(g: Graph) -> DataFrame:
     from loomgraph.graph import kv_put
@@ -95,11 +88,8 @@ def _kv(g: Graph) -> DataFrame:
     return kv_put(g.kv, {"git_head": "def", "repo_root": "/r"})
 
 
-query("A13_bulk_copy", "SELECT 7000000000 + id AS id, '/x/' || path AS path, CAST(7 AS BIGINT) AS root_id FROM g_files WHERE root_id IS NULL")(lambda g: g.files.where("root_id IS NULL").select((F.col("id") + F.lit(7 * 10**9)).alias("id"), F.concat(F.lit("/x/"), "path").alias("path"), F.lit(7).cast("bigint").alias("root_id")))
 query("A14_json_rows", "SELECT id, '{\"id\":' || id || ',\"path\":\"' || path || '\"}' AS json FROM g_files")(lambda g: g.files.select("id", F.to_json(F.struct("id", "path")).alias("json")))
 query("A21_counts", "SELECT (SELECT count(*) FROM g_files) AS files, (SELECT count(*) FROM g_nodes) AS nodes, (SELECT count(*) FROM g_edges) AS edges")(lambda g: g.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(g.nodes.agg(F.count(F.lit(1)).alias("nodes"))).crossJoin(g.edges.agg(F.count(F.lit(1)).alias("edges"))))
-query("A22_work_list", "SELECT path FROM g_files ORDER BY path LIMIT 100")(lambda g: g.files.select("path").orderBy("path").limit(100))
-query("A23_size_cap", "SELECT path, CASE WHEN size_bytes > 10000 THEN 'partial' ELSE 'parse' END AS route FROM g_files")(lambda g: g.files.select("path", F.when(F.col("size_bytes") > 10000, "partial").otherwise("parse").alias("route")))
 
 # ---- B: filters and projections
 query("B1_fields", "SELECT id AS node_id, name, file_path AS file, start_line FROM nf WHERE kind = 'function'")(lambda g: paging.select_fields(g.located().where("kind = 'function'"), ["node_id", "name", "file", "start_line"]))
@@ -117,9 +107,6 @@ query("B11_confidence", "SELECT src_id, dst_id FROM g_edges WHERE kind = 'calls'
 query("B12_receiver", "SELECT DISTINCT name FROM g_refs WHERE kind = 'call' AND (lower(split_part(name, '.', 1)) = 'small')")(lambda g: g.refs.where("kind = 'call'").where(S.receiver_passes(S.receiver_of(F.col("name"), S.last_part(F.col("name"))), F.lit(""), "small")).select("name").distinct())
 query("B14_exclude", "SELECT path FROM g_files WHERE NOT (regexp_matches(path, '^src1/.*$') OR regexp_matches(path, '^[^/]*/fr/[^/]*\\.ts$') OR regexp_matches(split_part(path, '/', 3), '^[^/]*\\.go$'))")(lambda g: g.files.where(~matches_any(F.col("path"), ["src1/**", "*/fr/*.ts", "*.go"])).select("path"))
 query("B15_changed_pattern", "SELECT path FROM g_files WHERE regexp_matches(split_part(path, '/', 3), '^doc_[^/]\\.[^/]*$')")(lambda g: g.files.where(matches_path(F.col("path"), "doc_?.*")).select("path"))
-query("B16_scope", "SELECT path FROM g_files WHERE path GLOB 'src2/*'")(lambda g: g.files.where(matches_glob(F.col("path"), "src2/*")).select("path"))
-query("B17_resolve_file", "SELECT path FROM (SELECT path, CASE WHEN path = 'doc_3.py' THEN 0 WHEN ends_with(lower(path), '/doc_3.' || split_part(path, '.', 2)) THEN 2 END AS r FROM g_files) WHERE r IS NOT NULL ORDER BY r, path LIMIT 1")(lambda g: g.files.where(F.col("path").rlike(r"/doc_3\.[a-z]+$")).select("path").orderBy("path").limit(1))
-query("B20_resolve_node", "SELECT id FROM g_nodes WHERE name = 'widget' ORDER BY is_definition DESC, id LIMIT 1")(lambda g: g.nodes.where("name = 'widget'").orderBy(F.desc("is_definition"), "id").limit(1).select("id"))
 query("B22_eligible_lines", "SELECT file_id, CAST(line_no AS INT) AS line_no FROM g_lines")(lambda g: g.lines.select("file_id", "line_no"))
 
 
@@ -155,7 +142,6 @@ query("C23_cross_confidence", "SELECT id, least(1.0::DOUBLE, 0.4::DOUBLE + CASE
 query("C29_first_doc_line", "SELECT id, trim(split_part(doc, chr(10), 1)) AS first_line FROM g_nodes WHERE kind = 'function'")(lambda g: g.nodes.where("kind = 'function'").select("id", S.first_line(F.col("doc")).alias("first_line")))
 query("C30_path_parts", "SELECT path, split_part(path, '/', 3) AS base, regexp_replace(path, '/[^/]*$', '') AS module FROM g_files")(lambda g: g.files.select("path", S.base_name(F.col("path")).alias("base"), S.module_of(F.col("path")).alias("module")))
 query("C31_slot_timeout", "SELECT id, CAST(least(5000 + 10 * (size_bytes // 1024), 10000) AS BIGINT) AS ms FROM g_files")(lambda g: g.files.select("id", S.slot_timeout_ms(F.col("size_bytes"), 5000).alias("ms")))
-query("C33_age", "SELECT CAST(86400 AS BIGINT) AS age")(lambda g: g.kv.where("key = 'last_index_time'").select(S.age_seconds(F.col("value"), F.to_timestamp(F.lit("2024-01-02T00:00:00Z"))).alias("age")))
 query("C34_tokens", "SELECT id, array_to_string(list_filter(regexp_split_to_array(lower(stable_key), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') AS tokens FROM g_nodes")(lambda g: g.nodes.select("id", F.array_join(S.fold_tokens(F.col("stable_key")), " ").alias("tokens")))
 query("C35_trigrams", "SELECT id, array_to_string(list_transform(range(1, length(name) - 1), lambda i: substr(lower(name), i, 3)), '|') AS grams FROM g_nodes")(lambda g: g.nodes.select("id", F.array_join(S.trigrams(F.col("name")), "|").alias("grams")))
 
@@ -165,16 +151,6 @@ query("D2_edges_nodes", "SELECT e.src_id, e.dst_id, n.name, n.file_path FROM g_e
 query("D3_refs_files_nodes", "SELECT r.name, f.path, n.name AS holder, count(*) AS n FROM g_refs r LEFT JOIN g_files f ON r.file_id = f.id LEFT JOIN g_nodes n ON r.containing_node_id = n.id GROUP BY ALL")(lambda g: g.refs.join(g.files.select(F.col("id").alias("fid"), "path"), F.col("file_id") == F.col("fid"), "left").join(g.nodes.select(F.col("id").alias("nid"), F.col("name").alias("holder")), F.col("containing_node_id") == F.col("nid"), "left").groupBy("name", "path", "holder").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("D4_include_join", "SELECT DISTINCT f.id AS file_id, n.id FROM g_files f JOIN g_nodes a ON a.node_type = 'file' AND a.name = f.path JOIN g_edges e ON e.src_id = a.id AND e.kind = 'includes' JOIN g_nodes b ON e.dst_id = b.id JOIN g_files h ON h.path = b.name JOIN g_nodes n ON n.file_id = h.id AND n.kind = 'class'")
-def _includes(g: Graph) -> DataFrame:
-    fn = g.nodes.where("node_type = 'file'")
-    f, a, b = g.files.select(F.col("id").alias("file_id"), F.col("path").alias("ap")), fn.select(F.col("id").alias("src_id"), F.col("name").alias("ap")), fn.select(F.col("id").alias("dst_id"), F.col("name").alias("path"))
-    to = g.files.select(F.col("id").alias("to_file"), "path")
-    n = g.nodes.where("kind = 'class'").select("id", F.col("file_id").alias("to_file"))
-    e = g.edges.where("kind = 'includes'").select("src_id", "dst_id")
-    return f.join(a, "ap").join(e, "src_id").join(b, "dst_id").join(to, "path").join(n, "to_file").select("file_id", "id").distinct()
-
-
 query("D5_siblings", f"SELECT DISTINCT n.name FROM g_edges a JOIN g_edges b ON a.src_id = b.src_id JOIN g_nodes n ON n.id = b.dst_id WHERE a.kind = 'contains' AND b.kind = 'contains' AND a.dst_id = {ORDER}")(lambda g: fields.sibling_names(g, ORDER))
 query("D6_postings", "SELECT id, name FROM g_nodes WHERE list_contains(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), 'widget')")(lambda g: g.nodes.join(text.node_tokens(g).where("field = 'name' AND token = 'widget'").select(F.col("node_id").alias("id")).distinct(), "id").select("id", "name"))
 query("D7_content_files", "SELECT f.path, count(*) AS n FROM g_lines l JOIN g_files f ON l.file_id = f.id GROUP BY 1")(lambda g: g.lines.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").groupBy("path").agg(F.count(F.lit(1)).alias("n")))
@@ -193,7 +169,6 @@ def _contained(g: Graph) -> DataFrame:
 query("D12_priority_lookup", "SELECT r.name, min(n.id) AS target FROM (SELECT DISTINCT split_part(name, '.', 2) AS name FROM g_refs WHERE kind = 'call') r JOIN g_nodes n ON n.name = r.name GROUP BY 1")(lambda g: g.refs.where("kind = 'call'").select(S.last_part(F.col("name")).alias("name")).distinct().join(paging.best_per(g.nodes.select("name", F.col("id").alias("target")), ["name"], [F.col("target")]), "name").select("name", "target"))
 query("D14_counts_by_root", "SELECT coalesce(root_id, 0) AS root_id, count(*) AS n FROM g_files GROUP BY 1")(lambda g: g.files.groupBy(F.coalesce("root_id", F.lit(0)).alias("root_id")).agg(F.count(F.lit(1)).alias("n")))
 _WEIGHTED = "SELECT containing_node_id AS node_id, name, CASE WHEN sum((evidence = 'this_member_write')::INT) > 0 AND sum((evidence <> 'this_member_write')::INT) > 0 THEN 1.5::DOUBLE WHEN sum((evidence = 'this_member_write')::INT) > 0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS w FROM g_refs WHERE kind = 'field_access' GROUP BY 1, 2"
-query("D16_method_similarity", f", wf AS ({_WEIGHTED}), p AS (SELECT DISTINCT x.node_id AS a, y.node_id AS b FROM wf x JOIN wf y ON x.name = y.name AND x.node_id < y.node_id), u AS (SELECT p.a, p.b, f.name, max(CASE WHEN f.node_id = p.a THEN w ELSE 0 END) AS wa, max(CASE WHEN f.node_id = p.b THEN w ELSE 0 END) AS wb FROM p JOIN wf f ON f.node_id IN (p.a, p.b) GROUP BY ALL) SELECT a, b, round(sum(least(wa, wb)) / sum(greatest(wa, wb)), 6) AS similarity FROM u GROUP BY 1, 2")(lambda g: fields.similarity(g).withColumn("similarity", F.round("similarity", 6)))
 
 # ---- E: candidate call sites
 _T = "widget"
@@ -217,14 +192,12 @@ query("F6_field_use", "SELECT containing_node_id AS node_id, name, CAST(sum((evi
 query("F7_method_calls", f"SELECT name, 'external' AS relationship, count(*) AS count, min(start_line) AS first_line FROM g_refs WHERE kind = 'call' AND containing_node_id = {ORDER} GROUP BY 1")(lambda g: fields.method_calls(g, ORDER))
 query("F8_group_by_module", f"SELECT regexp_replace(n.file_path, '/[^/]*$', '') AS \"group\", count(*) AS n, array_to_string(list_sort(list(n.name)), ',') AS names FROM g_edges e JOIN nf n ON e.src_id = n.id WHERE e.dst_id = {PART} AND e.kind = 'calls' GROUP BY 1")(lambda g: calls.grouped(calls.callers(g, PART), "module"))
 query("F10_counters", f"SELECT count(*) AS total_candidates, CAST(sum((ok)::INT) AS BIGINT) AS total, CAST(sum((NOT ok)::INT) AS BIGINT) AS filtered_hidden, CAST(0 AS BIGINT) AS hidden_public_count FROM (SELECT coalesce((end_line - start_line + 1 >= 8) OR {_PUBLIC}, false) AS ok FROM g_nodes)")(lambda g: listing.symbol_list_meta(g.located(), 8))
-query("F11_matches_per_file", "SELECT file_id, count(*) AS match_count FROM g_lines WHERE contains(lower(full_line), 'tion') AND strlen(full_line) < 190 GROUP BY 1")(lambda g: text.match_counts(g.lines.join(g.files.select(F.col("id").alias("file_id")), "file_id").where(F.contains(F.lower("content"), F.lit("tion")) & (F.octet_length("content") < 190))))
 query("F13_extractability", "SELECT containing_node_id AS node_id, CAST(sum((evidence <> 'this_member_write')::INT) AS BIGINT) AS reads, CAST(sum((evidence = 'this_member_write')::INT) AS BIGINT) AS writes, round(sum((evidence <> 'this_member_write')::INT) / count(*), 6) AS extractability FROM g_refs WHERE kind = 'field_access' GROUP BY 1")(lambda g: fields.extractability(g).withColumn("extractability", F.round("extractability", 6)))
 query("F16_confidence_stats", f"SELECT count(*) AS n, round(avg(confidence), 6) AS avg_confidence, max(confidence) AS max_confidence FROM g_edges WHERE dst_id = {PART}")(lambda g: answers.candidate_stats(g.edges.where(F.col("dst_id") == PART)).withColumn("avg_confidence", F.round("avg_confidence", 6)))
 
 # ---- G: tools
 query("G2_repo_stats", "SELECT (SELECT count(*) FROM g_files) AS file_count, (SELECT count(*) FROM g_nodes) AS symbol_count, (SELECT count(*) FROM g_edges) AS edge_count, '2024-01-01T00:00:00Z' AS last_index_time")(lambda g: listing.repo_stats(g))
 query("G3_file_search", "SELECT id AS file_id, path, language, size_bytes FROM g_files WHERE (path GLOB 'doc_1*.py' OR split_part(path, '/', 3) GLOB 'doc_1*.py') ORDER BY path LIMIT 50")(lambda g: listing.file_search_page(g, "doc_1*.py"))
-query("G4_dir_list", "SELECT DISTINCT 'dir' AS type, 'src3/' || split_part(path, '/', 2) || '/' AS path, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS BIGINT) AS size_bytes FROM g_files WHERE path GLOB 'src3/*'")(lambda g: listing.dir_list(g, "src3"))
 query("G5_dir_tree", "SELECT p AS path, CAST(d AS INT) AS depth, 'dir' AS type, count(*) AS children_count, d = 2 AS truncated FROM (SELECT split_part(path, '/', 1) AS p, 1 AS d FROM g_files UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), 2 FROM g_files) GROUP BY ALL")(lambda g: listing.dir_tree(g, ".", 2))
 query("G6_symbol_search", "SELECT id AS node_id, kind, name, qualname, file_path, start_line, end_line FROM nf WHERE contains(' ' || lower(name), ' widget') ORDER BY length(name), name, file_path, start_line, id LIMIT 50")(lambda g: listing.symbol_search(g, "Widget"))
 _LCOST = "64 + octet_length(CAST(kind AS BLOB)) + octet_length(CAST(name AS BLOB)) + coalesce(octet_length(CAST(signature AS BLOB)), 0) + coalesce(octet_length(CAST(file_path AS BLOB)), 0)"
@@ -239,14 +212,11 @@ query("G15_file_overview", f", m AS (SELECT name, qualname, kind, start_line, ma
 query("G16_context_siblings", f"SELECT n.id AS node_id, n.kind, n.name, n.start_line FROM g_edges a JOIN g_edges b ON a.src_id = b.src_id AND b.kind = 'contains' JOIN g_nodes n ON n.id = b.dst_id WHERE a.kind = 'contains' AND a.dst_id = {ORDER} AND n.id <> {ORDER} ORDER BY n.start_line, n.id LIMIT 30")(lambda g: context.context_for(g, ORDER)["siblings"])
 query("G17_symbols_named", "SELECT id AS node_id, name, qualname, kind, file_path, start_line FROM nf WHERE node_type = 'symbol' AND name = 'widget' ORDER BY length(name), length(qualname), file_path, start_line, id LIMIT 25")(lambda g: context.symbols_named(g, "widget"))
 query("G18_entrypoints", "SELECT n.id AS node_id, kind, name, file_path, start_line, end_line, 'high_in_degree' AS reason FROM nf n JOIN (SELECT dst_id, count(*) AS c FROM g_edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) d ON n.id = d.dst_id WHERE node_type = 'symbol'")(lambda g: listing.entrypoints(g))
-query("G19_impact", f", r AS (SELECT src_id AS node_id, arg_max(kind, confidence) AS relationship FROM g_edges WHERE dst_id = {PART} AND kind <> 'contains' GROUP BY 1) SELECT r.node_id, n.name, n.file_path, r.relationship, 1 AS distance FROM r JOIN nf n ON n.id = r.node_id ORDER BY r.node_id LIMIT 50")(lambda g: traverse.impact_of(g, PART))
 query("G19b_reverse_reach")(lambda g: traverse.reach(traverse.backward(g, ()), traverse.one(g, PART), 3).select("node_id", "distance"))
 ORACLES["G19b_reverse_reach"] = PRELUDE.replace("WITH g_files", "WITH RECURSIVE g_files", 1) + f", r(node_id, distance) AS (SELECT CAST({PART} AS BIGINT), 0 UNION SELECT e.src_id, r.distance + 1 FROM r JOIN g_edges e ON e.dst_id = r.node_id WHERE r.distance < 3) SELECT node_id, min(distance) AS distance FROM r GROUP BY 1"
-query("G20_detect_changes", "SELECT c.id AS node_id, c.name, c.kind, c.file_path AS file, 1 AS distance, max(e.confidence) AS confidence FROM nf t JOIN g_edges e ON e.dst_id = t.id AND e.kind = 'calls' AND e.confidence >= 0.5 JOIN nf c ON c.id = e.src_id WHERE t.kind IN ('function','method','class','interface') AND t.file_id < 2 AND NOT (c.file_id < 2) AND t.kind = 'function' GROUP BY ALL ORDER BY confidence DESC, file, name, node_id LIMIT 500")(lambda g: traverse.detect_changes(g, g.files.where("id < 2").select("path"), depth=1))
 query("G21_file_deps", f", me AS (SELECT id FROM g_nodes WHERE node_type = 'file' AND name = {_ANY}) SELECT DISTINCT 'includes' AS direction, n.name AS path FROM g_edges e JOIN me ON e.src_id = me.id JOIN g_nodes n ON n.id = e.dst_id WHERE e.kind = 'includes' UNION SELECT DISTINCT 'included_by', n.name FROM g_edges e JOIN me ON e.dst_id = me.id JOIN g_nodes n ON n.id = e.src_id WHERE e.kind = 'includes'")(lambda g: traverse.file_deps(g, g.files.where("id = 3").first()["path"]))
 query("G22_subgraph_edges", f"SELECT src_id, dst_id, kind, confidence FROM g_edges WHERE src_id = {CUSTOMER} UNION ALL SELECT e.src_id, e.dst_id, e.kind, e.confidence FROM g_edges e WHERE e.kind = 'contains' AND e.src_id IN (SELECT dst_id FROM g_edges WHERE src_id = {CUSTOMER})")(lambda g: traverse.subgraph(g, [CUSTOMER], 2, ["contains"])["edges"])
 query("G23_shortest_path", f"SELECT 1 AS path_no, CAST(step AS INT) AS step, node_id, edge_kind FROM (SELECT 0 AS step, CAST({CUSTOMER} AS BIGINT) AS node_id, 'contains' AS edge_kind UNION ALL SELECT 1, src_id, CAST('contains' AS VARCHAR) FROM g_edges WHERE dst_id = {CUSTOMER} UNION ALL SELECT 2, b.src_id, NULL FROM g_edges a JOIN g_edges b ON a.src_id = b.dst_id AND b.kind = 'contains' WHERE a.dst_id = {CUSTOMER})")(lambda g: traverse.shortest_path(g, CUSTOMER, g.edges.where(F.col("dst_id") == g.edges.where(F.col("dst_id") == CUSTOMER).first()["src_id"]).where("kind = 'contains'").first()["src_id"]).select("path_no", "step", "node_id", "edge_kind"))
-query("G24_implementations", "SELECT DISTINCT n.id AS node_id, n.name, n.qualname, n.kind, n.signature, n.file_path FROM g_nodes b JOIN g_edges e ON e.dst_id = b.id AND e.kind = 'inherits' JOIN nf n ON n.id = e.src_id WHERE b.name = 'Supplier#000000001' ORDER BY node_id LIMIT 50")(lambda g: listing.find_implementations(g, "Supplier#000000001"))
 query("G25_method_fields", "SELECT name, CAST(sum((evidence <> 'this_member_write')::INT) AS BIGINT) AS reads, CAST(sum((evidence = 'this_member_write')::INT) AS BIGINT) AS writes, min(start_line) AS first_line FROM g_refs WHERE kind = 'field_access' AND containing_node_id = 7000000003 GROUP BY 1")(lambda g: fields.field_use(g, 7_000_000_003).drop("node_id"))
 
 
@@ -262,7 +232,6 @@ def _source_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.source_at(d, "3", 1, 2)
 
 
-query("G28_code_search", ", h AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS match_count, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rn, dense_rank() OVER (ORDER BY file_id) AS fr FROM g_lines WHERE contains(lower(full_line), 'worthless') AND strlen(full_line) <= 200) SELECT f.path AS file, CAST(line_no AS INT) AS line, full_line AS text, match_count FROM h JOIN g_files f ON f.id = h.file_id WHERE rn <= 20 AND fr <= 50")(lambda g: text.code_search(g.with_tables(lines=g.lines.where("octet_length(full_line) <= 200")), "Worthless"))
 query("G31_workspace_remove", "SELECT id, path FROM g_files WHERE root_id IS NULL OR root_id <> 2")(lambda g: maintain.workspace_remove(g, "/roots/r2").files.select("id", "path"))
 query("G32_workspace_list", "SELECT r AS root_id, '/roots/r' || r AS path, (SELECT count(*) FROM g_files WHERE root_id = r) AS file_count, (SELECT count(*) FROM g_nodes WHERE node_type = 'symbol' AND id // 1000000000 = r) AS symbol_count, (SELECT count(*) FROM g_edges WHERE src_id // 1000000000 = r) AS edge_count FROM (SELECT unnest([1, 2, 3])::BIGINT AS r)")(lambda g: maintain.workspace_list(g))
 query("G33_doctor", "SELECT 'refs.containing_node_id -> nodes' AS \"check\", count(*) AS n FROM g_refs r WHERE NOT EXISTS (SELECT 1 FROM g_nodes n WHERE n.id = r.containing_node_id)")(lambda g: maintain.violations(g))
@@ -275,7 +244,6 @@ query("H5_page_meta", "SELECT count(*) AS total, count(*) > 150 AS has_more, CAS
 query("H6_multi_key_sort", "SELECT id, name FROM nf WHERE kind = 'function' ORDER BY length(name), name, file_path, start_line, id LIMIT 40")(lambda g: g.located().where("kind = 'function'").orderBy(F.length("name"), "name", "file_path", "start_line", "id").limit(40).select("id", "name"))
 query("H7_top_k", "SELECT name, count(*) AS n FROM g_refs WHERE kind = 'call' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")(lambda g: paging.top_k(g.refs.where("kind = 'call'").groupBy("name").agg(F.count(F.lit(1)).alias("n")), "n", "name", 8))
 query("H8_first_groups", "SELECT file_id, CAST(line_no AS INT) AS line_no FROM (SELECT file_id, line_no, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS rn, dense_rank() OVER (ORDER BY file_id) AS fr FROM g_lines) WHERE rn <= 3 AND fr <= 10")(lambda g: paging.first_groups(g.lines.select("file_id", "line_no"), "file_id", [F.col("line_no")], 10, 3))
-query("H9_merge_duplicates", "SELECT name, kind, start_line, max(end_line) AS end_line FROM g_nodes WHERE kind = 'function' GROUP BY 1, 2, 3")(lambda g: g.nodes.where("kind = 'function'").groupBy("name", "kind", "start_line").agg(F.max("end_line").alias("end_line")))
 query("H12_both_directions", f"SELECT dst_id AS id FROM g_edges WHERE src_id = {CUSTOMER} UNION ALL SELECT src_id FROM g_edges WHERE dst_id = {CUSTOMER}")(lambda g: g.edges.where(F.col("src_id") == CUSTOMER).select(F.col("dst_id").alias("id")).union(g.edges.where(F.col("dst_id") == CUSTOMER).select("src_id")))
 query("H14_set_difference", "SELECT name FROM g_nodes WHERE kind = 'function' EXCEPT SELECT split_part(name, '.', 1) FROM g_refs")(lambda g: g.nodes.where("kind = 'function'").select("name").subtract(g.refs.select(F.split_part("name", F.lit("."), F.lit(1)))))
 query("H15_range_lines", "SELECT id, CAST(unnest(range(start_line, end_line + 1)) AS INT) AS line FROM g_nodes WHERE kind = 'namespace'")(lambda g: g.nodes.where("kind = 'namespace'").select("id", F.explode(F.sequence("start_line", "end_line")).alias("line")))
@@ -291,8 +259,6 @@ def _detect(g: Graph) -> DataFrame:
 
 
 query("R2_quarantine_filter", "SELECT path FROM g_files WHERE id % 3 <> 0")(lambda g: maintain.without_quarantined(g.files.select("path"), g.files.where("id % 3 = 0").select("path"), "path"))
-query("R3_quarantine_upsert", "SELECT path, CAST(count(*) AS INT) AS crash_count, CAST(max(t) AS VARCHAR) AS last_crash FROM (SELECT path, 1 AS t FROM g_files WHERE id < 20 UNION ALL SELECT path, 2 FROM g_files WHERE id < 10) GROUP BY 1")(lambda g: maintain.quarantine_add(maintain.quarantine_add(g.quarantine, g.files.where("id < 20").select("path", F.lit("e").alias("error"), F.lit("1").alias("at"))), g.files.where("id < 10").select("path", F.lit("e").alias("error"), F.lit("2").alias("at"))).select("path", "crash_count", "last_crash"))
-query("R4_quarantine_rehab", "SELECT path FROM g_files WHERE id < 50 AND id % 7 <> 0")(lambda g: maintain.quarantine_rehab(conform(g.files.where("id < 50").select("path"), "quarantine"), g.files.select(F.col("path").alias("relative_path"), "size_bytes", F.expr("CASE WHEN id % 7 = 0 THEN mtime_ns + 1 ELSE mtime_ns END").alias("mtime_ns")), g.files).select("path"))
 query("R9_prune", "SELECT id FROM g_nodes WHERE (file_id IS NULL OR NOT (file_id % 8 = 4)) AND NOT (node_type = 'file' AND id > 8000000000 AND id % 8 = 4)")(lambda g: maintain.drop_files(g.with_tables(files=g.files.withColumn("root_id", F.lit(None).cast("bigint"))), g.files.where("id % 8 = 4").select("path")).nodes.select("id"))
 query("R10_force_clear", "SELECT id, path FROM g_files WHERE root_id IS NOT NULL")(lambda g: maintain.force_clear(g).files.select("id", "path"))
 _BEST = "best AS (SELECT name, file_id, min(id) AS id, max(is_definition) AS d FROM (SELECT *, row_number() OVER (PARTITION BY name, file_id ORDER BY is_definition DESC, id) AS rn FROM g_nodes WHERE node_type = 'symbol') WHERE rn = 1 GROUP BY 1, 2)"
@@ -305,17 +271,14 @@ def _resolved(g: Graph) -> DataFrame:
     return out.join(r.select(F.col("id").alias("ref_id"), "file_id", "name"), "ref_id").select("file_id", "name", "target")
 
 
-query("R13_content_index", "SELECT file_id, count(*) AS n FROM g_lines WHERE file_id % 2 = 1 GROUP BY 1")(lambda g: g.lines.join(g.files.where("id % 2 = 0").select(F.col("id").alias("file_id")), "file_id", "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("n")))
 query("R14_symbol_index", "SELECT id AS node_id, CAST(unnest(range(len(t))) AS INT) AS pos, unnest(t) AS token FROM (SELECT id, list_filter(regexp_split_to_array(lower(signature), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM g_nodes WHERE signature IS NOT NULL)")(lambda g: text.node_tokens(g).where("field = 'signature'").select("node_id", "pos", "token"))
 query("R15_overlap", "SELECT '/roots/r' || r AS path, 'inside the new root' AS warning FROM (SELECT unnest([1, 2, 3]) AS r)")(lambda g: maintain.overlap_warnings(g.roots, "/roots"))
-query("R16_migration", "SELECT id, path, CAST(NULL AS BIGINT) AS root_id FROM g_files")(lambda g: conform(g.files.select("id", "path"), "files").select("id", "path", "root_id"))
 
 # ---- K: streams
 _EV = "SELECT *, CASE WHEN event_type = 'error' THEN 'src/.git/HEAD' ELSE 'src/f' || user_id || '.py' END AS path FROM events"
 raw("K2_event_types", f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'BranchSwitch' WHEN event_type = 'signup' THEN 'Created' WHEN event_type = 'purchase' THEN 'Deleted' ELSE 'Modified' END AS type FROM ({_EV})")(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("path", F.expr("CASE WHEN event_type = 'error' THEN 'src/.git/HEAD' ELSE concat('src/f', user_id, '.py') END")).select("event_id", watch.event_type(F.col("path"), F.col("event_type") != "signup", F.col("event_type") != "purchase").alias("type")))
 raw("K3_relevance", "SELECT event_id FROM events WHERE event_type NOT IN ('error', 'view')")(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("path", F.expr("CASE event_type WHEN 'error' THEN '.git/objects/x' WHEN 'view' THEN 'a/.loomgraph/v1' ELSE 'a/b' END")).where(watch.is_relevant(F.col("path"))).select("event_id"))
 raw("K4_debounce", "SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g")(lambda spark, sf_dir: watch.debounce(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "user_id", "1 hour"))
-raw("K6_snapshot_diff", "SELECT CAST(user_id AS VARCHAR) AS path, CASE WHEN a.m IS NULL THEN 'Created' WHEN b.m IS NULL THEN 'Deleted' ELSE 'Modified' END AS type FROM (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'view' AND event_id % 3 = 0 GROUP BY 1) a FULL JOIN (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'view' GROUP BY 1) b USING (user_id) WHERE a.m IS DISTINCT FROM b.m")(lambda spark, sf_dir: _snapshots(spark, sf_dir))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

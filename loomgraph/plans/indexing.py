@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomgraph import __version__
-from loomgraph.extract.udf import MAX_FILE_BYTES, extract
+from loomgraph.extract.udf import CRASHES, MAX_FILE_BYTES, SLOT_MS, extract
 from loomgraph.graph import SCHEMA_VERSION, Graph, conform, empty_graph, kv_put
-from loomgraph.operators.maintain import detect, drop_files, force_clear, without_quarantined
+from loomgraph.operators.maintain import detect, drop_files, force_clear, quarantine_add, quarantine_rehab, without_quarantined
 from loomgraph.operators.resolve import resolve, stable_keys
 from loomgraph.operators.text import index_lines
 from loomgraph.schema import ROOT_STRIDE
-from loomgraph.scratch import materialize
-from loomgraph.sources.scan import content_hash, git_branch, git_head, read_contents, scan, with_text
+from loomgraph.scratch import drop_table, materialize
+from loomgraph.sources.scan import content_hash, git_branch, git_head, read_contents, scan
 
 
 ID_BUCKETS = 1024
@@ -61,33 +61,59 @@ def merge(g: Graph, new: dict[str, DataFrame], lines: DataFrame) -> Graph:
     return kept.with_tables(**{t: getattr(kept, t).unionByName(new[t]) for t in ("files", "nodes", "refs", "edges")}, lines=kept.lines.unionByName(lines))
 
 
-def index_texts(spark: SparkSession, texts: DataFrame, g: Graph | None = None, max_symbols: int = 50_000, max_bytes: int = MAX_FILE_BYTES, normalize_includes: bool = False) -> Graph:
-    """A graph of (path, language, size_bytes, mtime_ns, content_hash, text) rows, added to one if given."""
+def index_texts(spark: SparkSession, texts: DataFrame, g: Graph | None = None, max_symbols: int = 50_000, max_bytes: int = MAX_FILE_BYTES, normalize_includes: bool = False, slot_ms: int = SLOT_MS) -> Graph:
+    """A graph of (path, language, size_bytes, mtime_ns, content_hash, text[, read_error]) rows, added to one if given.
+
+    A text with a read error is indexed as far as it goes, with status partial
+    (failed, if it could not be read at all). Files that crash the extraction
+    or exceed their time go to the quarantine.
+    """
     g = g or empty_graph(spark)
-    extracted = materialize(extract(texts, max_symbols, max_bytes), "extracted")  # parsed once, read by each table
-    new = {t: materialize(df, t) for t, df in tables_from(extracted, texts, g).items()}
+    extracted = extract(texts, max_symbols, max_bytes, slot_ms)
+    if "read_error" in texts.columns:
+        faults = texts.select(F.col("path").alias("__path"), "read_error").where("read_error IS NOT NULL")
+        status = F.when(F.startswith("read_error", F.lit("unreadable")), "failed").when(F.col("read_error").isNotNull() & (F.col("parse_status") == "ok"), "partial").otherwise(F.col("parse_status"))
+        extracted = extracted.join(faults, F.col("path") == F.col("__path"), "left").withColumn("parse_status", status).withColumn("parse_error", F.coalesce("parse_error", "read_error")).drop("__path", "read_error")
+    extracted = materialize(extracted, "extracted")  # parsed once, read by each table
+    new = {t: materialize(df, t) for t, df in tables_from(extracted, texts.drop("read_error"), g).items()}
     merged = merge(g, new, spark.createDataFrame([], g.lines.schema))
     fresh = index_lines(merged.with_tables(files=new["files"]), texts.select("path", "text"))
     merged = merged.with_tables(lines=merged.lines.unionByName(fresh))
-    merged = merged.with_tables(**{t: materialize(getattr(merged, t), t) for t in ("files", "nodes", "refs", "edges", "lines")})
+    crashed = extracted.where(F.regexp_extract("parse_error", "^[A-Za-z]+", 0).isin(*CRASHES)).select("path", F.col("parse_error").alias("error"), F.lit(now()).alias("at"))
+    merged = merged.with_tables(quarantine=quarantine_add(merged.quarantine, crashed))
+    merged = merged.with_tables(**{t: materialize(getattr(merged, t), t) for t in ("files", "nodes", "refs", "edges", "lines", "quarantine")})
+    for done in (extracted, *new.values()):
+        drop_table(done)
     out = resolve(merged, normalize_includes)
     return out.with_tables(refs=materialize(out.refs, "refs"), edges=materialize(out.edges, "edges"))
 
 
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def index(spark: SparkSession, root: str, g: Graph | None = None, force: bool = False, exclude: list[str] | None = None, no_gitignore: bool = False, max_files: int | None = None, **options) -> Graph:
-    """Index a source tree: new and changed files are parsed, deleted ones leave, references are resolved again."""
+    """Index a source tree: new and changed files are parsed, deleted ones leave, references are resolved again.
+
+    Quarantined files that have changed since they were indexed get another
+    try; others are passed over, and stay in the graph as they are.
+    """
     g = g or empty_graph(spark)
-    scanned = scan(spark, root, no_gitignore, exclude, max_files).cache()
+    scanned = materialize(scan(spark, root, no_gitignore, exclude, max_files), "scanned")
+    g = g.with_tables(quarantine=materialize(quarantine_rehab(g.quarantine, scanned, g.files), "quarantine"))
     work = without_quarantined(scanned, g.quarantine)
-    contents = with_text(read_contents(work)).withColumn("content_hash", content_hash("content"))
+    other = detect(scanned, g.files, None, force).where("status IN ('new', 'changed')").select(F.col("path").alias("relative_path"))
+    # only files of another size or time are read, and each once
+    contents = materialize(read_contents(work.join(other, "relative_path", "left_semi").select(*scanned.columns)).withColumn("content_hash", content_hash("content")), "contents")
     hashes = contents.select(F.col("relative_path").alias("path"), "content_hash")
     status = materialize(detect(scanned, g.files, hashes, force), "status")
     if force:
         g = force_clear(g)
     g = drop_files(g, status.where("status = 'deleted'").select("path"))
     todo = status.where("status IN ('new', 'changed')").select("path")
-    texts = contents.withColumnRenamed("relative_path", "path").join(todo, "path", "left_semi").select("path", "language", "size_bytes", "mtime_ns", "content_hash", "text")
+    texts = contents.withColumnRenamed("relative_path", "path").join(todo, "path", "left_semi").select("path", "language", "size_bytes", "mtime_ns", "content_hash", "text", "read_error")
     out = index_texts(spark, texts, g, **options)
-    now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    meta = {"schema_version": str(SCHEMA_VERSION), "indexer_version": __version__, "repo_root": root, "last_index_time": now, "git_head": git_head(root), "git_branch": git_branch(root)}
+    meta = {"schema_version": str(SCHEMA_VERSION), "indexer_version": __version__, "repo_root": root, "last_index_time": now(), "git_head": git_head(root), "git_branch": git_branch(root)}
+    drop_table(contents)
+    drop_table(scanned)
     return out.with_tables(kv=kv_put(g.kv, meta))

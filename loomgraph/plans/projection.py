@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph, conform, empty_graph
 from loomgraph.schema import ROOT_STRIDE
+from loomgraph.scratch import materialize
 
 _EXT = "CASE {lang} WHEN 'en' THEN 'py' WHEN 'de' THEN 'cpp' WHEN 'fr' THEN 'ts' ELSE 'go' END"
 _LANGUAGE = "CASE {lang} WHEN 'en' THEN 'python' WHEN 'de' THEN 'cpp' WHEN 'fr' THEN 'typescript' ELSE 'go' END"
@@ -25,6 +26,8 @@ _SYMBOL = {
     "visibility": "CASE k % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' ELSE NULL END",
     "is_definition": "CAST(CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS INT)",
 }
+#: Type hints of calls: an interface of the call's own file, of a file that it includes, of any, or none.
+_HINT = "CASE l_orderkey % 4 WHEN 0 THEN NULL ELSE concat('Supplier_', lpad(CAST(CASE l_orderkey % 4 WHEN 1 THEN l_orderkey % n WHEN 2 THEN (l_orderkey % n * 7 + 1) % n ELSE l_partkey % 10 END AS {text}), 9, '0')) END"
 _SIGNATURE = "CASE k % 4 WHEN 0 THEN concat({name}, '()') WHEN 1 THEN concat({name}, '(int size)') WHEN 2 THEN concat({name}, '(int size, string label)') ELSE concat({name}, '(int size, string label, bool deep = true)') END"
 
 
@@ -57,9 +60,9 @@ def nodes(t: dict[str, DataFrame]) -> DataFrame:
 
     parts = [
         symbols(2, "nation", "n_nationkey", "namespace", "n_name"),
-        symbols(3, "customer", "c_custkey", "class", "c_name"),
+        symbols(3, "customer", "c_custkey", "class", "replace(c_name, '#', '_')"),
         symbols(4, "orders", "o_orderkey", "method", "concat('order_', CAST(o_orderkey AS STRING))", signature=_SIGNATURE),
-        symbols(5, "supplier", "s_suppkey", "interface", "s_name"),
+        symbols(5, "supplier", "s_suppkey", "interface", "replace(s_name, '#', '_')"),
         symbols(6, "part", "p_partkey", "function", "split_part(p_name, ' ', 2)", "replace(p_name, ' ', '.')", _SIGNATURE, "concat(p_type, '\n', p_brand)"),
     ]
     regions = t["region"].select(_id(1, "r_regionkey").alias("id"), F.lit("file").alias("node_type"), F.lit("file").alias("kind"), F.col("r_name").alias("name"), F.lit(1).alias("is_definition"), F.concat("r_name", F.lit("::file")).alias("stable_key"))
@@ -80,7 +83,10 @@ def edges(t: dict[str, DataFrame]) -> DataFrame:
     n = t["nation"].join(t["nation"].groupBy(F.col("n_regionkey").alias("rk")).agg(F.min("n_nationkey").alias("mk")), F.col("n_regionkey") == F.col("rk")).where("n_nationkey <> mk")
     count = t["documents"].agg(F.count(F.lit(1)).alias("n"))
     d = t["documents"].select("doc_id").crossJoin(F.broadcast(count)).withColumn("k", (F.col("doc_id") * 7 + 1) % F.col("n")).where("k <> doc_id")
+    parts = t["part"].agg(F.count(F.lit(1)).alias("n"))
+    p = t["part"].select("p_partkey").crossJoin(F.broadcast(parts)).withColumn("k", (F.col("p_partkey") * 7 + 3) % F.col("n")).where("k <> p_partkey")  # one row
     found = [
+        edge(p, _id(6, "p_partkey"), _id(6, "k"), "calls", F.lit(0.6)),
         edge(t["nation"], _id(1, "n_regionkey"), _id(2, "n_nationkey"), "contains", one),
         edge(t["customer"], _id(2, "c_nationkey"), _id(3, "c_custkey"), "contains", one),
         edge(t["supplier"], _id(2, "s_nationkey"), _id(5, "s_suppkey"), "contains", one),
@@ -102,6 +108,7 @@ def refs(t: dict[str, DataFrame]) -> DataFrame:
     calls = li.join(t["part"], F.col("l_partkey") == F.col("p_partkey")).crossJoin(count).select(
         (F.col("l_orderkey") % F.col("n")).alias("file_id"), F.lit("call").alias("kind"), F.expr("replace(p_name, ' ', '.')").alias("name"), F.col("l_linenumber").cast("int").alias("start_line"),
         (F.col("l_partkey") % 80).cast("int").alias("start_col"), _id(6, "l_partkey").alias("resolved_node_id"), F.lit("call_expression").alias("evidence"), _id(4, "l_orderkey").alias("containing_node_id"),
+        F.expr(_HINT.format(text="STRING")).alias("receiver_type_hint"),
         (F.col("q").cast("int") % 4).cast("int").alias("arg_count"), F.expr("CASE CAST(q AS INT) % 4 WHEN 0 THEN '' WHEN 1 THEN 'number' WHEN 2 THEN 'number,string' ELSE 'number,string,bool' END").alias("arg_pattern"),
     )
     fields = t["events"].crossJoin(count).select(
@@ -125,7 +132,7 @@ def content_lines(texts: DataFrame) -> DataFrame:
     return each.where((F.length(line) >= 3) & (words >= 3)).select("file_id", (F.col("pos") + 1).cast("int").alias("line_no"), cut.alias("content"), line.alias("full_line"))
 
 
-def project(spark: SparkSession, sf_dir: str) -> Graph:
+def build(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of the tables below ``sf_dir``; nothing is read until a query needs it."""
     t = tables(spark, sf_dir)
     roots = spark.range(1, 4).select("id", F.concat(F.lit("/roots/r"), F.col("id").cast("string")).alias("path"))
@@ -135,6 +142,32 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
     )
 
 
+_stored: dict[tuple, Graph] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """The session, and size and time of each table: another state of the tables is another graph."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(str(f.getPath().getName()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)]
+    return spark.sparkContext.applicationId, sf_dir, tuple(sorted(found))
+
+
+def project(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the tables below ``sf_dir``, indexed once a session: queries read stored tables, as they would of an indexed tree.
+
+    Rows lie in the order of the keys that are looked up, so scans skip most
+    row groups.
+    """
+    key = _stamp(spark, sf_dir)
+    if key not in _stored:
+        g = build(spark, sf_dir)
+        by = {"files": "path", "nodes": "id", "edges": "dst_id", "refs": "name", "lines": "file_id"}
+        _stored[key] = g.with_tables(**{t: materialize(getattr(g, t).repartitionByRange(c).sortWithinPartitions(c), t) for t, c in by.items()})
+    return _stored[key]
+
+
 def _sql_symbols(kind: int, table: str, key: str, node_kind: str, name: str, qualname: str | None = None, signature: str = "CAST(NULL AS VARCHAR)", doc: str = "CAST(NULL AS VARCHAR)") -> str:
     cols = ", ".join(f"{e} AS {c}" for c, e in _SYMBOL.items())
     return f"""SELECT {kind * ROOT_STRIDE}::BIGINT + k AS id, 'symbol' AS node_type, '{node_kind}' AS kind, name, qualname, {signature.format(name='name')} AS signature, doc, '{node_kind}::' || k AS stable_key, {cols}
@@ -145,8 +178,8 @@ _B = "CAST({}000000000 AS BIGINT)"
 _file_node = "SELECT {id} AS id, 'file' AS node_type, 'file' AS kind, {name} AS name, NULL AS qualname, NULL AS signature, NULL AS doc, {name} || '::file' AS stable_key, NULL AS file_id, NULL AS start_line, NULL AS end_line, NULL AS visibility, 1 AS is_definition FROM {table}"
 PRELUDE = f"""WITH g_files AS (SELECT doc_id AS id, source || '/' || lang || '/doc_' || doc_id || '.' || {_EXT.format(lang='lang')} AS path, {_LANGUAGE.format(lang='lang')} AS language, n_chars AS size_bytes, doc_id * 1000 AS mtime_ns, md5(text) AS content_hash, CASE WHEN n_chars < 100 THEN 'partial' ELSE 'ok' END AS parse_status, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 4 END AS root_id FROM documents),
 g_nodes AS ({' UNION ALL BY NAME '.join([
-    _sql_symbols(2, 'nation', 'n_nationkey', 'namespace', 'n_name'), _sql_symbols(3, 'customer', 'c_custkey', 'class', 'c_name'),
-    _sql_symbols(4, 'orders', 'o_orderkey', 'method', "'order_' || o_orderkey", signature=_SIGNATURE), _sql_symbols(5, 'supplier', 's_suppkey', 'interface', 's_name'),
+    _sql_symbols(2, 'nation', 'n_nationkey', 'namespace', 'n_name'), _sql_symbols(3, 'customer', 'c_custkey', 'class', "replace(c_name, '#', '_')"),
+    _sql_symbols(4, 'orders', 'o_orderkey', 'method', "'order_' || o_orderkey", signature=_SIGNATURE), _sql_symbols(5, 'supplier', 's_suppkey', 'interface', "replace(s_name, '#', '_')"),
     _sql_symbols(6, 'part', 'p_partkey', 'function', "split_part(p_name, ' ', 2)", "replace(p_name, ' ', '.')", _SIGNATURE, "p_type || chr(10) || p_brand"),
     _file_node.format(id=_B.format(1) + ' + r_regionkey', name='r_name', table='region'), _file_node.format(id=_B.format(8) + ' + id', name='path', table='g_files'),
 ])}),
@@ -155,12 +188,13 @@ UNION ALL SELECT {_B.format(2)}+c_nationkey, {_B.format(3)}+c_custkey, 'contains
 UNION ALL SELECT {_B.format(2)}+s_nationkey, {_B.format(5)}+s_suppkey, 'contains', 1.0 FROM supplier
 UNION ALL SELECT {_B.format(3)}+o_custkey, {_B.format(4)}+o_orderkey, 'contains', 1.0 FROM orders
 UNION ALL SELECT {_B.format(4)}+l_orderkey, {_B.format(6)}+l_partkey, 'calls', CAST(0.3 AS DOUBLE)+CAST(0.01 AS DOUBLE)*max(l_quantity) FROM lineitem GROUP BY l_orderkey, l_partkey
+UNION ALL SELECT {_B.format(6)}+p_partkey, {_B.format(6)}+(p_partkey*7+3)%n, 'calls', CAST(0.6 AS DOUBLE) FROM part, (SELECT count(*) AS n FROM part) WHERE (p_partkey*7+3)%n<>p_partkey
 UNION ALL SELECT {_B.format(5)}+s.s_suppkey, {_B.format(5)}+m.mk, 'inherits', CAST(0.7 AS DOUBLE) FROM supplier s JOIN (SELECT s_nationkey, min(s_suppkey) mk FROM supplier GROUP BY 1) m ON s.s_nationkey=m.s_nationkey WHERE s.s_suppkey<>m.mk
 UNION ALL SELECT {_B.format(2)}+n.n_nationkey, {_B.format(2)}+m.mk, 'includes', CAST(0.7 AS DOUBLE) FROM nation n JOIN (SELECT n_regionkey, min(n_nationkey) mk FROM nation GROUP BY 1) m ON n.n_regionkey=m.n_regionkey WHERE n.n_nationkey<>m.mk
 UNION ALL SELECT {_B.format(8)}+doc_id, {_B.format(8)}+(doc_id*7+1)%n, 'includes', CAST(0.7 AS DOUBLE) FROM documents, (SELECT count(*) AS n FROM documents) WHERE (doc_id*7+1)%n<>doc_id),
-g_refs AS (SELECT l_orderkey % n AS file_id, 'call' AS kind, replace(p_name, ' ', '.') AS name, CAST(l_linenumber AS INT) AS start_line, CAST(l_partkey % 80 AS INT) AS start_col, {_B.format(6)}+l_partkey AS resolved_node_id, 'call_expression' AS evidence, {_B.format(4)}+l_orderkey AS containing_node_id, CAST(CAST(q AS INT) % 4 AS INT) AS arg_count, CASE CAST(q AS INT) % 4 WHEN 0 THEN '' WHEN 1 THEN 'number' WHEN 2 THEN 'number,string' ELSE 'number,string,bool' END AS arg_pattern
+g_refs AS (SELECT l_orderkey % n AS file_id, 'call' AS kind, replace(p_name, ' ', '.') AS name, CAST(l_linenumber AS INT) AS start_line, CAST(l_partkey % 80 AS INT) AS start_col, {_B.format(6)}+l_partkey AS resolved_node_id, 'call_expression' AS evidence, {_B.format(4)}+l_orderkey AS containing_node_id, CAST(CAST(q AS INT) % 4 AS INT) AS arg_count, CASE CAST(q AS INT) % 4 WHEN 0 THEN '' WHEN 1 THEN 'number' WHEN 2 THEN 'number,string' ELSE 'number,string,bool' END AS arg_pattern, {_HINT.format(text='VARCHAR')} AS receiver_type_hint
   FROM (SELECT l_orderkey, l_partkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL) JOIN part ON l_partkey = p_partkey, (SELECT count(*) AS n FROM documents)
-UNION ALL SELECT user_id % n, 'field_access', event_type, CAST(event_id % 500 AS INT), 0, NULL, CASE WHEN event_type IN ('purchase', 'signup') THEN 'this_member_write' ELSE 'this_member_read' END, {_B.format(7)}+user_id, NULL, NULL FROM events, (SELECT count(*) AS n FROM documents)),
+UNION ALL SELECT user_id % n, 'field_access', event_type, CAST(event_id % 500 AS INT), 0, NULL, CASE WHEN event_type IN ('purchase', 'signup') THEN 'this_member_write' ELSE 'this_member_read' END, {_B.format(7)}+user_id, NULL, NULL, NULL FROM events, (SELECT count(*) AS n FROM documents)),
 g_lines AS (SELECT file_id, line_no, line AS full_line FROM (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE length(line) >= 3 AND length(regexp_replace(line, '[^A-Za-z0-9_]', '', 'g')) >= 3),
 nf AS (SELECT g_nodes.*, g_files.path AS file_path, g_files.language AS language, g_files.root_id AS root_id FROM g_nodes LEFT JOIN g_files ON g_nodes.file_id = g_files.id)
 """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import os
+import stat
 import subprocess
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +18,8 @@ from loomgraph.functions.globs import Rule, is_ignored, path_glob, read_rules
 from loomgraph.functions.scalars import language_for
 from loomgraph.schema import SCANNED, InvalidInput
 
+#: Files that one task looks at.
+PER_TASK = 20_000
 SKIPPED_DIRS = {".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "build", "dist", "target", ".idea"}
 
 
@@ -81,17 +85,47 @@ def walk_listing(root: str, rules: list[Rule]) -> Iterator[str]:
 
 
 def scan(spark: SparkSession, root: str, no_gitignore: bool = False, exclude: list[str] | None = None, max_files: int | None = None) -> DataFrame:
-    """Files of known languages: absolute_path, relative_path, language, size_bytes, mtime_ns, by path."""
+    """Files of known languages: absolute_path, relative_path, language, size_bytes, mtime_ns, by path.
+
+    The driver lists names only; the tasks look at the files, so every
+    executor must be able to read ``root`` (an error if one can't).
+    """
     paths = git_listing(root) if not no_gitignore and os.path.isdir(os.path.join(root, ".git")) else []
     if not paths:
         paths = sorted(walk_listing(root, [] if no_gitignore else ignore_rules(root)))
-    rows = []
-    for p in paths:
-        language, full = language_for(os.path.splitext(p)[1]), os.path.join(root, p)
-        if language and not _excluded(p, exclude or []) and os.path.isfile(full):
-            s = os.stat(full)
-            rows.append((full, p, language, s.st_size, s.st_mtime_ns))
-    return spark.createDataFrame(rows[:max_files], SCANNED)
+    named = [(p, language) for p in paths if (language := language_for(os.path.splitext(p)[1])) and not _excluded(p, exclude or [])]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                require_folder(root)
+            rows = []
+            for p, language in zip(pdf["relative_path"], pdf["language"]):
+                full = os.path.join(root, p)
+                try:
+                    s = os.stat(full)
+                except OSError:  # gone since it was listed
+                    continue
+                if stat.S_ISREG(s.st_mode):
+                    rows.append((full, p, language, s.st_size, s.st_mtime_ns))
+            yield pd.DataFrame(rows, columns=["absolute_path", "relative_path", "language", "size_bytes", "mtime_ns"])
+
+    listed = spark.createDataFrame(named, "relative_path string, language string")
+    if len(named) > PER_TASK:
+        listed = listed.repartition(-(-len(named) // PER_TASK))
+    found = listed.mapInPandas(look, SCANNED)
+    return first_files(found, max_files)
+
+
+def first_files(found: DataFrame, max_files: int | None) -> DataFrame:
+    """The first files by path, if a number of them is given."""
+    return found if max_files is None else found.orderBy("relative_path").limit(max_files)
+
+
+def require_folder(root: str) -> None:
+    """An error where an executor does not see a tree: without it all its files would seem to be gone."""
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"{root} can't be read here; it must be on a file system that all executors share")
 
 
 def safe_path(path: str, root: str) -> str | None:
@@ -112,21 +146,39 @@ def content_hash(content: str | Column) -> Column:
     return F.pandas_udf(digest, "string")(content)
 
 
+def text_of(content: bytes) -> tuple[str, str | None]:
+    """(text, what is wrong with it): UTF-8, or UTF-16 by its mark; other bytes become replacement characters."""
+    if content[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        text, kind = content.decode("utf-16", "replace"), "UTF-16"
+    else:
+        text, kind = content.decode("utf-8-sig", "replace"), "UTF-8"
+    fault = f"not {kind}" if "\ufffd" in text and "\ufffd".encode() not in content else None
+    if "\0" in text:
+        text, fault = text.replace("\0", " "), "binary"
+    return text, fault
+
+
 def read_contents(scanned: DataFrame) -> DataFrame:
-    """Scanned files with their bytes; unreadable and vanished files have empty ones. Files are read by the tasks."""
+    """Scanned files with ``content``, ``text`` and ``read_error``; the tasks read them.
+
+    Bytes of any kind have a text (see ``text_of``, whose finding is the
+    error). A file that can't be read has no content, an empty text and the
+    reason; one that vanished since the scan is left out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            contents = []
-            for p in pdf["absolute_path"]:
+            rows = []
+            for r in pdf.itertuples(index=False):
                 try:
-                    contents.append(Path(p).read_bytes())
-                except OSError:
-                    contents.append(b"")
-            yield pdf.assign(content=contents)
-
-    return scanned.mapInPandas(run, SCANNED + ", content binary")
-
-
-def with_text(contents: DataFrame) -> DataFrame:
-    return contents.withColumn("text", F.decode("content", "UTF-8"))
+                    content = Path(r.absolute_path).read_bytes()
+                    text, error = text_of(content)
+                except FileNotFoundError:
+                    require_folder(r.absolute_path[: -len(r.relative_path)])
+                    continue
+                except OSError as e:
+                    content, text, error = None, "", f"unreadable: {e.strerror}"
+                rows.append((*r, content, text, error))
+            yield pd.DataFrame(rows, columns=[*pdf.columns, "content", "text", "read_error"])
+
+    return scanned.mapInPandas(run, SCANNED + ", content binary, text string, read_error string")

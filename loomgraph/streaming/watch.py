@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loomgraph.graph import current_version, empty_graph, kv_get, load, save
 from loomgraph.plans.indexing import index
 from loomgraph.schema import InvalidInput
+from loomgraph.scratch import drop_table, materialize
 from loomgraph.sources.scan import git_head, scan
 
 POLICIES = ("eager", "normal", "lazy", "off")
@@ -58,18 +59,17 @@ def known_files(events: DataFrame) -> DataFrame:
     def step(key, batches, state: GroupState):
         (path,) = key
         last = state.get[0] if state.exists else None
+        types = []
         for pdf in batches:
             for r in pdf.itertuples():
                 if not r.exists:
-                    if last is not None:
-                        yield pd.DataFrame({"path": [path], "type": ["Deleted"]})
+                    types += ["Deleted"] if last is not None else []
                     last = None
-                elif last is None:
-                    yield pd.DataFrame({"path": [path], "type": ["Created"]})
-                    last = int(r.mtime_ns)
                 elif last != r.mtime_ns:
-                    yield pd.DataFrame({"path": [path], "type": ["Modified"]})
+                    types.append("Created" if last is None else "Modified")
                     last = int(r.mtime_ns)
+        if types:
+            yield pd.DataFrame({"path": path, "type": types})
         if last is None:
             state.remove() if state.exists else None
         else:
@@ -80,7 +80,7 @@ def known_files(events: DataFrame) -> DataFrame:
 
 def poll(spark: SparkSession, root: str, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(events since the last snapshot, snapshot) of a tree."""
-    now = scan(spark, root).select(F.col("relative_path").alias("path"), "mtime_ns").cache()
+    now = materialize(scan(spark, root).select(F.col("relative_path").alias("path"), "mtime_ns"), "snapshot")
     return snapshot_events(seen if seen is not None else now.where("false"), now), now
 
 
@@ -104,6 +104,8 @@ def watch(spark: SparkSession, root: str, store: str, trigger: str = "2 seconds"
             version = index_version(spark, root, store)
             if on_version:
                 on_version(version)
+        if "seen" in held:
+            drop_table(held["seen"])
         held["seen"] = now
 
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -15,7 +16,8 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("loomgraph-tests")
         .config("spark.sql.shuffle.partitions", "3")
-        .config("spark.sql.codegen.wholeStage", "false")  # tests run many plans over few rows
+        # many plans over few rows run faster without generated code; TEST_CODEGEN=1 runs them as production does
+        .config("spark.sql.codegen.wholeStage", "true" if os.environ.get("TEST_CODEGEN") else "false")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -10,35 +10,35 @@ from loomgraph.graph import current_version, kv_get, kv_put, load, make_graph, s
 from loomgraph.operators import calls, context, fields, listing, maintain, text, traverse
 from loomgraph.operators.paging import budget_prefix, page, page_meta, select_fields
 from loomgraph.schema import InvalidInput, NotFound
-from tests.graphs import animals, build, call_sites
+from tests.graphs import drawing, build, call_sites
 
 
 @pytest.fixture(scope="module")
-def zoo(spark):
-    return animals(spark)
+def shapes(spark):
+    return drawing(spark)
 
 
 def column(df, name):
     return [r[name] for r in df.collect()]
 
 
-def test_listings(zoo):
-    assert listing.repo_stats(zoo).first()[:3] == (5, 13, 15)
-    assert column(listing.file_search_page(zoo, "*.cpp"), "path") == ["src/cat.cpp", "src/dog.cpp", "src/main.cpp", "src/utils/helper.cpp"]
-    assert set(column(listing.dir_list(zoo, "src"), "path")) == {"src/animal.h", "src/dog.cpp", "src/cat.cpp", "src/main.cpp", "src/utils/"}
-    tree = {r["path"]: (r["type"], r["children_count"], r["truncated"]) for r in listing.dir_tree(zoo, ".", 2).collect()}
-    assert tree["src"] == ("dir", 5, False) and tree["src/utils"] == ("dir", 1, True) and tree["src/dog.cpp"][0] == "file"
-    capped = listing.cap_tree(listing.dir_tree(zoo, ".", 3), 4)
+def test_listings(shapes):
+    assert listing.repo_stats(shapes).first()[:3] == (5, 13, 15)
+    assert column(listing.file_search_page(shapes, "*.cpp"), "path") == ["src/circle.cpp", "src/main.cpp", "src/square.cpp", "src/util/rounding.cpp"]
+    assert set(column(listing.dir_list(shapes, "src"), "path")) == {"src/shape.h", "src/square.cpp", "src/circle.cpp", "src/main.cpp", "src/util/"}
+    tree = {r["path"]: (r["type"], r["children_count"], r["truncated"]) for r in listing.dir_tree(shapes, ".", 2).collect()}
+    assert tree["src"] == ("dir", 5, False) and tree["src/util"] == ("dir", 1, True) and tree["src/square.cpp"][0] == "file"
+    capped = listing.cap_tree(listing.dir_tree(shapes, ".", 3), 4)
     assert capped.where("type = 'file'").count() <= 4
-    rows = listing.symbols_in_path(zoo, "src/dog.cpp")
-    assert column(listing.symbol_list(rows), "name") == ["Dog", "bark", "fetch"]
+    rows = listing.symbols_in_path(shapes, "src/square.cpp")
+    assert column(listing.symbol_list(rows), "name") == ["Square", "area", "rotate"]
     assert listing.symbol_list_meta(rows, 10).first()["total_candidates"] == 3
     with pytest.raises(NotFound):
-        listing.symbols_in_path(zoo, "nowhere")
-    assert listing.resolve_file(zoo, "dog.cpp") == "src/dog.cpp" and listing.resolve_file(zoo, "src/dog.cpp") == "src/dog.cpp"
-    assert column(listing.file_overview(zoo, "src/dog.cpp").orderBy("start_line"), "name") == ["Dog", "bark", "fetch"]
-    assert {(r["name"], r["reason"]) for r in listing.entrypoints(zoo, limit=1).collect()} == {("main", "main_function"), ("IAnimal", "high_in_degree")}
-    assert column(listing.find_implementations(zoo, "IAnimal"), "name") == ["Dog", "Cat"]
+        listing.symbols_in_path(shapes, "nowhere")
+    assert listing.resolve_file(shapes, "square.cpp") == "src/square.cpp" and listing.resolve_file(shapes, "src/square.cpp") == "src/square.cpp"
+    assert column(listing.file_overview(shapes, "src/square.cpp").orderBy("start_line"), "name") == ["Square", "area", "rotate"]
+    assert {(r["name"], r["reason"]) for r in listing.entrypoints(shapes, limit=1).collect()} == {("main", "main_function"), ("Shape", "high_in_degree")}
+    assert column(listing.find_implementations(shapes, "Shape"), "name") == ["Square", "Circle"]
 
 
 def test_search_by_words_of_names(spark):
@@ -50,51 +50,51 @@ def test_search_by_words_of_names(spark):
     assert names("alcul") == ["calculateArea", "calculateDistance"]
 
 
-def test_edges(zoo):
-    assert column(calls.callers_page(zoo, 13), "caller_name") == ["main"]
-    assert column(calls.callees_page(zoo, 16), "callee_name") == ["bark", "meow", "helper"]
-    assert {r["group"]: r["n"] for r in calls.grouped(calls.callees(zoo, 16), "module", "callee_name").collect()} == {"src": 2, "src/utils": 1}
-    assert {(r["direction"], r["path"]) for r in traverse.file_deps(zoo, "src/animal.h").collect()} == {("included_by", "src/dog.cpp"), ("included_by", "src/cat.cpp")}
-    impact = traverse.impact_of(zoo, 10, depth=3)
-    assert {(r["name"], r["distance"]) for r in impact.collect()} == {("Dog", 1), ("Cat", 1)}
-    sub = traverse.subgraph(zoo, [16], 2, ["calls"])
-    assert set(column(sub["nodes"], "name")) == {"main", "bark", "meow", "helper"} and sub["edges"].count() == 3
-    assert traverse.subgraph(zoo, [16], 1, [])["edges"].count() == 0
+def test_edges(shapes):
+    assert column(calls.callers_page(shapes, 13), "caller_name") == ["main"]
+    assert column(calls.callees_page(shapes, 16), "callee_name") == ["area", "radius", "round_off"]
+    assert {r["group"]: r["n"] for r in calls.grouped(calls.callees(shapes, 16), "module", "callee_name").collect()} == {"src": 2, "src/util": 1}
+    assert {(r["direction"], r["path"]) for r in traverse.file_deps(shapes, "src/shape.h").collect()} == {("included_by", "src/square.cpp"), ("included_by", "src/circle.cpp")}
+    impact = traverse.impact_of(shapes, 10, depth=3)
+    assert {(r["name"], r["distance"]) for r in impact.collect()} == {("Square", 1), ("Circle", 1)}
+    sub = traverse.subgraph(shapes, [16], 2, ["calls"])
+    assert set(column(sub["nodes"], "name")) == {"main", "area", "radius", "round_off"} and sub["edges"].count() == 3
+    assert traverse.subgraph(shapes, [16], 1, [])["edges"].count() == 0
     with pytest.raises(InvalidInput):
-        traverse.subgraph(zoo, [16], 1, ["nonsense"])
-    path = traverse.shortest_path(zoo, 16, 10).orderBy("path_no", "step")
-    assert column(path, "name") == ["main", "bark", "Dog", "IAnimal"] and column(path, "edge_kind") == ["calls", "contains", "inherits", None]
-    two = traverse.shortest_path(zoo, 16, 10, max_paths=2)
-    assert set(column(two.where("path_no = 2"), "name")) == {"main", "meow", "Cat", "IAnimal"}
-    assert traverse.shortest_path(zoo, 16, 16).count() == 0 and traverse.shortest_path(zoo, 17, 10, relation_types=["inherits"]).count() == 0
-
-
-def test_context(zoo, spark):
-    sources = spark.createDataFrame([("src/dog.cpp", "\n".join(f"line {i}" for i in range(1, 30)))], "path string, text string")
-    got = context.context_for(zoo, symbol="bark", file="dog.cpp", sources=sources)
-    assert got["symbol"].first()["source"] == "\n".join(f"line {i}" for i in range(5, 11))
-    assert column(got["callers"], "caller_name") == ["main"] and column(got["container"], "name") == ["Dog"] and column(got["siblings"], "name") == ["fetch"] and column(got["base_types"], "name") == ["IAnimal"]
-    assert column(context.context_by_name(zoo, "hel")["symbol"], "name") == ["helper"]
-    assert "candidates" in context.context_by_name(zoo, "nothing")
-    ids = [r["node_id"] for r in context.symbol_get(zoo, [15, 99, 13]).orderBy("pos").collect()]
+        traverse.subgraph(shapes, [16], 1, ["nonsense"])
+    path = traverse.shortest_path(shapes, 16, 10).orderBy("path_no", "step")
+    assert column(path, "name") == ["main", "area", "Square", "Shape"] and column(path, "edge_kind") == ["calls", "contains", "inherits", None]
+    two = traverse.shortest_path(shapes, 16, 10, max_paths=2)
+    assert set(column(two.where("path_no = 2"), "name")) == {"main", "radius", "Circle", "Shape"}
+    assert traverse.shortest_path(shapes, 16, 16).count() == 0 and traverse.shortest_path(shapes, 17, 10, relation_types=["inherits"]).count() == 0
+
+
+def test_context(shapes, spark):
+    sources = spark.createDataFrame([("src/square.cpp", "\n".join(f"line {i}" for i in range(1, 40)))], "path string, text string")
+    got = context.context_for(shapes, symbol="area", file="square.cpp", sources=sources)
+    assert got["symbol"].first()["source"] == "\n".join(f"line {i}" for i in range(8, 15))
+    assert column(got["callers"], "caller_name") == ["main"] and column(got["container"], "name") == ["Square"] and column(got["siblings"], "name") == ["rotate"] and column(got["base_types"], "name") == ["Shape"]
+    assert column(context.context_by_name(shapes, "round")["symbol"], "name") == ["round_off"]
+    assert "candidates" in context.context_by_name(shapes, "nothing")
+    ids = [r["node_id"] for r in context.symbol_get(shapes, [15, 99, 13]).orderBy("pos").collect()]
     assert ids == [15, 13]
 
 
 def test_candidates_by_receiver(spark):
     got = {(r["callee_text"], r["start_line"]): (round(r["confidence"], 2), r["heuristic"]) for r in calls.callsite_candidates(call_sites(spark), 11).collect()}
-    assert got[("LinkedMap.set", 6)] == (0.90, "receiver_exact_target_owner")
-    assert got[("unrelated.set", 7)] == (0.30, "unrelated_member_suffix_match") and got[("OtherMap.set", 8)][0] == 0.30
-    assert list(got)[0] == ("LinkedMap.set", 6) and len(got) == 5
-    only = calls.callsite_candidates(call_sites(spark), 11, receiver="LinkedMap")
-    assert column(only, "callee_text") == ["LinkedMap.set"]
+    assert got[("OrderBook.set", 6)] == (0.90, "receiver_exact_target_owner")
+    assert got[("stray.set", 7)] == (0.30, "unrelated_member_suffix_match") and got[("PriceList.set", 8)][0] == 0.30
+    assert list(got)[0] == ("OrderBook.set", 6) and len(got) == 5
+    only = calls.callsite_candidates(call_sites(spark), 11, receiver="OrderBook")
+    assert column(only, "callee_text") == ["OrderBook.set"]
     assert calls.callsite_candidates(call_sites(spark), 11, limit=0).count() == 0
 
 
 def test_candidates_by_type_and_arity(spark):
-    g = call_sites(spark, hints={0: "LinkedMap", 3: "OtherMap"}, args={0: (2, "string,number"), 2: (2, "string,number"), 3: (5, "")}, signature="set(key: string, value: number): void")
+    g = call_sites(spark, hints={0: "OrderBook", 3: "PriceList"}, args={0: (2, "string,number"), 2: (2, "string,number"), 3: (5, "")}, signature="set(key: string, value: number): void")
     got = {(r["callee_text"]): (round(r["confidence"], 2), r["heuristic"]) for r in calls.callsite_candidates(g, 11).collect()}
-    assert got["linked.set"] == (0.99, "cross_file_receiver_type_exact+arity_match+arg_pattern")
-    assert got["LinkedMap.set"] == (0.99, "receiver_exact_target_owner+arity_match+arg_pattern") and "unrelated.set" not in got
+    assert got["orders.set"] == (0.99, "cross_file_receiver_type_exact+arity_match+arg_pattern")
+    assert got["OrderBook.set"] == (0.99, "receiver_exact_target_owner+arity_match+arg_pattern") and "stray.set" not in got
     buckets = calls.candidate_buckets(calls.callsite_scores(g, 11))
     assert {r["value"]: r["n"] for r in buckets["arity"].collect()} == {"2": 2, "unknown": 2}
 
@@ -103,7 +103,7 @@ def test_callers_modes(spark):
     g = call_sites(spark, extra=30)
     assert "candidate_results" in calls.callers_approx(g, 11) and "candidate_results" not in calls.callers_approx(g, 11, mode="exact")
     assert "candidate_results" not in calls.callers_approx(call_sites(spark, exact=True), 11)
-    assert column(calls.callers_page(g, 13), "caller_name") == ["callFlush"]
+    assert column(calls.callers_page(g, 13), "caller_name") == ["closeBook"]
     small = calls.callsite_candidates(g, 11, max_bytes=1200)
     assert 1 <= small.count() < 20
     meta = calls.candidate_meta(g, 11, calls.callsite_scores(g, 11), 20).first()
@@ -195,44 +195,44 @@ def test_search_of_long_lines(spark):
     assert column(text.code_search(old, "short"), "text") == ["worthless short"]
 
 
-def test_store_and_doctor(zoo, spark, tmp_path):
+def test_store_and_doctor(shapes, spark, tmp_path):
     where = f"file://{tmp_path}/store"
     assert current_version(spark, where) == 0
-    assert save(zoo, where) == 1 and save(zoo, where) == 2
+    assert save(shapes, where) == 1 and save(shapes, where) == 2
     back = load(spark, where)
-    assert back.edges.count() == 15 and back.files.columns == zoo.files.columns
+    assert back.edges.count() == 15 and back.files.columns == shapes.files.columns
     bad, counts, code = maintain.doctor(back)
     assert code == 0 and {r["table"]: r["n"] for r in counts.collect()}["nodes"] == 13
-    broken = zoo.with_tables(nodes=zoo.nodes.where("id <> 16"))
+    broken = shapes.with_tables(nodes=shapes.nodes.where("id <> 16"))
     assert maintain.doctor(broken)[2] == 1 and set(column(maintain.violations(broken), "check")) == {"edges.src_id -> nodes", "edges.dst_id -> nodes"}
     with pytest.raises(InvalidInput):
         load(spark, f"file://{tmp_path}/none")
-    kv = kv_put(kv_put(zoo.kv, {"a": "1", "b": "2"}), {"a": "3"})
+    kv = kv_put(kv_put(shapes.kv, {"a": "1", "b": "2"}), {"a": "3"})
     assert kv_get(kv, "a") == "3" and kv_get(kv, "b") == "2" and kv_get(kv, "c", "d") == "d"
 
 
-def test_json_tools(zoo, spark, tmp_path, capsys):
-    out = tools.call(zoo, "callers_approx", {"symbol": "bark"})
+def test_json_tools(shapes, spark, tmp_path, capsys):
+    out = tools.call(shapes, "callers_approx", {"symbol": "area"})
     assert out["results"][0]["caller_name"] == "main"
-    msg = lambda method, **params: json.loads(tools.answer(zoo, json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})))
+    msg = lambda method, **params: json.loads(tools.answer(shapes, json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})))
     assert msg("initialize")["result"]["serverInfo"]["name"] == "loomgraph"
     assert len(msg("tools/list")["result"]["tools"]) >= 28
     assert "main" in msg("tools/call", name="callers_approx", arguments={"node_id": 13})["result"]["content"][0]["text"]
     assert msg("tools/call", name="callers_approx", arguments={"symbol": "none"})["error"]["code"] == -32000
     assert msg("tools/call", name="nothing")["error"]["data"]["error_code"] == "invalid_input"
-    assert msg("nothing")["error"]["code"] == -32601 and json.loads(tools.answer(zoo, "{"))["error"]["code"] == -32700
-    assert tools.answer(zoo, '{"method": "initialized"}') is None
-    save(zoo, f"file://{tmp_path}/s")
+    assert msg("nothing")["error"]["code"] == -32601 and json.loads(tools.answer(shapes, "{"))["error"]["code"] == -32700
+    assert tools.answer(shapes, '{"method": "initialized"}') is None
+    save(shapes, f"file://{tmp_path}/s")
     assert tools.main(["query", f"file://{tmp_path}/s", "repo_stats"]) == 0 and json.loads(capsys.readouterr().out)["counts"][0]["file_count"] == 5
     assert tools.main(["query", "x", "nothing"]) == 2 and tools.main([]) == 1
-    assert tools.server_info(zoo)["schema_version"] == 8
+    assert tools.server_info(shapes)["schema_version"] == 8
 
 
 def test_workspace(spark):
-    main = build(spark, [(1, "app.py", "python")], [(2, "function", "runApp", "runApp", 1, 1, 3)], [(1001, 2, "contains", 1.0)], [(1, "call", "mergedNeedleSymbol", 2, 0, 2)])
+    main = build(spark, [(1, "app.py", "python")], [(2, "function", "runApp", "runApp", 1, 1, 3)], [(1001, 2, "contains", 1.0)], [(1, "call", "findLedger", 2, 0, 2)])
     other = make_graph(
         spark, files=spark.createDataFrame([(1, "src/lib.py", "python")], "id bigint, path string, language string"),
-        nodes=spark.createDataFrame([(1, "file", None, "file", "src/lib.py", "src/lib.py::file", None, None, 1), (2, "symbol", 1, "function", "mergedNeedleSymbol", "k", 1, 3, 1)], "id bigint, node_type string, file_id bigint, kind string, name string, stable_key string, start_line int, end_line int, is_definition int"),
+        nodes=spark.createDataFrame([(1, "file", None, "file", "src/lib.py", "src/lib.py::file", None, None, 1), (2, "symbol", 1, "function", "findLedger", "k", 1, 3, 1)], "id bigint, node_type string, file_id bigint, kind string, name string, stable_key string, start_line int, end_line int, is_definition int"),
         edges=spark.createDataFrame([(1, 2, 2, "references", 1.0), (2, 1, 2, "contains", 1.0)], "id bigint, src_id bigint, dst_id bigint, kind string, confidence double"),
         refs=spark.createDataFrame([(1, 1, "call", "x", 2, 2)], "id bigint, file_id bigint, kind string, name string, resolved_node_id bigint, containing_node_id bigint"),
     )

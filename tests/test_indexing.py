@@ -70,19 +70,19 @@ def test_csharp():
     out = run("csharp", "using System;\nusing System.Linq;\nusing My.App;\nnamespace Zoo {\n  public interface IAnimal { void Speak(); }\n  public class Dog : Animal, IAnimal {\n    private int age;\n    public string Name { get; set; }\n    public event Handler Woke;\n    public void Speak() { Console.WriteLine(\"x\"); var d = new Dog(1); }\n  }\n  public delegate void Handler(int a);\n  struct P { }\n  enum E { A }\n}\n")
     assert [r["name"] for r in refs(out, "include")] == ["System", "System.Linq", "My.App"]
     assert [r["name"] for r in refs(out, "inherit")] == ["Animal", "IAnimal"]
-    assert {r["name"] for r in refs(out, "call")} == {"Console.WriteLine", "Dog"}
-    for kind, name in (("namespace", "Zoo"), ("interface", "IAnimal"), ("class", "Dog"), ("field", "age"), ("property", "Name"), ("event", "Woke"), ("delegate", "Handler"), ("struct", "P"), ("enum", "E")):
+    assert {r["name"] for r in refs(out, "call")} == {"Console.WriteLine", "Base"}
+    for kind, name in (("namespace", "Zoo"), ("interface", "IAnimal"), ("class", "Base"), ("field", "age"), ("property", "Name"), ("event", "Woke"), ("delegate", "Handler"), ("struct", "P"), ("enum", "E")):
         assert name in names(out, kind), (kind, names(out, kind))
     assert names(out, "method").count("Speak") == 2
 
 
 def test_cpp():
-    out = run("cpp", '#include <vector>\n#include "dog.h"\n#define MAX 10\nnamespace zoo {\n// A dog.\nclass Dog : public Animal {\n public:\n  void bark(int times);\n  int age_;\n};\nenum Color { RED };\ntypedef int Id;\n}\nvoid Dog::bark(int times) {\n  helper(times, "x");\n  tail.wag();\n}\nint main() { return 0; }\n')
-    assert [r["name"] for r in refs(out, "include")] == ["<vector>", '"dog.h"'] and [r["name"] for r in refs(out, "inherit")] == ["Animal"]
-    assert names(out, "macro") == ["MAX"] and names(out, "namespace") == ["zoo"] and names(out, "class") == ["Dog"] and names(out, "enum") == ["Color"] and "age_" in names(out, "field")
+    out = run("cpp", '#include <vector>\n#include "base.h"\n#define MAX 10\nnamespace zoo {\n// A dog.\nclass Dog : public Animal {\n public:\n  void bark(int times);\n  int age_;\n};\nenum Color { RED };\ntypedef int Id;\n}\nvoid Dog::bark(int times) {\n  helper(times, "x");\n  tail.wag();\n}\nint main() { return 0; }\n')
+    assert [r["name"] for r in refs(out, "include")] == ["<vector>", '"base.h"'] and [r["name"] for r in refs(out, "inherit")] == ["Animal"]
+    assert names(out, "macro") == ["MAX"] and names(out, "namespace") == ["zoo"] and names(out, "class") == ["Base"] and names(out, "enum") == ["Color"] and "age_" in names(out, "field")
     assert {"bark", "Dog::bark", "main"} <= set(names(out, "function"))
     assert [(r["name"], r["arg_pattern"]) for r in refs(out, "call")] == [("helper", "identifier,string"), ("wag", "")]
-    assert next(s for s in out["symbols"] if s["name"] == "Dog")["doc"] == "A dog."
+    assert next(s for s in out["symbols"] if s["name"] == "Base")["doc"] == "A dog."
 
 
 def test_other_languages():
@@ -192,9 +192,9 @@ def test_detection_and_quarantine(spark):
 
 
 def test_resolution_rules(spark):
-    files = [(1, "src/a.cpp", "cpp"), (2, "src/b.cpp", "cpp"), (3, "tests/test_b.cpp", "cpp"), (4, "src/dog.h", "cpp")]
-    symbols = [(10, "function", "go", "go", 1, 1, 2), (11, "function", "go", "go", 2, 1, 2), (12, "function", "go", "go", 3, 1, 2), (13, "class", "Dog", "Dog", 4, 1, 9), (14, "function", "only", "only", 1, 5, 6)]
-    rows = [(1, "call", "go", 3, 0, 14), (1, "call", "x.go", 4, 0, 14), (1, "call", "only", 5, 0, 10), (1, "inherit", "Dog", 6, 0, 14), (1, "include", '"dog.h"', 1, 0, None), (3, "call", "go", 3, 0, 12)]
+    files = [(1, "src/a.cpp", "cpp"), (2, "src/b.cpp", "cpp"), (3, "tests/test_b.cpp", "cpp"), (4, "src/base.h", "cpp")]
+    symbols = [(10, "function", "go", "go", 1, 1, 2), (11, "function", "go", "go", 2, 1, 2), (12, "function", "go", "go", 3, 1, 2), (13, "class", "Base", "Base", 4, 1, 9), (14, "function", "only", "only", 1, 5, 6)]
+    rows = [(1, "call", "go", 3, 0, 14), (1, "call", "x.go", 4, 0, 14), (1, "call", "only", 5, 0, 10), (1, "inherit", "Base", 6, 0, 14), (1, "include", '"base.h"', 1, 0, None), (3, "call", "go", 3, 0, 12)]
     g = build(spark, files, symbols, [], rows)
     out = resolve.resolve(g)
     got = {(r["src_id"], r["dst_id"], r["kind"]) for r in out.edges.collect()}
