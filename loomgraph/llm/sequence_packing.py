@@ -224,6 +224,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, en
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
 
 
+DTYPE = {2: "<u2", 4: "<i4"}
 INDEX = pa.schema([("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
 
 
@@ -231,7 +232,8 @@ def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[s
     """Write sequences to a shared folder; the names of the parts that belong to the data set.
 
     A part is three files: ``.ids.bin`` and ``.pos.bin``, rows of ``length``
-    little-endian numbers without any header, and ``.arrow``, an Arrow file
+    little-endian numbers without any header (positions are uint16 up to a
+    length of 65,536, int32 beyond), and ``.arrow``, an Arrow file
     whose row i (pack_id, n_tokens, cu_seqlens, doc_ids, pieces) describes
     their row i. A task writes under a name of its own attempt and reports it
     when its files are whole, and the driver lists the reported parts in
@@ -239,6 +241,8 @@ def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[s
     has a manifest without parts.
     """
 
+    positions = "<u2" if length <= 1 << 16 else "<i4"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
@@ -250,9 +254,10 @@ def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[s
                 if not files:
                     files = [fs.open_output_stream(f"{root}/{name}.{kind}", compression=None) for kind in ("ids.bin", "pos.bin", "arrow")]
                     index = pa.ipc.new_file(files[2], INDEX)
-                for f, column in zip(files, ("input_ids", "position_ids")):
-                    for value in batch.column(column):
-                        f.write(value.as_buffer())
+                for value in batch.column("input_ids"):
+                    files[0].write(value.as_buffer())
+                for value in batch.column("position_ids"):
+                    files[1].write(np.frombuffer(value.as_buffer(), "<i4").astype(positions).tobytes())
                 width = len(batch.column("input_ids")[0].as_buffer()) // length
                 index.write_batch(pa.RecordBatch.from_arrays([batch.column(c).cast(INDEX.field(c).type) for c in INDEX.names], schema=INDEX))
                 rows += batch.num_rows
@@ -268,7 +273,7 @@ def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[s
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
     with fs.open_output_stream(f"{root}/manifest.json", compression=None) as f:
-        f.write(json.dumps({"length": length, "parts": [{"name": p, "rows": n, "id_bytes": w, "position_bytes": 4} for p, n, w in parts]}).encode())
+        f.write(json.dumps({"length": length, "parts": [{"name": p, "rows": n, "id_bytes": w, "position_bytes": int(positions[-1])} for p, n, w in parts]}).encode())
     return [p[0] for p in parts]
 
 
@@ -282,7 +287,7 @@ def rows_of(folder: str, part: dict, length: int) -> tuple[np.ndarray, np.ndarra
     """(ids, positions, index) of one part of a manifest: matrices of a row a sequence."""
     fs, root = pafs.FileSystem.from_uri(folder)
     found = []
-    for kind, size, dtype in (("ids", part["id_bytes"], {2: "<u2", 4: "<i4"}[part["id_bytes"]]), ("pos", part["position_bytes"], "<i4")):
+    for kind, size, dtype in (("ids", part["id_bytes"], DTYPE[part["id_bytes"]]), ("pos", part["position_bytes"], DTYPE[part["position_bytes"]])):
         with fs.open_input_file(f"{root}/{part['name']}.{kind}.bin") as f:
             raw = f.read()
         if len(raw) != part["rows"] * length * size:
@@ -310,6 +315,8 @@ def read_packed(spark: SparkSession, folder: str) -> DataFrame:
                             raw = source.read(size * rows.num_rows)
                             if len(raw) < size * rows.num_rows:
                                 raise ValueError(f"{part['name']} is cut short")
+                            if source is pos:
+                                raw, size = np.frombuffer(raw, DTYPE[part["position_bytes"]]).astype("<i4").tobytes(), 4 * length
                             matrices.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), rows.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary()))
                         cols = {"input_ids": matrices[0], "position_ids": matrices[1], **{c: rows.column(c) for c in INDEX.names}}
                         names = [c.strip().split(" ")[0] for c in PACKED.split(", ")]

@@ -92,6 +92,52 @@ def test_prefilter_agrees_with_every_pattern(spark):
     assert got == {i: (new, len(made)) for i, (new, made) in want.items()}
 
 
+def test_probes_of_detection():
+    s = pii_surrogates.Surrogates()
+    made = lambda t: [(k, a) for k, a, _ in pii_surrogates.replace(t, s)[1]]
+    assert made("Mr. Łukasz Wałęsa") == [("person", "Mr. Łukasz Wałęsa")] and made("Dr. Παπαδόπουλος") == [("person", "Dr. Παπαδόπουλος")]
+    assert made("Hello, my name is Jan Kowalski.") == [("person", "Jan Kowalski")] and made("Ich heiße Priya Sharma, und") == [("person", "Priya Sharma")]
+    assert made("Mrs. Anne-Marie O'Brien called") == [("person", "Mrs. Anne-Marie O'Brien")]
+    assert made("from 2001:db8::1 and ::1, fe80::1ff:fe23:4567:890a") == [("ipv6", "2001:db8::1"), ("ipv6", "::1"), ("ipv6", "fe80::1ff:fe23:4567:890a")]
+    assert made("std::vector a::b dead::beef 12:30 :: release 10.4.2.1 version 1.2.3.4 id 1683436113538828") == []
+    for text in ("Frau Ji", "Frau Xu", "Herr Bam", "Dr. Ur", "x@y.de", "10.0.0.1"):
+        new = pii_surrogates.replace(text, s)[0]
+        assert new != text  # nothing stands for itself
+    assert len({s.of("person", "Frau " + a + b) for a in "BCDFG" for b in "aeiou"} | {"Frau " + a + b for a in "BCDFG" for b in "aeiou"}) >= 25
+
+
+def test_one_entity_written_in_several_ways():
+    s = pii_surrogates.Surrogates()
+    digits = lambda x: re.sub(r"\D", "", x)[-10:]
+    assert len({digits(s.of("phone", p)) for p in ("+1 555 234 5678", "(555) 234-5678", "555-234-5678", "+1 (555) 234-5678")}) == 1
+    short, long = s.of("ipv6", "2001:db8::1"), s.of("ipv6", "2001:0db8:0:0:0:0:0:0001")
+    assert pii_surrogates.canonical("ipv6", short) == pii_surrogates.canonical("ipv6", long) and short.count("::") == 1 and len(long.split(":")) == 8
+
+
+def test_surrogates_are_a_permutation_without_fixed_points():
+    """Every string of a shape, by brute force: each is an image once, and none its own."""
+    s = pii_surrogates.Surrogates(b"k")
+    for shape, ok in (([f"{i:03d}" for i in range(1000)], None), ([f"{i:03d}" for i in range(1000)], lambda x: int(x) % 7 == 0), ([a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], lambda x: x < "k")):
+        image = {x: s.text(x, "t", ok=ok) for x in shape}
+        assert sorted(image.values()) == sorted(shape) and not any(a == b for a, b in image.items())
+        assert ok is None or all(ok(a) == ok(b) for a, b in image.items())
+
+
+def test_collisions_in_a_document_are_counted():
+    same = [("phone", "+1 555 234 5678", "+1 555 999 0000"), ("phone", "(555) 234-5678", "(555) 999-0000")]
+    assert pii_surrogates._collisions(same) == 0 and pii_surrogates._collisions([*same, ("phone", "555-000-1111", "555-999-0000")]) == 1
+    assert pii_surrogates._collisions([("email", "a@b.c", "x@b.c"), ("email", "A@B.C", "Y@B.C")]) == 1
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    s, start = pii_surrogates.Surrogates(), time.perf_counter()
+    for t in ("a" * 200_000, "a." * 100_000 + "@", "x@" + "a." * 100_000 + "1", "ab:" * 50_000, "AB12 " * 40_000, "1-" * 100_000, "x@" * 100_000, "ab12" * 20_000):
+        pii_surrogates.replace(t, s)
+    assert time.perf_counter() - start < 30
+
+
 def test_false_friends_stay():
     text = "Version 1.2.3.4.5, ratio 12-34, year 2023, id 12345678, time 12:30, @home, 3.14.15"
     assert pii_surrogates.replace(text, pii_surrogates.Surrogates())[0] == text
@@ -125,6 +171,27 @@ def test_language_rejects_what_is_no_language(spark, model):
     assert language_id.sample_windows(frame(spark, [])) == {} and language_id.identify(frame(spark, []), model).count() == 0
 
 
+def test_sample_of_repeated_texts_and_null_ids(spark):
+    """What counts is different texts: neither null ids nor a text that fills the table empty the sample or swell it."""
+    rows = [(None, f"the text number {i} of the sample is here", "en") for i in range(3000)] + [(7, "le même texte", "fr")] * 3000 + [(8, f"der andere Text {i}", "fr") for i in range(40)]
+    got = language_id.sample_windows(frame(spark, rows), sample=30)
+    assert set(got) == {"en", "fr"} and len(got["en"]) == 30 and len(got["fr"]) == 30
+    again = language_id.sample_windows(frame(spark, rows[::-1]).repartition(5), sample=30)
+    assert all((got[k] == again[k]).all() for k in got)
+    with pytest.warns(UserWarning, match="no labelled text"):
+        assert language_id.fit(language_id.sample_windows(frame(spark, [(1, "some text", None)]))) is None
+
+
+def test_windows_of_long_rows():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 2_000).astype(np.uint8)
+    for size in (1, 255, 256, 257, 2_000):
+        alone = language_id.cut_windows(data[:size], np.array([0, size]))
+        pair = language_id.cut_windows(data[:size], np.array([0, size, size]))
+        assert all((a == b).all() for a, b in zip(alone, pair))
+    assert len(language_id.cut_windows(data[:0], np.array([0, 0]))[0]) == 0
+
+
 def test_folded_network_is_the_network(model):
     x = language_id.no_language(20, seed=3)
     pooled, _ = model._pooled(x)
@@ -195,6 +262,35 @@ def test_packing_edges(spark):
         sequence_packing.pack(frame(spark, []), length=0)
 
 
+def test_binary_files_hold_what_was_packed(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    packed = sequence_packing.pack(docs.coalesce(1), length=256)
+    rows = {r["pack_id"]: r for r in packed.collect()}
+    folder = f"file://{tmp_path}/set"
+    parts = sequence_packing.write_packed(packed, folder, 256)
+    (tmp_path / "set/part-000000-left-by-a-lost-attempt.ids.bin").write_bytes(b"x")
+    back = sequence_packing.read_packed(spark, folder)
+    assert back.columns == packed.columns and {r["pack_id"]: r for r in back.collect()} == rows
+    found = sequence_packing.manifest(folder)
+    assert [p["name"] for p in found["parts"]] == parts and found["length"] == 256
+    seen = 0
+    for part in found["parts"]:
+        ids, positions, index = sequence_packing.rows_of(folder, part, 256)
+        assert ids.dtype == np.dtype("<u2") and ids.shape == positions.shape == (part["rows"], 256)
+        for i, r in enumerate(index.to_pylist()):
+            assert ids[i].tobytes() == rows[r["pack_id"]]["input_ids"] and r["cu_seqlens"] == rows[r["pack_id"]]["cu_seqlens"]
+            assert np.flatnonzero(positions[i, : r["n_tokens"]] == 0).tolist() == r["cu_seqlens"][:-1]
+            seen += 1
+    assert seen == len(rows)
+    (tmp_path / "set" / f"{parts[0]}.ids.bin").write_bytes(b"")
+    with pytest.raises(ValueError):
+        sequence_packing.rows_of(folder, found["parts"][0], 256)
+    none = f"file://{tmp_path}/none"
+    assert sequence_packing.write_packed(packed.where("false"), none, 256) == [] and sequence_packing.read_packed(spark, none).count() == 0
+    with pytest.raises(ValueError):
+        sequence_packing.pack(docs, end_id=100)
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     rng = np.random.default_rng(1)
     for length in (1, 7, 64, 100):
@@ -234,6 +330,24 @@ def test_table_is_filled_by_turns():
     assert shard_table.fill_table(["only"], 2).tolist() == [0, 0]
 
 
+def test_shards_claim_slots_in_turn():
+    """By the definition: round after round, each shard in order takes the first free slot of its whole preference list."""
+    import hashlib
+
+    for n, size in ((7, 101), (3, 13), (1, 2), (11, 11)):
+        names, owner, turn = shard_table.shard_names(n), {}, 0
+        lists = []
+        for s in names:
+            d = hashlib.sha256(s.encode()).digest()
+            offset, skip = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:16], "big") % (size - 1) + 1 if size > 2 else 1
+            lists.append([(offset + i * skip) % size for i in range(size)])
+            assert sorted(lists[-1]) == list(range(size))
+        while len(owner) < size:
+            owner[next(p for p in lists[turn % n] if p not in owner)] = turn % n
+            turn += 1
+        assert shard_table.fill_table(names, size).tolist() == [owner[i] for i in range(size)]
+
+
 def test_placement_keeps_rows_and_replaces_clashing_columns(spark):
     docs = frame(spark, EDGE)
     got = shard_table.assign_shards(docs, shard_table.shard_names(4), 101)
