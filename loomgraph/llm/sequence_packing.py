@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +61,15 @@ class Encoder:
         self.encoding = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.ids = set(ranks.values())
         self.wide = max(self.ids) >= 1 << 16
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """The ids of a word, as int32: one small object a word, and parts join without a loop."""
         ids = self.known.get(word)
         if ids is None:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            ids = self.known[word] = self.encoding.encode_ordinary(word)
+            ids = self.known[word] = np.array(self.encoding.encode_ordinary(word), np.int32).tobytes()
         return ids
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +86,12 @@ class Encoder:
         tokens = [self._word(" " + w) for w in uniques]
         head = codes[begin[:-1]]  # a row's first word has no space before it
         heads, head_of = np.unique(head, return_inverse=True)
-        tokens += [self.encoding.encode_ordinary(uniques[h]) for h in heads]
+        tokens += [np.array(self.encoding.encode_ordinary(uniques[h]), np.int32).tobytes() for h in heads]
         codes = codes.copy()
         codes[begin[:-1]] = len(uniques) + head_of
-        size = np.array([len(t) for t in tokens], np.int64)
+        size = np.array([len(t) for t in tokens], np.int64) // 4
         first = np.concatenate(([0], np.cumsum(size)))
-        flat = np.fromiter((i for t in tokens for i in t), np.int32, int(first[-1]))
+        flat = np.frombuffer(b"".join(tokens), np.int32)
         per_word = size[codes]
         ends = np.cumsum(per_word)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[codes] - (ends - per_word), per_word)]
@@ -153,51 +154,73 @@ def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> list[list[in
     return bins
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
-    """Packed sequences, one row each.
-
-    ``input_ids``: ``length`` little-endian ids (uint16; int32 if an id needs
-    it), padded with ``end_id`` behind ``n_tokens``. ``position_ids``: int32,
-    0 at each piece's start and in the padding. ``cu_seqlens``: piece bounds,
-    from 0 to ``n_tokens``. ``doc_ids``, ``pieces``: of each piece its document
-    and its number there, from 0. ``pack_id``: split * 2**32 + number in it.
-
-    Null and empty texts have no pieces; any other row does, also one without
-    an id or one that repeats another. An empty table gives no rows. Other
-    columns are not read.
-    """
+KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+NAMES = [c.strip().split(" ")[0] for c in PACKED.split(", ")]
+Batches = Iterator[pa.RecordBatch]
+
+
+def rows_as_binary(matrix: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    raw = np.ascontiguousarray(matrix)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1] * raw.itemsize), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def sequences(bins: list[list[int]], ids: list[np.ndarray], of: list[tuple[int | None, int]], number: int, length: int, end_id: int, kind: np.dtype) -> pa.RecordBatch:
+    """The rows of some sequences, given as indices of pieces; ``number`` is the first one's name."""
+    members = [i for row in bins for i in row]
+    sizes = np.array([len(ids[i]) for i in members], np.int64)
+    n_pieces = np.array([len(row) for row in bins], np.int64)
+    last = np.cumsum(n_pieces)
+    ends = np.cumsum(sizes)
+    totals = np.diff(np.concatenate(([0], ends[last - 1])))
+    used = np.arange(length) < totals[:, None]
+    matrix = np.full((len(bins), length), end_id, kind)
+    matrix[used] = np.concatenate([ids[i] for i in members])
+    position = np.zeros((len(bins), length), np.dtype("<i4"))
+    position[used] = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    row_start = np.repeat(ends[last - 1] - totals, n_pieces)
+    bounds = np.insert(ends - row_start, last - n_pieces, 0)  # a 0 before each row's first end
+    offsets = np.concatenate(([0], last))
+
+    def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+    cols = [
+        pa.array(np.arange(number, number + len(bins))),
+        pa.array(totals, pa.int32()),
+        rows_as_binary(matrix),
+        rows_as_binary(position),
+        lists(pa.array(bounds, pa.int32()), offsets + np.arange(len(bins) + 1)),
+        lists(pa.array([of[i][0] for i in members], pa.int64()), offsets),
+        lists(pa.array([of[i][1] for i in members], pa.int32()), offsets),
+    ]
+    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, KINDS)], names=NAMES)
+
+
+def packer(vocabulary: str, length: int, end_id: int, block: int) -> Callable[[Batches], Batches]:
+    """What packs the (doc_id, text) batches of one task."""
     if length < 1 or length > 1 << 20:
         raise ValueError("length must be from 1 to 2**20")
     raw = read_vocabulary(vocabulary)
     if end_id < 0 or any(int(line.split()[1]) == end_id for line in raw.splitlines() if line):
         raise ValueError(f"id {end_id} stands for text in this vocabulary: it can't end documents")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         encoder = Encoder(raw)
         kind = np.dtype("<i4") if encoder.wide or end_id >= 1 << 16 else np.dtype("<u2")
         number = TaskContext.get().partitionId() << 32
         ids: list[np.ndarray] = []  # pieces of the block
         of: list[tuple[int | None, int]] = []
         held = 0
+        rows = max(1, (1 << 20) // length)  # of a batch that leaves
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> Batches:
             nonlocal held, number
             bins = best_fit_decreasing(np.array([len(p) for p in ids], np.int64), length)
-            for at in range(0, len(bins), 512):
-                cols: list[list] = [[] for _ in range(7)]
-                for members in bins[at : at + 512]:
-                    sizes = [len(ids[i]) for i in members]
-                    total = sum(sizes)
-                    row = np.full(length, end_id, kind)
-                    row[:total] = np.concatenate([ids[i] for i in members])
-                    position = np.zeros(length, np.dtype("<i4"))
-                    position[:total] = np.concatenate([np.arange(s) for s in sizes])
-                    bounds = np.concatenate(([0], np.cumsum(sizes))).tolist()
-                    for col, value in zip(cols, (number, total, row.tobytes(), position.tobytes(), bounds, [of[i][0] for i in members], [of[i][1] for i in members])):
-                        col.append(value)
-                    number += 1
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["pack_id", "n_tokens", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "pieces"])
+            for at in range(0, len(bins), rows):
+                some = bins[at : at + rows]
+                yield sequences(some, ids, of, number, length, end_id, kind)
+                number += len(some)
             ids.clear()
             of.clear()
             held = 0
@@ -221,29 +244,41 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, en
         if ids:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
+    return run
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
+    """Packed sequences, one row each.
+
+    ``input_ids``: ``length`` little-endian ids (uint16; int32 if an id needs
+    it), padded with ``end_id`` behind ``n_tokens``. ``position_ids``: int32,
+    0 at each piece's start and in the padding. ``cu_seqlens``: piece bounds,
+    from 0 to ``n_tokens``. ``doc_ids``, ``pieces``: of each piece its document
+    and its number there, from 0. ``pack_id``: split * 2**32 + number in it.
+
+    Null and empty texts have no pieces; any other row does, also one without
+    an id or one that repeats another. An empty table gives no rows. Other
+    columns are not read.
+    """
+    return id_and_text(docs).mapInArrow(packer(vocabulary, length, end_id, block), PACKED)
 
 
 DTYPE = {2: "<u2", 4: "<i4"}
 INDEX = pa.schema([("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
 
 
-def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[str]:
-    """Write sequences to a shared folder; the names of the parts that belong to the data set.
+PART = "part string, n bigint, width int"
 
-    A part is three files: ``.ids.bin`` and ``.pos.bin``, rows of ``length``
-    little-endian numbers without any header (positions are uint16 up to a
-    length of 65,536, int32 beyond), and ``.arrow``, an Arrow file
-    whose row i (pack_id, n_tokens, cu_seqlens, doc_ids, pieces) describes
-    their row i. A task writes under a name of its own attempt and reports it
-    when its files are whole, and the driver lists the reported parts in
-    ``manifest.json``; what a lost attempt left is in no list. An empty table
-    has a manifest without parts.
-    """
 
+def writer(folder: str, length: int) -> Callable[[Batches], Batches]:
+    """What writes one task's sequences as a part, and reports it."""
     positions = "<u2" if length <= 1 << 16 else "<i4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
         name, rows, width, files = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, 0, []
@@ -269,14 +304,41 @@ def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[s
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64()), pa.array([width], pa.int32())], names=["part", "n", "width"])
 
-    parts = sorted((r["part"], r["n"], r["width"]) for r in packed.select("input_ids", "position_ids", *INDEX.names).mapInArrow(run, "part string, n bigint, width int").collect())
+    return run
+
+
+def list_parts(written: DataFrame, folder: str, length: int) -> list[str]:
+    """Run the writing tasks and write the manifest of the parts that they report."""
+    parts = sorted((r["part"], r["n"], r["width"]) for r in written.collect())  # one row a task
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
+    position_bytes = 2 if length <= 1 << 16 else 4
     with fs.open_output_stream(f"{root}/manifest.json", compression=None) as f:
-        f.write(json.dumps({"length": length, "parts": [{"name": p, "rows": n, "id_bytes": w, "position_bytes": int(positions[-1])} for p, n, w in parts]}).encode())
+        f.write(json.dumps({"length": length, "parts": [{"name": p, "rows": n, "id_bytes": w, "position_bytes": position_bytes} for p, n, w in parts]}).encode())
     return [p[0] for p in parts]
 
 
+def write_packed(packed: DataFrame, folder: str, length: int = LENGTH) -> list[str]:
+    """Write sequences to a shared folder; the names of the parts that belong to the data set.
+
+    A part is three files: ``.ids.bin`` and ``.pos.bin``, rows of ``length``
+    little-endian numbers without any header (positions are uint16 up to a
+    length of 65,536, int32 beyond), and ``.arrow``, an Arrow file
+    whose row i (pack_id, n_tokens, cu_seqlens, doc_ids, pieces) describes
+    their row i. A task writes under a name of its own attempt and reports it
+    when its files are whole, and the driver lists the reported parts in
+    ``manifest.json``; what a lost attempt left is in no list. An empty table
+    has a manifest without parts.
+    """
+    return list_parts(packed.select("input_ids", "position_ids", *INDEX.names).mapInArrow(writer(folder, length), PART), folder, length)
+
+
+def pack_to_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, length: int = LENGTH, end_id: int = END_ID, block: int = BLOCK) -> list[str]:
+    """``write_packed`` of ``pack``, in one pass of one Python worker a task: sequences go from the packer to the files."""
+    packing, writing = packer(vocabulary, length, end_id, block), writer(folder, length)
+    return list_parts(id_and_text(docs).mapInArrow(lambda batches: writing(packing(batches)), PART), folder, length)
+
+
 def manifest(folder: str) -> dict:
     fs, root = pafs.FileSystem.from_uri(folder)
     with fs.open_input_stream(f"{root}/manifest.json", compression=None) as f:
@@ -319,8 +381,7 @@ def read_packed(spark: SparkSession, folder: str) -> DataFrame:
                                 raw, size = np.frombuffer(raw, DTYPE[part["position_bytes"]]).astype("<i4").tobytes(), 4 * length
                             matrices.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), rows.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary()))
                         cols = {"input_ids": matrices[0], "position_ids": matrices[1], **{c: rows.column(c) for c in INDEX.names}}
-                        names = [c.strip().split(" ")[0] for c in PACKED.split(", ")]
-                        yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
+                        yield pa.RecordBatch.from_arrays([cols[n] for n in NAMES], names=NAMES)
 
     parts = spark.createDataFrame([(json.dumps(p),) for p in found["parts"]], "part string")
     return parts.repartition(max(1, len(found["parts"]))).mapInArrow(run, PACKED)
@@ -329,5 +390,5 @@ def read_packed(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed, written as binary matrices to the shared folder and read back."""
     folder = fresh_path(spark, "packed")
-    write_packed(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")), folder)
+    pack_to_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     return read_packed(spark, folder)

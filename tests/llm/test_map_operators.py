@@ -282,6 +282,9 @@ def test_binary_files_hold_what_was_packed(spark, tmp_path):
             assert np.flatnonzero(positions[i, : r["n_tokens"]] == 0).tolist() == r["cu_seqlens"][:-1]
             seen += 1
     assert seen == len(rows)
+    fused = f"file://{tmp_path}/fused"
+    sequence_packing.pack_to_files(docs.coalesce(1), fused, length=256)
+    assert {r["pack_id"]: r for r in sequence_packing.read_packed(spark, fused).collect()} == rows
     (tmp_path / "set" / f"{parts[0]}.ids.bin").write_bytes(b"")
     with pytest.raises(ValueError):
         sequence_packing.rows_of(folder, found["parts"][0], 256)
