@@ -218,6 +218,33 @@ def test_ledger_policies_and_ablation(spark):
     assert quality_ledger.ledger(frame(spark, [])).count() == 0 and quality_ledger.ledger(frame(spark, EDGE)).count() == len(EDGE)
 
 
+def test_quality_rules_run_once_and_leave_their_ablations(spark, tmp_path, monkeypatch):
+    good = "The house of the river and the people in it were quiet that day, as they had been for years."
+    path, ran, stored, ledger, materialize = str(tmp_path / "documents.parquet"), [], [], quality_ledger.ledger, quality_ledger.materialize
+    monkeypatch.setattr(quality_ledger, "ledger", lambda docs: ran.append(1) or ledger(docs))
+    monkeypatch.setattr(quality_ledger, "materialize", lambda df, tag: stored.append(tag) or materialize(df, tag))
+
+    def wanted(rows):
+        bits = [r["fail_bits"] for r in rows]
+        return {(v, n, sum(bool(x & b) for x in bits), sum(x & m == b for x in bits)) for v, m in quality_ledger.POLICIES.items() for n, b in quality_ledger.BIT.items() if b & m}
+
+    def found():
+        rows = [tuple(r) for r in quality_ledger.quality_ablation(spark, str(tmp_path)).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    frame(spark, [(1, good), (2, good.upper()), (3, "### $$$ %%% " * 20), (4, None), (None, good), (1, good), (5, good.upper() + " ###" * 9)]).write.parquet(path)
+    rows = quality_ledger.op6_quality_rules(spark, str(tmp_path)).collect()
+    assert found() == wanted(rows) and len(rows) == 7
+    assert len(ran) == 1  # the rules ran once for both
+    assert stored == ["ledger", "ablations"]  # the ablations are part of the operator, and are read, not made again
+    monkeypatch.setitem(quality_ledger.POLICIES, "v3", quality_ledger.mask("shouting", "many_symbols"))
+    assert found() == wanted(rows) and {r[0] for r in found()} == {"v1", "v2", "v3"} and len(ran) == 1  # a new policy reads the ledger only
+    frame(spark, [(1, good.upper())]).write.mode("append").parquet(path)
+    more = found()
+    assert len(ran) == 2 and more == wanted(quality_ledger.op6_quality_rules(spark, str(tmp_path)).collect()) and more != wanted(rows)  # another table, another ledger
+
+
 # ---- packing
 
 
