@@ -40,3 +40,13 @@ def test_rows_are_spread_by_their_number(spark, monkeypatch):
 
     parts = spread(spark.range(100), "id").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 3 and sum(r["count"] for r in parts) == 100
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_name_parts_are_taken_of_different_names_only(spark, sf_dir):
+    lines = plan(catalog.QUERIES["C4_name_parts"](spark, sf_dir)).split("\n")
+    first = max(i for i, line in enumerate(lines) if "Aggregate" in line)
+    assert any("regexp_extract" in line for line in lines[:first]) and not any("regexp_extract" in line for line in lines[first:])
