@@ -50,3 +50,8 @@ def test_name_parts_are_taken_of_different_names_only(spark, sf_dir):
     lines = plan(catalog.QUERIES["C4_name_parts"](spark, sf_dir)).split("\n")
     first = max(i for i, line in enumerate(lines) if "Aggregate" in line)
     assert any("regexp_extract" in line for line in lines[:first]) and not any("regexp_extract" in line for line in lines[first:])
+
+
+def test_receivers_are_judged_by_different_names(spark, sf_dir):
+    df = catalog.QUERIES["B12_receiver"](spark, sf_dir)
+    assert "/names-" in "".join(df.inputFiles()) and df.count() == 8
