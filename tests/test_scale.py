@@ -52,3 +52,20 @@ def test_name_parts_are_taken_of_different_names_only(spark, sf_dir):
 def test_receivers_are_judged_by_different_names(spark, sf_dir):
     df = catalog.QUERIES["B12_receiver"](spark, sf_dir)
     assert "/names-" in "".join(df.inputFiles()) and df.count() == 8
+
+
+def test_similarity_is_made_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fields, "BLOCK", 3)
+    monkeypatch.setattr(fields, "TASK_PAIRS", 5)
+    uses = [(m, f, (m * 7 + k) % 3 == 0) for m in range(1, 41) for k, f in enumerate("abcde") if (m >> k) % 2 or m % 4 == 0 and f == "a"]
+    refs = [(1, "field_access", f, 1, 0, m, None, None, None, "this_member_write" if write else "this_member_read") for m, f, write in uses]
+    g = build(spark, [(1, "a.py", "python")], [], [], refs)
+    got = {(r["a"], r["b"]): round(r["similarity"], 9) for r in fields.similarity(g, spark.range(1, 41).select(F.col("id").alias("node_id"), (F.col("id") % 2).alias("container"))).collect()}
+    of = {m: {f: 1.0 if w else 0.3 for n, f, w in uses if n == m} for m in range(1, 41)}
+    want = {}
+    for a in of:
+        for b in of:
+            if a < b and a % 2 == b % 2 and set(of[a]) & set(of[b]):
+                low = sum(min(of[a][f], of[b][f]) for f in set(of[a]) & set(of[b]))
+                want[a, b] = round(low / (sum(of[a].values()) + sum(of[b].values()) - low), 9)
+    assert got == want
