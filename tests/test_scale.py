@@ -69,3 +69,12 @@ def test_similarity_is_made_in_blocks(spark, monkeypatch):
                 low = sum(min(of[a][f], of[b][f]) for f in set(of[a]) & set(of[b]))
                 want[a, b] = round(low / (sum(of[a].values()) + sum(of[b].values()) - low), 9)
     assert got == want
+
+
+def test_call_sites_are_found_once(spark, sf_dir):
+    g = projection.project(spark, sf_dir)
+    scored = calls.callsite_scores(g, catalog.PART)
+    assert any("/sites-" in f for f in scored.inputFiles()) and not any("/refs-" in f for f in scored.inputFiles())
+    one = spark.createDataFrame([(3,)], "file_id bigint")
+    got = {tuple(r) for r in calls.included_files(g, one).collect()}
+    assert got == {tuple(r) for r in calls.included_files(g).where("from_file = 3").collect()} and len(got) == 1
