@@ -78,3 +78,15 @@ def test_call_sites_are_found_once(spark, sf_dir):
     one = spark.createDataFrame([(3,)], "file_id bigint")
     got = {tuple(r) for r in calls.included_files(g, one).collect()}
     assert got == {tuple(r) for r in calls.included_files(g).where("from_file = 3").collect()} and len(got) == 1
+
+
+def test_files_are_joined_to_what_a_search_finds(spark, sf_dir):
+    g = projection.project(spark, sf_dir)
+    assert plan(listing.symbol_hits(g, "Widget")).count("Join LeftOuter") == 1
+
+
+def test_words_come_before_substrings_while_they_are_few(spark):
+    g = build(spark, [(1, "a.py", "python")], [(i, "function", n, n, 1, 1, 2) for i, n in enumerate(["openBook", "reopen", "Open", "closed", "re_open"], 1)], [])
+    assert {(r["name"], r["bucket"]) for r in listing.symbol_hits(g, "open").collect()} == {("openBook", 0), ("Open", 0), ("re_open", 0), ("reopen", 1)}
+    many = build(spark, [(1, "a.py", "python")], [(i, "function", n, n, 1, 1, 2) for i, n in enumerate(["open"] * 5 + ["reopen"], 1)], [])
+    assert {r["bucket"] for r in listing.symbol_hits(many, "open").collect()} == {0}
