@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from loomgraph import __version__
 from loomgraph.extract.udf import CRASHES, MAX_FILE_BYTES, SLOT_MS, extract
-from loomgraph.graph import SCHEMA_VERSION, Graph, conform, empty_graph, kv_put
+from loomgraph.graph import SCHEMA_VERSION, Graph, conform, empty_graph, kv_put, spread
 from loomgraph.operators.maintain import detect, drop_files, force_clear, quarantine_add, quarantine_rehab, without_quarantined
 from loomgraph.operators.resolve import resolve, stable_keys
 from loomgraph.operators.text import index_lines
@@ -22,15 +22,16 @@ from loomgraph.sources.scan import content_hash, git_branch, git_head, read_cont
 ID_BUCKETS = 1024
 
 
-def dense_ids(rows: DataFrame, key: str, start: int = 0) -> DataFrame:
+def dense_ids(rows: DataFrame, key: str, start: int = 0, count: int | None = None) -> DataFrame:
     """Rows with ``id``: start + 1, start + 2, ... in an order that a unique key fixes.
 
     Ranks are taken within hash buckets, in parallel, and shifted by the sizes
-    of the buckets before; no task sees all rows.
+    of the buckets before; no task sees all rows. Where the count of rows is
+    known, buckets are dealt to as many tasks as it asks for.
     """
     b = rows.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int"))
     before = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(W.orderBy("__b")) - F.col("__n")).drop("__n")
-    ranked = b.withColumn("__nth", F.row_number().over(W.partitionBy("__b").orderBy(key)))
+    ranked = (b if count is None else spread(b, "__b", rows=count)).withColumn("__nth", F.row_number().over(W.partitionBy("__b").orderBy(key)))
     return ranked.join(F.broadcast(before), "__b").withColumn("id", F.lit(start).cast("bigint") + F.col("__before") + F.col("__nth")).drop("__b", "__before", "__nth")  # one row a bucket
 
 

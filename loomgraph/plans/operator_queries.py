@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from loomgraph.extract.udf import extract
 from loomgraph.functions import scalars as S
 from loomgraph.functions.globs import matches_glob, scope_glob
-from loomgraph.graph import Graph, conform, empty_graph, make_graph, migrate
+from loomgraph.graph import Graph, conform, empty_graph, make_graph, migrate, spread
 from loomgraph.operators import calls, context, fields, listing, maintain, resolve, text, traverse
 from loomgraph.plans import indexing
 from loomgraph.plans.catalog import _SITES, DOC_FILE, ORDER, PART, PRELUDE, query, raw
 from loomgraph.plans.projection import tables
 from loomgraph.scoring import answers
+from loomgraph.scratch import materialize
 from loomgraph.sources.scan import first_files
 from loomgraph.streaming import watch
 
@@ -261,11 +262,12 @@ FROM r JOIN b ON b.name = r.name AND b.lang IS NOT DISTINCT FROM r.lang"""
 @query("R12_cross_root", _R12)
 def _cross(g: Graph) -> DataFrame:
     """Each distinct call of a file, unresolved and of root 2, against the functions of root 6."""
-    by_file = g.refs.where("kind = 'call'").select("file_id", "name").distinct()
-    numbered = indexing.dense_ids(by_file.withColumn("key", F.concat_ws("|", F.col("file_id").cast("string"), "name")), "key", 2 * 10**9).drop("key")
+    by_file = materialize(g.refs.where("kind = 'call'").select("file_id", "name").distinct(), "by_file")
+    numbered = indexing.dense_ids(by_file.withColumn("key", F.concat_ws("|", F.col("file_id").cast("string"), "name")), "key", 2 * 10**9, by_file.count()).drop("key")
+    numbered = materialize(numbered, "numbered")  # both sides of the last join read it
     two = make_graph(g.spark, files=g.files, nodes=g.nodes.where("kind = 'function'"), refs=numbered.withColumn("kind", F.lit("call")))
     out = resolve.cross_root(two, 6).withColumnRenamed("ref_id", "id")
-    return numbered.join(out, "id").select("file_id", "name", "target", F.round("confidence", 6).alias("confidence"))
+    return spread(numbered, "id").join(out, "id").select("file_id", "name", "target", F.round("confidence", 6).alias("confidence"))
 
 
 # ---- K, Y

@@ -103,3 +103,15 @@ def test_calls_meet_the_choices_of_their_name(spark, monkeypatch):
     draw = lambda f: 11 if f == 1 else 10
     assert got == {(f, n): 13 if n == "a.draw" and f != 4 else draw(f) for f in (1, 2, 4) for n in ("draw", "a.draw", "b.draw", "c.draw")}
     assert kept["choices"].count() == 4  # one row a name, of twelve calls
+
+
+def test_calls_of_a_name_language_and_root_are_resolved_across_roots_once(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(resolve, "materialize", lambda df, tag: kept.setdefault(tag, df))
+    files = [(i, f"src/{i}.py", "python" if i < 3 else None) for i in range(1, 5)]
+    symbols = [(2 * 10**9 + 1, "function", "draw", "Pen.draw", 1, 1, 2), (2 * 10**9 + 2, "function", "draw", "Ink.draw", 1, 3, 4)]
+    g = build(spark, files, symbols, [], [(f, "call", n, 1, 0) for f in (1, 2, 3, 4) for n in ("ink.draw", "draw")])
+    names = {r["id"]: (r["file_id"], r["name"]) for r in g.refs.collect()}
+    got = {names[r["ref_id"]]: (r["target"] % 10, round(r["confidence"], 2)) for r in resolve.cross_root(g, 2).collect()}
+    assert got == {(1, "draw"): (1, 0.75), (2, "draw"): (1, 0.75), (1, "ink.draw"): (2, 1.0), (2, "ink.draw"): (2, 1.0), (3, "ink.draw"): (2, 0.85), (4, "ink.draw"): (2, 0.85)}
+    assert kept["alike"].count() == 4  # of eight calls
