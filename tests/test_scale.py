@@ -115,3 +115,9 @@ def test_calls_of_a_name_language_and_root_are_resolved_across_roots_once(spark,
     got = {names[r["ref_id"]]: (r["target"] % 10, round(r["confidence"], 2)) for r in resolve.cross_root(g, 2).collect()}
     assert got == {(1, "draw"): (1, 0.75), (2, "draw"): (1, 0.75), (1, "ink.draw"): (2, 1.0), (2, "ink.draw"): (2, 1.0), (3, "ink.draw"): (2, 0.85), (4, "ink.draw"): (2, 0.85)}
     assert kept["alike"].count() == 4  # of eight calls
+
+
+def test_in_degrees_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr("loomgraph.graph.TASK_ROWS", 4)
+    g = build(spark, [], [], [(n, n % 20, "calls", 1.0) for n in range(40)])
+    assert listing.in_degrees(g).rdd.getNumPartitions() == 10 and {r["cnt"] for r in listing.in_degrees(g).collect()} == {2}
