@@ -121,3 +121,10 @@ def test_in_degrees_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr("loomgraph.graph.TASK_ROWS", 4)
     g = build(spark, [], [], [(n, n % 20, "calls", 1.0) for n in range(40)])
     assert listing.in_degrees(g).rdd.getNumPartitions() == 10 and {r["cnt"] for r in listing.in_degrees(g).collect()} == {2}
+
+
+def test_files_are_joined_to_entry_points_only(spark, sf_dir):
+    g = projection.project(spark, sf_dir)
+    lines = plan(listing.entrypoints(g)).split("\n")
+    at = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    assert "\n".join(lines).count("Join LeftOuter") == 1 and any("Join Inner" in line for line in lines[at:])
