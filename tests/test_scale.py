@@ -128,3 +128,11 @@ def test_files_are_joined_to_entry_points_only(spark, sf_dir):
     lines = plan(listing.entrypoints(g)).split("\n")
     at = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
     assert "\n".join(lines).count("Join LeftOuter") == 1 and any("Join Inner" in line for line in lines[at:])
+
+
+def test_references_are_joined_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr("loomgraph.graph.TASK_ROWS", 4)
+    refs = [(1 + n % 2, "call", f"f{n % 5}", 1, 0, 10 + n % 3) for n in range(40)]
+    g = build(spark, [(1, "a.py", "python"), (2, "b.py", "python")], [(10, "method", "m", "m", 1, 1, 9), (11, "method", "k", "k", 1, 1, 9)], [], refs)
+    df = catalog._held(g)
+    assert df.rdd.getNumPartitions() == 10 and sum(r["n"] for r in df.collect()) == 40 and {(r["path"], r["holder"]) for r in df.collect()} == {(p, h) for p in ("a.py", "b.py") for h in ("m", "k", None)}
