@@ -1,11 +1,13 @@
 """What keeps queries in proportion to their tables: what they build, where work is cut, how pairs are made."""
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Later, make_graph
 from loomgraph.operators import calls, fields, listing, resolve
 from loomgraph.plans import catalog, projection
+from loomgraph.sources.scan import content_hash
 from tests.graphs import build
 
 
@@ -136,3 +138,10 @@ def test_references_are_joined_in_parts_of_bounded_size(spark, monkeypatch):
     g = build(spark, [(1, "a.py", "python"), (2, "b.py", "python")], [(10, "method", "m", "m", 1, 1, 9), (11, "method", "k", "k", 1, 1, 9)], [], refs)
     df = catalog._held(g)
     assert df.rdd.getNumPartitions() == 10 and sum(r["n"] for r in df.collect()) == 40 and {(r["path"], r["holder"]) for r in df.collect()} == {(p, h) for p in ("a.py", "b.py") for h in ("m", "k", None)}
+
+
+def test_hashes_read_arrow_buffers(spark):
+    rows = [(1, b""), (2, None), (3, b"\x00\xff" * 1000), (4, "äö".encode())]
+    df = spark.createDataFrame(rows, "id int, content binary").select("id", content_hash("content").alias("h"))
+    assert "SQL_SCALAR_ARROW_UDF" in plan(df) or ", 250" in plan(df)  # no column of Python objects
+    assert {r["id"]: r["h"] for r in df.collect()} == {i: None if b is None else xxhash.xxh3_64_hexdigest(b) for i, b in rows}
